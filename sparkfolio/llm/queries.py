@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan, quality_rules, url_filters, warc
+from .decontamination import find_overlaps
 from .packing import pack
 from .simhash import near_duplicates
 from .substring_rlz import dedup_substrings
@@ -26,11 +28,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir, "doc_id", "text")).drop("clean_text")
+
+
 def op3_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(_documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    out = warc.derive(records, carry=("page_id",))
+    return out.select(
+        "page_id", "record_id", "type", "target_uri", "date", "refers_to", "content_type", F.col("payload").cast("string").alias("block"), "payload_digest", "block_digest"
+    )
+
+
 def op5_suffix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(_documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -41,10 +55,44 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return find_overlaps(_documents(spark, sf_dir, "doc_id", "text"), benchmark)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_substring_rlz, op5_suffix_doubling, op6_packing, op8_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_quality_rules,
+        op3_substring_rlz,
+        op4_warc_derivatives,
+        op5_suffix_doubling,
+        op6_packing,
+        op7_spaced_seeds,
+        op8_simhash,
+        op9_license_scan,
+        op10_url_filters,
+    )
+}
+#: The others are tested against brute force, as SQL has no tokenizer, XXH64 or
+#: closure over fingerprints, or is too slow on whole tables.
+ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.SQL,
+    "op4_warc_derivatives": warc.SQL,
+    "op9_license_scan": license_scan.SQL,
+    "op10_url_filters": url_filters.SQL,
+}

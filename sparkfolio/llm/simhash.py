@@ -155,8 +155,9 @@ def near_duplicates(
     """SimHash fingerprints and the components of those within ``radius`` bits.
 
     Returns one row per input row: the id, the columns named in ``carry``,
-    fp (bigint, the 64 bits), fingerprint (16 lowercase hex digits) and
-    component_id, the smallest id reachable over links, its own included.
+    fp (bigint, the 64 bits), fingerprint (16 lowercase hex digits),
+    component_id, the smallest id reachable over links, its own included, and
+    root, the smallest fp of the component.
 
     Null, empty and blank texts have fingerprint zero and link like any other.
     A null id is never a component's smallest unless all its ids are null (then
@@ -179,6 +180,6 @@ def near_duplicates(
     stars = components(link_fingerprints(least, shelf, radius), shelf)
     roots = least.join(stars, least["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = roots.join(lows, "root").select("fp", "component_id")
-    out = told.join(of_print, "fp").select(*names, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = roots.join(lows, "root").select("fp", "root", "component_id")
+    out = told.join(of_print, "fp").select(*names, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
     return out.withColumnsRenamed(dict(zip(names, [id_col, *carry])))

@@ -107,15 +107,16 @@ def _windows(length: int):
     return run
 
 
-def _cut(length: int, names: list[str]):
+def _cut(length: int, names: list[str], as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept, spans = [], [], [], []
             for i in range(batch.num_rows):
-                joined, starts, ends = words_of(unsqueeze(batch.column("text")[i].as_py()))
+                data = unsqueeze(batch.column("text")[i].as_py())
+                joined, starts, ends = words_of(data)
                 n = len(starts)
                 step = merged(batch.column("spans")[i].as_py(), length)
-                text = joined
+                text = data if as_is else joined
                 if len(step):
                     gone = np.zeros(n, bool)
                     for a, b in step.tolist():
@@ -138,14 +139,15 @@ def _cut(length: int, names: list[str]):
 
 
 def dedup_substrings(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, carry: tuple[str, ...] = ()
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 35, as_is: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Remove every word that lies in a ``length``-word sequence that also starts elsewhere.
 
     Returns one row per input row: the id, the columns named in ``carry``,
     n_words, n_removed, kept_text (remaining words joined by one blank) and
-    removed_spans (maximal removed word ranges, end exclusive). The input is
-    judged as it stands, whole, across and within documents.
+    removed_spans (maximal removed word ranges, end exclusive). With ``as_is``,
+    the kept_text of a document that loses nothing is its text as it stands. The
+    input is judged as it stands, whole, across and within documents.
 
     Null and empty texts have no words and an empty kept_text. A null id is
     kept. Repeated rows are copies of each other, so everything in them of a
@@ -171,5 +173,5 @@ def dedup_substrings(
     names = ["_id", *[f"_c{i}" for i in range(len(carry))]]
     kinds = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
     schema = f"{kinds}, n_words bigint, n_removed bigint, kept_text string, removed_spans array<struct<start:bigint,end:bigint>>"
-    out = squeezed(given).join(by_doc, ["d", "v"], "left").mapInArrow(_cut(length, names), schema)
+    out = squeezed(given).join(by_doc, ["d", "v"], "left").mapInArrow(_cut(length, names, as_is), schema)
     return out.withColumnsRenamed(dict(zip(names, [id_col, *carry])))
