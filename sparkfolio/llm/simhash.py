@@ -109,8 +109,9 @@ def link_fingerprints(fingerprints: DataFrame, shelf: Shelf, radius: int) -> Dat
         spread = todo.select("fp", "bucket", F.explode(tables).alias("t")).select(
             "fp", F.xxhash64("bucket", F.lit(level), "t.k", F.col("fp").bitwiseAND(F.col("t.m"))).alias("bucket")
         )
-        sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = shelf.keep(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # settled, so that a hot bucket can be split
         dealt = shelf.keep(spread.join(sizes, "bucket"))
+        shelf.drop(sizes)
         small = dealt.where(F.col("n") <= BUCKET).select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
         found = shelf.keep(small.mapInArrow(_links(radius), "a bigint, b bigint").distinct())
         links = found if links is None else links.unionByName(found)
