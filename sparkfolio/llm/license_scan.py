@@ -68,30 +68,35 @@ _NOT_WORD = r"[^\\p{L}\\p{N}]+"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _words(text: str) -> str:
-    plain = f"trim(regexp_replace({_FOLD.format(text)}, '{_NOT_WORD}', ' '))"
-    return f"transform(array({plain}), t -> if(t = '', cast(array() as array<string>), split(t, ' ')))[0]"
+def _plain(text: str) -> str:
+    return f"trim(regexp_replace({_FOLD.format(text)}, '{_NOT_WORD}', ' '))"
 
 
-_HASHES = "transform(slice(_words, 1, greatest(size(_words) - 4, 0)), (w, i) -> xxhash64(w, _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4]))"
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is then computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _bands(windows: str) -> str:
-    """Band keys of an array of windows (arrays of shingle hashes)."""
-    return "concat(" + ", ".join(f"transform({windows}, s -> xxhash64({k}, array_min(transform(s, x -> x ^ {c}L))))" for k, c in enumerate(PERMUTATIONS)) + ")"
+def _hashed(body: str) -> str:
+    """``body`` with ``h`` bound to the shingle hashes of the column ``plain``."""
+    words = "if(plain = '', cast(array() as array<string>), split(plain, ' '))"
+    return _let(words, "ws", _let("transform(slice(ws, 1, greatest(size(ws) - 4, 0)), (w, i) -> xxhash64(w, ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4]))", "h", body))
 
 
-def _windows(stride: int) -> str:
-    return f"if(size(_h) < {WINDOW}, cast(array() as array<array<bigint>>), transform(sequence(1, size(_h) - {WINDOW - 1}, {stride}), i -> slice(_h, i, {WINDOW})))"
+def _bands(stride: int) -> str:
+    """Band keys of the windows of ``h`` that start every ``stride``."""
+    cut = f"if(size(h) < {WINDOW}, cast(array() as array<array<bigint>>), transform(sequence(1, greatest(1, size(h) - {WINDOW - 1}), {stride}), i -> slice(h, i, {WINDOW})))"
+    keys = ", ".join(f"transform(windows, s -> xxhash64({k}, array_min(transform(s, x -> x ^ {c}L))))" for k, c in enumerate(PERMUTATIONS))
+    return _let(cut, "windows", f"concat({keys})")
 
 
 def _index(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     """(template, license, shingles, key): the templates under each of their keys."""
     given = docs.sparkSession.createDataFrame([(k, t.name, t.text) for k, t in enumerate(templates)], "template int, license string, _text string")
-    cut = given.withColumn("_words", F.expr(_words("_text"))).withColumn("_h", F.expr(_HASHES))
-    shingles = "array_distinct(transform(slice(_words, 1, greatest(size(_words) - 4, 0)), (w, i) -> concat_ws(' ', slice(_words, i + 1, 5))))"
-    keys = f"if(size(_h) < {LONG}, _h, {_bands(_windows(1))})"
-    return cut.selectExpr("template", "license", f"{shingles} AS shingles", f"explode(array_distinct({keys})) AS key")
+    cut = given.selectExpr("template", "license", f"{_plain('_text')} AS plain")
+    shingles = _let("split(plain, ' ')", "ws", "array_distinct(transform(slice(ws, 1, greatest(size(ws) - 4, 0)), (w, i) -> concat_ws(' ', slice(ws, i + 1, 5))))")
+    keys = _hashed(f"array_distinct(if(size(h) < {LONG}, h, {_bands(1)}))")
+    return cut.selectExpr("template", "license", f"{shingles} AS shingles", f"explode({keys}) AS key")
 
 
 def scan_licenses(
@@ -113,11 +118,11 @@ def scan_licenses(
         raise ValueError("a template needs five words")
     index = _index(docs, templates)
     keys = sorted(r["key"] for r in index.select("key").distinct().collect())
-    known = F.array(*[F.lit(k).cast("bigint") for k in keys])
-    cut = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
-    cut = cut.withColumn("_words", F.expr(_words("_text"))).withColumn("_h", F.expr(_HASHES))
-    probes = cut.withColumn("_keys", F.array_intersect(F.concat("_h", F.expr(_bands(_windows(STRIDE)))), known))
-    hits = probes.where(F.size("_keys") > 0).selectExpr("_id", "concat(' ', array_join(_words, ' '), ' ') AS plain", "explode(_keys) AS key")
+    known_keys = ", ".join(f"{k}L" if k > -(1 << 63) else "(-9223372036854775807L - 1L)" for k in keys)
+    cut = docs.select(F.col(id_col).alias("_id"), F.expr(_plain(f"`{text_col}`")).alias("plain"))
+    found = _hashed(f"array_intersect(concat(h, {_bands(STRIDE)}), array({known_keys}))")
+    # explode_outer, as a filter inferred from explode would compute the keys twice
+    hits = cut.selectExpr("_id", "concat(' ', plain, ' ') AS plain", f"explode_outer({found}) AS key")
     pairs = hits.join(F.broadcast(index), "key")
     told = pairs.selectExpr("_id", "template", "license", "cast(size(filter(shingles, s -> contains(plain, concat(' ', s, ' ')))) as bigint) AS n_found", "cast(size(shingles) as bigint) AS n_shingles")
     return told.where(F.col("n_found") >= containment * F.col("n_shingles")).distinct().withColumnRenamed("_id", id_col)

@@ -30,7 +30,7 @@ PARTS = "[|•·»›]"
 SYMBOLS = "#*$%&|<>"
 
 #: Characters between words.
-_SEPARATORS = " \\t\\n\\u000B\\f\\r"
+_SEPARATORS = " \\t\\n\\u000B\\u000C\\r"
 _WORD_GAP = r"[ \\t\\n\\u000B\\f\\r]+"
 
 
@@ -49,10 +49,10 @@ def _without(x: str, characters: str) -> str:
 
 _words = _let(_trimmed("_text"), "t", f"if(t = '', cast(array() as array<string>), split(t, '{_WORD_GAP}'))")
 
-#: Words in three-word windows that occur again: windows are sorted by hash, the
-#: places of equal neighbours put in order, and their union measured.
+#: Of words ``ws``, those in three-word windows that occur again: windows are
+#: sorted by hash, the places of equal neighbours put in order, and their union measured.
 _repeated = _let(
-    "transform(slice(_words, 1, greatest(size(_words) - 2, 0)), (w, i) -> xxhash64(w, _words[i + 1], _words[i + 2]))",
+    "transform(slice(ws, 1, greatest(size(ws) - 2, 0)), (w, i) -> xxhash64(w, ws[i + 1], ws[i + 2]))",
     "h",
     "if(size(array_distinct(h)) = size(h), 0L, "
     + _let(
@@ -113,28 +113,27 @@ def judge(
     """
     names = ["_id", *[f"_c{i}" for i in range(len(carry))]]
     given = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    cut = given.withColumn("_words", F.expr(_words)).withColumn("_lines", F.expr(f"filter(split(_text, '\\n'), l -> {_trimmed('l')} <> '')"))
     passes = _line_passes(max_symbols, max_shouts, max_parts, boiler_words)
+    blank = f"{_trimmed('line')} = ''"
     total = "aggregate({}, 0L, (n, line) -> n + length(line))"
-    told = cut.selectExpr(
-        *names,
-        "cast(size(_words) as bigint) AS n_words",
-        f"cast(length({_without('_text', _SEPARATORS)}) as bigint) AS word_chars",
-        f"cast(length(_text) - length({_without('_text', SYMBOLS)}) as bigint) AS n_symbols",
-        "cast(size(_lines) - size(array_distinct(_lines)) as bigint) AS n_dup_lines",
-        f"{_repeated} AS n_repeat_words",
-        f"{total.format('_lines')} AS line_chars",
-        f"filter(split(_text, '\\n'), line -> {_trimmed('line')} = '' OR {passes}) AS _clean",
-    ).withColumn("_passed", F.expr(f"array_distinct(filter(_clean, l -> {_trimmed('l')} <> ''))"))
+    # One expression with bound names: a filter on the verdict may be pushed
+    # below the projections, and must not spell shared parts out inside lambdas.
+    counted = (
+        "struct(cast(size(ws) as bigint) AS n_words, "
+        f"cast(length({_without('_text', _SEPARATORS)}) as bigint) AS word_chars, "
+        f"cast(length(_text) - length({_without('_text', SYMBOLS)}) as bigint) AS n_symbols, "
+        "cast(size(lines) - size(once) as bigint) AS n_dup_lines, "
+        f"{_repeated} AS n_repeat_words, "
+        f"{total.format('lines')} AS line_chars, "
+        f"{total.format('filter(once, line -> ' + passes + ')')} AS passed_chars, "
+        f"array_join(filter(split(_text, '\\n'), line -> {blank} OR {passes}), '\\n') AS clean_text)"
+    )
+    lines = f"filter(split(_text, '\\n'), line -> NOT {blank})"
+    judged = _let(_words, "ws", _let(lines, "lines", _let("array_distinct(lines)", "once", counted)))
+    told = given.selectExpr(*names, f"{judged} AS _j").select(*names, "_j.*")
     base = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
-    out = told.selectExpr(
-        *names,
-        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
-        f"{base} AS base_failed",
-        "line_chars",
-        f"{total.format('_passed')} AS passed_chars",
-        "array_join(_clean, '\\n') AS clean_text",
-    ).withColumn("kept", F.expr(f"NOT base_failed AND line_chars - passed_chars <= {max_loss} * line_chars"))
+    kept = f"NOT {base} AND line_chars - passed_chars <= {max_loss} * line_chars"
+    out = told.selectExpr(*names, *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), f"{base} AS base_failed", f"{kept} AS kept", "line_chars", "passed_chars", "clean_text")
     return out.withColumnsRenamed(dict(zip(names, [id_col, *carry])))
 
 
