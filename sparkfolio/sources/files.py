@@ -20,11 +20,11 @@ PDF_MAGIC, PDF_MAX_BYTES = b"%PDF-", 100 * 1024 * 1024
 
 
 def read_runs(spark: SparkSession, folder: str, schema: str = RUN_SCHEMA) -> DataFrame:
-    """Every readable run record under ``folder``, one a directory, prediction before
-    request; malformed records are skipped, never fatal."""
-    raw = (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "{prediction,request}.json").json(folder)
-    )
+    """Every readable run record up to three folders below ``folder``, one a directory,
+    prediction before request; malformed records are skipped, never fatal."""
+    # a glob, as listing a folder would pass over names that start with "_", such as _pending
+    paths = f"{folder}/{{*,*/*,*/*/*}}/{{prediction,request}}.json"
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
     placed = raw.withColumn("path", F.col("_metadata.file_path")).withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     rank = F.row_number().over(W.partitionBy("directory").orderBy("path"))  # "prediction" sorts first
     return placed.where("_corrupt_record IS NULL").withColumn("_rn", rank).where("_rn = 1").drop("_rn", "_corrupt_record")
