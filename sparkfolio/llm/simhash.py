@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Shelf
 from .substring_rlz import words_of
@@ -184,3 +185,30 @@ def near_duplicates(
     of_print = roots.join(lows, "root").select("fp", "root", "component_id")
     out = told.join(of_print, "fp").select(*names, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
     return out.withColumnsRenamed(dict(zip(names, [id_col, *carry])))
+
+
+def shingles(data: bytes, size: int) -> set[bytes]:
+    """The distinct word shingles that ``fingerprint`` hashes."""
+    joined, starts, ends = words_of(data.lower())
+    k = min(size, len(starts))
+    return {joined[a:b] for a, b in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist())} if k else set()
+
+
+def similar(pairs: DataFrame, left: str, right: str, *, shingle: int = 5, at_least: float = 0.8) -> DataFrame:
+    """Adds ``alike``: whether the Jaccard similarity of two texts' shingle sets is
+    at least ``at_least``. Null texts count as empty; two empty texts are alike."""
+    schema = T.StructType([*pairs.schema.fields, T.StructField("alike", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for i in range(batch.num_rows):
+                x, y = ((batch.column(c)[i].as_py() or "") for c in (left, right))
+                if x != y:
+                    a, b = shingles(x.encode(), shingle), shingles(y.encode(), shingle)
+                    alike.append(len(a & b) >= at_least * len(a | b))
+                else:
+                    alike.append(True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(alike, pa.bool_())], names=schema.names)
+
+    return pairs.mapInArrow(run, schema)

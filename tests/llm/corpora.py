@@ -104,5 +104,10 @@ def near(rows, shingle, radius):
     return [(i, f"{f:016x}", low.get(root(k))) for k, ((i, *_), f) in enumerate(zip(rows, fps))]
 
 
+def alike(x, y, shingle, at_least):
+    a, b = ({tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle, 0) + 1)} for w in (x.encode().lower().split(), y.encode().lower().split()))
+    return len(a & b) >= at_least * len(a | b)
+
+
 def ordered(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, x) for x in r))
