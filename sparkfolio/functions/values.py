@@ -69,14 +69,15 @@ def parse_duration(raw: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """"<1s", "2.5s" under ten seconds, "42s", "3m 05s"."""
-    whole = F.round(seconds).cast("bigint")
+    """"<1 s", "2.5 s" under ten seconds, "42 s", "3 min 5 s", and a full minute carried."""
+    minutes, rest = F.floor(seconds / 60), F.round(seconds % 60).cast("bigint")
     return (
-        F.when(seconds.isNull(), "—")
-        .when(seconds < 1, "<1s")
-        .when(seconds < 10, F.concat(F.format_string("%.1f", F.floor(seconds * 10 + 0.5) / 10), F.lit("s")))
-        .when(whole < 60, F.concat(whole.cast("string"), F.lit("s")))
-        .otherwise(F.concat(F.floor(whole / 60).cast("string"), F.lit("m "), F.lpad((whole % 60).cast("string"), 2, "0"), F.lit("s")))
+        F.when(seconds.isNull() | F.isnan(seconds) | (seconds < 0), "—")
+        .when(seconds < 1, "<1 s")
+        .when(seconds < 10, F.format_string("%.1f s", seconds))
+        .when(seconds < 60, F.format_string("%.0f s", seconds))
+        .when(rest == 60, F.format_string("%d min", minutes + 1))
+        .otherwise(F.format_string("%d min %d s", minutes, rest))
     )
 
 

@@ -201,7 +201,8 @@ def partition_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("duration_parse_format", """WITH given AS (SELECT event_id, event_id % 4 AS f, event_id % 100 AS n FROM events), s AS (SELECT event_id, CASE f WHEN 0 THEN n::DOUBLE WHEN 1 THEN n + 1 * 60.0::DOUBLE WHEN 2 THEN (n * 10) * 0.001::DOUBLE END AS seconds FROM given)
-SELECT event_id, round(seconds, 6) AS seconds, CASE WHEN seconds IS NULL THEN '—' WHEN seconds < 1 THEN '<1s' WHEN seconds < 10 THEN printf('%.1f', floor(seconds * 10 + 0.5::DOUBLE) / 10) || 's' WHEN round(seconds) < 60 THEN round(seconds)::BIGINT || 's' ELSE (round(seconds)::BIGINT // 60) || 'm ' || lpad((round(seconds)::BIGINT % 60)::VARCHAR, 2, '0') || 's' END AS shown FROM s""")
+SELECT event_id, round(seconds, 6) AS seconds, CASE WHEN seconds IS NULL THEN '—' WHEN seconds < 1 THEN '<1 s' WHEN seconds < 10 THEN printf('%.1f s', seconds) WHEN seconds < 60 THEN printf('%.0f s', seconds)
+  WHEN round(seconds % 60) = 60 THEN (floor(seconds / 60) + 1)::BIGINT || ' min' ELSE floor(seconds / 60)::BIGINT || ' min ' || round(seconds % 60)::BIGINT || ' s' END AS shown FROM s""")
 def duration_parse_format(spark: SparkSession, folder: str) -> DataFrame:
     n, f = (F.col("event_id") % 100).cast("string"), F.col("event_id") % 4
     raw = F.when(f == 0, n).when(f == 1, F.concat(F.lit("1m"), n, F.lit("s"))).when(f == 2, F.concat(((F.col("event_id") % 100) * 10).cast("string"), F.lit("ms"))).otherwise("soon")
