@@ -67,16 +67,19 @@ def settle_runs(runs: DataFrame, shelf: Shelf) -> DataFrame:
     """Runs with a repeated anchor, with ``whole`` (the whole stretch occurs
     again) and ``lead`` (the first of the runs of one stretch)."""
     runs = shelf.keep(runs)
-    again = runs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    # Aggregates are settled before they are joined: a join straight on an
+    # aggregate reuses its exchange, and Spark cannot split a hot key there.
+    again = shelf.keep(runs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
     shared = shelf.keep(runs.join(again, "a"))
-    shelf.drop(runs)
+    shelf.drop(runs, again)
     names = shared.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "v", "p")).alias("first"))
+    names = shelf.keep(names)
     told = shelf.keep(
         shared.join(names, ["a", "s"]).select(
             "d", "v", "p", "q", "m", "a", (F.col("n") > 1).alias("whole"), (F.col("first") == F.struct("d", "v", "p")).alias("lead")
         )
     )
-    shelf.drop(shared)
+    shelf.drop(shared, names)
     return told
 
 

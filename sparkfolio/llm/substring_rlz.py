@@ -164,10 +164,10 @@ def dedup_substrings(
     to_look = squeezed(short).join(open_runs(told), ["d", "v"])
     schema = "d bigint, v int, p int, a bigint, w bigint, whole boolean"
     windows = shelf.keep(to_look.mapInArrow(_windows(length), schema))
-    twice = windows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "w")
+    twice = shelf.keep(windows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "w"))
     single = windows.where(~F.col("whole")).join(twice, ["a", "w"]).select("d", "v", "p", F.lit(0).alias("q"))
     spans = shelf.keep(told.where("whole").select("d", "v", "p", "q").unionByName(single))
-    shelf.drop(told, windows)
+    shelf.drop(told, windows, twice)
     by_doc = spans.groupBy("d", "v").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
     given = docs.select(*row_key(id_col, text_col), text, F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     names = ["_id", *[f"_c{i}" for i in range(len(carry))]]

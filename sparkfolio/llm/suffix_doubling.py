@@ -155,9 +155,11 @@ def dedup_bytes(
     for size in sizes:
         ranked = shelf.keep(alive.mapInArrow(_ranks(length, size, wider), "d bigint, v int, p int, i int, x int, q int, a bigint, core bigint, span bigint"))
         cores = ranked.groupBy("a", "i", "core").agg((F.min("span") != F.max("span")).alias("mixed"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+        cores = shelf.keep(cores)
         names = ranked.groupBy("a", "i", "core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "v", "p")).alias("first"))
+        names = shelf.keep(names)
         told_now = shelf.keep(ranked.join(cores, ["a", "i", "core"]).join(names, ["a", "i", "core", "span"]).select("d", "v", "p", "i", "x", "q", "mixed", "n", "first"))
-        shelf.drop(ranked)
+        shelf.drop(ranked, cores, names)
         used.append(told_now)
         spans = spans.unionByName(told_now.where("n > 1").select("d", "v", F.col("x").alias("p"), "q"))
         left = told_now.where(F.col("mixed") & ((F.col("n") == 1) | (F.col("first") == F.struct("d", "v", "p"))))
