@@ -116,8 +116,9 @@ def judge(
     passes = _line_passes(max_symbols, max_shouts, max_parts, boiler_words)
     blank = f"{_trimmed('line')} = ''"
     total = "aggregate({}, 0L, (n, line) -> n + length(line))"
-    # One expression with bound names: a filter on the verdict may be pushed
-    # below the projections, and must not spell shared parts out inside lambdas.
+    # One expression with bound names, so that nothing shared is spelled out in
+    # lambdas; the id, always at least 0, keeps the optimizer from pushing a filter
+    # on the verdict below it, which would compute everything once per column.
     counted = (
         "struct(cast(size(ws) as bigint) AS n_words, "
         f"cast(length({_without('_text', _SEPARATORS)}) as bigint) AS word_chars, "
@@ -130,7 +131,7 @@ def judge(
     )
     lines = f"filter(split(_text, '\\n'), line -> NOT {blank})"
     judged = _let(_words, "ws", _let(lines, "lines", _let("array_distinct(lines)", "once", counted)))
-    told = given.selectExpr(*names, f"{judged} AS _j").select(*names, "_j.*")
+    told = given.selectExpr(*names, f"if(monotonically_increasing_id() >= 0, {judged}, NULL) AS _j").select(*names, "_j.*")
     base = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
     kept = f"NOT {base} AND line_chars - passed_chars <= {max_loss} * line_chars"
     out = told.selectExpr(*names, *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), f"{base} AS base_failed", f"{kept} AS kept", "line_chars", "passed_chars", "clean_text")
