@@ -7,8 +7,8 @@ positions span less than the whole space, so some v is orthogonal to all of
 them: that table's mask skips every difference and the pair collides there.
 With radius 4 that is 31 tables of about 33 fixed bits.
 
-Buckets of up to ``BUCKET`` distinct fingerprints are compared inside a task,
-which keeps a spanning forest of links and not all pairs. A larger bucket is
+Buckets of up to ``BUCKET`` distinct fingerprints are searched inside a task,
+which finds a spanning forest of links and holds no pairs. A larger bucket is
 dealt out again by the 31 masks of another vector assignment, which fixes about
 half of the bits left free, until all are small: a link inside it collides
 there too. Components come from alternating large-star and small-star steps.
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import Shelf
 from .substring_rlz import words_of
 
-BITS, BUCKET = 64, 256
+BITS, BUCKET = 64, 4096
 
 
 def fingerprint(data: bytes, shingle: int) -> int:
@@ -62,17 +62,17 @@ def _links(radius: int):
     """Spanning links of each bucket; rows come sorted by bucket."""
 
     def forest(f: np.ndarray) -> Iterator[tuple[int, int]]:
-        near = np.bitwise_count(f[:, None] ^ f[None, :]) <= radius
-        left = np.ones(len(f), bool)
-        while left.any():
-            todo = [int(left.argmax())]
-            left[todo[0]] = False
-            while todo:
+        left = f
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
                 u = todo.pop()
-                new = np.flatnonzero(near[u] & left)
-                left[new] = False
-                todo += new.tolist()
-                yield from ((int(f[u]), int(f[v])) for v in new)
+                near = np.bitwise_count(left ^ u) <= radius
+                if near.any():
+                    new = left[near]
+                    todo += [*new]
+                    left = left[~near]
+                    yield from ((int(u), int(v)) for v in new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_t, held_f = None, np.zeros(0, np.uint64)
