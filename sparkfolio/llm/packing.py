@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Shelf
-from .token_counts import ids_bytes, pieces_of
+from .token_counts import encoded, ids_bytes
 
 #: Most bases (partitions times queues) that a join may broadcast.
 SMALL_TABLE = 200_000
@@ -35,12 +35,12 @@ SMALL_TABLE = 200_000
 
 def _tokens(path: str, names: list[str], end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, behind = pieces_of(path, ids_bytes), TaskContext.get().partitionId(), {}
+        part, behind = TaskContext.get().partitionId(), {}
         tail = ids_bytes([end])
         for batch in batches:
             sizes, places, ids = [], [], []
-            for i in range(batch.num_rows):
-                x = b"".join(table.text(batch.column("text")[i].as_py() or "")) + tail
+            for i, (_, x) in enumerate(encoded(path, batch.column("text"))):
+                x += tail
                 source, n = batch.column("queue")[i].as_py(), len(x) // 4
                 places.append(behind.get(source, 0))
                 behind[source] = places[-1] + n

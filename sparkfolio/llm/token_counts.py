@@ -2,17 +2,20 @@
 
 A pre-token of the byte-level pattern never has a blank after a character that
 is not white space, so a text may be cut before such a blank if the next
-character is not white space either: the pieces encode as the text does. Each
-Arrow batch is cut into pieces, the distinct unknown pieces are encoded in
-batches of bounded bytes, and sums of lengths leave the function. Known pieces
-stay in a bounded table of the Python worker, which tasks of one executor reuse.
+character is not white space either: the pieces encode as the text does. A line
+feed between two such characters is a pre-token of its own. The
+texts of an Arrow batch are taken in groups of bounded bytes and cut into
+pieces, the distinct unknown pieces are encoded in calls of bounded bytes, and
+lengths leave the function. Known pieces stay in a bounded table of the Python
+worker, which tasks of one executor reuse.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -20,70 +23,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a Python worker remembers, and their longest length in characters.
-REMEMBERED, LONGEST = 400_000, 40
-#: UTF-8 bytes that go to the library in one call, about.
-CALL_BYTES = 1 << 18
+REMEMBERED, LONGEST = 600_000, 16
+#: UTF-8 bytes, about, of the texts looked at together and of one call of the library.
+GROUP_BYTES, CALL_BYTES = 1 << 21, 1 << 17
 
 _safe = re.compile(r"(?<=\S)(?= \S)")
-_unsafe = re.compile(r" \s|\s ")
+_unsafe = re.compile(r"[ \n]\s|\s[ \n]")
+#: Pieces that may be encoded in one string, a line each: a line feed between
+#: them is a pre-token of its own. None holds white space or a special string.
+_plain = re.compile(r"[^\s<]+\Z")
+
+
+def ids_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    return np.array(ids, "<u4").tobytes()
 
 
 class Pieces:
-    """Encodes pieces with a tokenizers file; ``known`` and ``first`` map pieces to ``of(ids)``."""
+    """Encodes texts with a tokenizers file, piece by piece; ``known`` holds pieces met before, without their blank."""
 
-    def __init__(self, path: str, of: Callable):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.of, self.known = of, {}
-
-    def encode(self, pieces: list[str]) -> list:
-        out, k = [], 0
-        while k < len(pieces):
-            e, size = k, 0
-            while e < len(pieces) and (e == k or size < CALL_BYTES):
-                size += len(pieces[e])
-                e += 1
-            out += [self.of(x.ids) for x in self.tokenizer.encode_batch(pieces[k:e], add_special_tokens=False)]
-            k = e
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        return [ids_bytes(x.ids) for part in _calls(pieces) for x in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+
+    def encode_lines(self, pieces: list[str], before: str) -> list[bytes]:
+        """``pieces`` are plain; each is encoded as if it stood after ``before`` (a blank or nothing)."""
+        out: list[bytes] = []
+        for part in _calls(pieces):
+            ids = np.array(self.tokenizer.encode(before + f"\n{before}".join(part), add_special_tokens=False).ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.line_feed[0])).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)]
         return out
 
-    def text(self, text: str) -> list:
-        """What each piece of the text maps to, in order."""
-        if not text:
-            return []
-        if _unsafe.search(text):
-            head, *rest = _safe.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            head, *rest = text.split(" ")
-        return [*self.encode([head] if head else []), *self.parts(rest)]
-
-    def parts(self, parts: list[str]) -> list:
-        """``parts`` stand after a blank each."""
-        out = list(map(self.known.get, parts))
-        if None in out:
-            new = list({p for p, x in zip(parts, out) if x is None})
-            now = dict(zip(new, self.encode([" " + p for p in new])))
-            out = [now[p] if x is None else x for p, x in zip(parts, out)]
-            if len(self.known) < REMEMBERED:
-                self.known.update((p, x) for p, x in now.items() if len(p) <= LONGEST)
+    def encode_all(self, pieces: set[str], before: str) -> dict[str, bytes]:
+        plain = [p for p in pieces if _plain.match(p)] if len(self.line_feed) == 1 else []
+        odd = list(pieces.difference(plain))
+        return dict(zip(plain, self.encode_lines(plain, before))) | dict(zip(odd, self.encode([before + p for p in odd])))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        cut = [_cut(t) for t in texts]
+        heads = [[line.pop(0) for line in lines] for lines in cut]
+        first = self.encode_all({h for x in heads for h in x}, "")
+        now = self.encode_all({p for lines in cut for x in lines for p in filterfalse(self.known.__contains__, x)}, " ")
+        self.known.update(now)
+        feed = ids_bytes(self.line_feed)
+        out = [feed.join([first[h] + b"".join(map(self.known.__getitem__, x)) for h, x in zip(hs, lines)]) for hs, lines in zip(heads, cut)]
+        for p in now:
+            if len(self.known) > REMEMBERED or len(p) > LONGEST:
+                del self.known[p]
         return out
 
 
-_workers: dict[tuple, Pieces] = {}
+def _cut(text: str) -> list[list[str]]:
+    """Lines, each as its first piece and the further ones without the blank they
+    start with. Where blanks or line feeds stand beside white space, one line."""
+    if not _unsafe.search(text):
+        return [line.split(" ") for line in text.split("\n")]
+    first, *rest = _safe.split(text)
+    return [[first, *(x[1:] for x in rest)]]
 
 
-def ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _calls(pieces: list[str]) -> Iterator[list[str]]:
+    """The pieces in runs of about CALL_BYTES."""
+    part, size = [], 0
+    for p in pieces:
+        part.append(p)
+        size += len(p) + 1
+        if size >= CALL_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+_workers: dict[str, Pieces] = {}
 
 
-def pieces_of(path: str, of: Callable) -> Pieces:
-    """This Python worker's table for the file."""
-    if (path, of) not in _workers:
-        _workers[path, of] = Pieces(path, of)
-    return _workers[path, of]
+def encoded(path: str, texts: pa.Array) -> Iterator[tuple[str, bytes]]:
+    """Each text (null: empty) with its ids, in order, by groups of bounded bytes."""
+    if path not in _workers:
+        _workers[path] = Pieces(path)
+    group, size = [], 0
+    for i in range(len(texts)):
+        group.append(texts[i].as_py() or "")
+        size += len(group[-1])
+        if size >= GROUP_BYTES or i == len(texts) - 1:
+            yield from zip(group, _workers[path].texts(group))
+            group, size = [], 0
 
 
 def count_tokens(
@@ -108,13 +143,11 @@ def count_tokens(
     kinds = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces_of(path, len)
         for batch in batches:
             sizes, counts = [], []
-            for i in range(batch.num_rows):
-                text = batch.column("text")[i].as_py() or ""
+            for text, ids in encoded(path, batch.column("text")):
                 sizes.append(len(text.encode()))
-                counts.append(sum(table.text(text)))
+                counts.append(len(ids) // 4)
             cols = [*[batch.column(n) for n in names], pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "n_tokens"])
 
