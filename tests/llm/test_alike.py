@@ -50,6 +50,15 @@ def test_copies_under_an_unlike_leader(spark):
     assert kept_ids(spark, texts) == first_of_alike(texts) == [(False, 1), (False, 2)]
 
 
+def test_copies_at_many_bits(spark):
+    texts = []
+    for k in range(8):
+        a, b = (t.replace("w", "v" * (k + 1)) for t in edited(lambda same, bits: same and bits > p.RADIUS + 1 + k % 4))
+        texts += [(10 * k, a), (10 * k + 1, b)]
+    texts += [(i + 1000, t) for i, t, _ in corpora.awkward(seed=9) if i is not None and i != 3]
+    assert kept_ids(spark, texts) == first_of_alike(list({i: (i, t) for i, t in texts}.values()))
+
+
 @pytest.mark.parametrize("pairs", [0, 4])
 def test_rounds_settle_as_brute_force(spark, monkeypatch, pairs):
     monkeypatch.setattr(alike, "PAIRS", pairs)
