@@ -72,7 +72,7 @@ def _line_passes(max_symbols: float, max_shouts: float, max_parts: float, boiler
         "l",
         f"(l.n < 3 OR l.t rlike '{ENDS}')"
         f" AND length(l.t) - length({_without('l.t', SYMBOLS)}) <= {max_symbols} * l.n"
-        f" AND (instr(l.t, '!!') = 0 AND instr(l.t, '??') = 0 OR regexp_count(l.t, '[!?]{{2,}}') <= {max_shouts} * l.n)"
+        f" AND (instr(l.t, '!!') = 0 AND instr(l.t, '??') = 0 AND instr(l.t, '!?') = 0 AND instr(l.t, '?!') = 0 OR regexp_count(l.t, '[!?]{{2,}}') <= {max_shouts} * l.n)"
         f" AND regexp_count(l.t, '{PARTS}') <= greatest(2, {max_parts} * l.n)"
         f" AND NOT (l.n <= {boiler_words} AND lower(l.t) rlike '{phrases}')",
     )
@@ -93,7 +93,7 @@ def judge(
     """Counts and verdict of each whole text.
 
     A line with words passes if it has a sentence mark (or under three words),
-    at most ``max_symbols`` symbols, ``max_shouts`` doubled !! or ?? and
+    at most ``max_symbols`` symbols, ``max_shouts`` runs of two or more ! and ? and
     ``max_parts`` navigation separators a word (two always pass), and, in a line
     of up to ``boiler_words`` words, no boilerplate phrase. A line equal to an
     earlier one does not count again. The document is kept unless base_failed
