@@ -168,14 +168,15 @@ def find_overlaps(
     at most ``AROUND`` words beyond their hits. Items of under six folded words
     hold no seed and are never found.
 
-    Null and empty texts and items give no rows. Null ids are kept, repeated
-    rows give one row. Empty tables, of either side, give empty results. Other
+    Null and empty texts and items give no rows. Null ids are kept, of documents
+    and of items, repeated rows give one row. Empty tables, of either side, give empty results. Other
     columns are not read, so their names cannot clash. A benchmark of any size
     does: only a bitmap of fixed size reaches the driver.
     """
     spark, shelf = docs.sparkSession, Shelf(docs.sparkSession)
-    items = benchmark.select(F.col(item_id_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()
-    keyed = shelf.keep(items.mapInArrow(_item_seeds, "item bigint, place int, seed bigint"))
+    items = benchmark.select(F.col(item_id_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()
+    items = items.withColumn("item", F.xxhash64(F.col("item_id").isNull(), "item_id", "text"))  # never null
+    keyed = shelf.keep(items.select("item", "text").mapInArrow(_item_seeds, "item bigint, place int, seed bigint"))
     spot = F.col("seed").bitwiseAND(BITMAP_BITS - 1)
     bits = keyed.select(spot.alias("b")).distinct().selectExpr("bitmap_bucket_number(b + 1) AS k", "bitmap_bit_position(b + 1) AS p")
     parts = bits.groupBy("k").agg(F.expr("bitmap_construct_agg(p)").alias("bytes")).collect()
@@ -193,5 +194,5 @@ def find_overlaps(
     aligned = pairs.groupBy("d", "v", "lo", "item").agg(F.sort_array(F.collect_list(F.struct("shift", "place"))).alias("aligned"))
     to_check = aligned.join(found.select("d", "v", "lo", "_id", "words").distinct(), ["d", "v", "lo"]).join(items.withColumnRenamed("text", "item_text"), "item")
     schema = "_id bigint, item bigint, start int, end int, item_start int, n_matched int, item_words bigint"
-    out = to_check.select("_id", "item", "lo", "words", "aligned", "item_text").mapInArrow(_verify(overlap, penalty), schema).distinct()
+    out = to_check.select("_id", F.col("item_id").alias("item"), "lo", "words", "aligned", "item_text").mapInArrow(_verify(overlap, penalty), schema).distinct()
     return out.withColumnsRenamed({"_id": id_col, "item": item_id_col})
