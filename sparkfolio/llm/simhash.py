@@ -1,7 +1,7 @@
 """SimHash near-duplicates found by covering locality-sensitive hashing.
 
 Each of the 64 bit positions is given a non-zero vector of ``radius + 1`` bits,
-all vectors about equally often. For every non-zero vector v, a table keeps the
+such that every mask fixes many bits. For every non-zero vector v, a table keeps the
 positions whose vector has an odd product with v. At most ``radius`` differing
 positions span less than the whole space, so some v is orthogonal to all of
 them: that table's mask skips every difference and the pair collides there.
@@ -18,18 +18,20 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Shelf
 from .substring_rlz import words_of
 
 BITS, BUCKET = 64, 4096
+#: Vector choices of which the masks are the best, and exploded rows a task.
+CHOICES, SPREAD = 32, 1 << 20
 
 
 def fingerprint(data: bytes, shingle: int) -> int:
@@ -46,15 +48,31 @@ def fingerprint(data: bytes, shingle: int) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(h)))
 
 
+@cache
+def cover(bits: int, radius: int, level: int) -> list[int]:
+    """One mask of fixed bits per non-zero vector of ``radius + 1`` bits, over ``bits`` positions.
+
+    Positions get vectors at random, none again before all were given. Of some
+    such choices, made from ``level``, that with the fullest emptiest mask is
+    taken, as a mask of few bits has buckets of very many fingerprints.
+    """
+    top, best = 1 << (radius + 1), None
+    for k in range(CHOICES):
+        rng, vectors = random.Random(level * CHOICES + k + 1), []
+        while len(vectors) < bits:
+            vectors += rng.sample(range(1, top), top - 1)
+        at = np.array(vectors[:bits])
+        odd = np.bitwise_count(np.arange(1, top)[:, None] & at[None]) % 2 == 1
+        if best is None or odd.sum(1).min() > best.sum(1).min():
+            best = odd
+    return [sum(1 << i for i in np.flatnonzero(row).tolist()) for row in best]
+
+
 def masks(radius: int, level: int) -> list[int]:
-    """One mask of fixed bits per non-zero vector of ``radius + 1`` bits."""
-    top = 1 << (radius + 1)
-    vectors = [1 + i % (top - 1) for i in range(BITS)]
-    random.Random(level + 1).shuffle(vectors)
-    return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, top)]
+    return cover(BITS, radius, level)
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -106,8 +124,9 @@ def link_fingerprints(fingerprints: DataFrame, shelf: Shelf, radius: int) -> Dat
     links, level = None, 0
     todo = fingerprints.select("fp", F.lit(0).cast("bigint").alias("bucket"))
     while True:
-        tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).cast("bigint").alias("m")) for k, m in enumerate(masks(radius, level))])
-        spread = todo.select("fp", "bucket", F.explode(tables).alias("t")).select(
+        fixed = masks(radius, level)
+        tables = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(signed(m)).cast("bigint").alias("m")) for k, m in enumerate(fixed)])
+        spread = todo.repartition(1 + todo.count() * len(fixed) // SPREAD).select("fp", "bucket", F.explode(tables).alias("t")).select(
             "fp", F.xxhash64("bucket", F.lit(level), "t.k", F.col("fp").bitwiseAND(F.col("t.m"))).alias("bucket")
         )
         sizes = shelf.keep(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # settled, so that a hot bucket can be split
@@ -137,14 +156,16 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Smallest neighbours are settled before they are joined, so that Spark can split a node of very many neighbours.
+        least = shelf.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = shelf.keep(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        shelf.drop(least)
+        least = shelf.keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = shelf.keep(small)
-        shelf.drop(edges, large)
+        shelf.drop(edges, large, least)
         edges, now = after, state(after)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -174,7 +195,7 @@ def near_duplicates(
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_signed(fingerprint((batch.column("text")[i].as_py() or "").encode(), shingle)) for i in range(batch.num_rows)]
+            fps = [signed(fingerprint((batch.column("text")[i].as_py() or "").encode(), shingle)) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(fps, pa.int64())], names=[*names, "fp"])
 
     told = shelf.keep(given.mapInArrow(prints, f"{kinds}, fp bigint"))
@@ -185,30 +206,3 @@ def near_duplicates(
     of_print = roots.join(lows, "root").select("fp", "root", "component_id")
     out = told.join(of_print, "fp").select(*names, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
     return out.withColumnsRenamed(dict(zip(names, [id_col, *carry])))
-
-
-def shingles(data: bytes, size: int) -> set[bytes]:
-    """The distinct word shingles that ``fingerprint`` hashes."""
-    joined, starts, ends = words_of(data.lower())
-    k = min(size, len(starts))
-    return {joined[a:b] for a, b in zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist())} if k else set()
-
-
-def similar(pairs: DataFrame, left: str, right: str, *, shingle: int = 5, at_least: float = 0.8) -> DataFrame:
-    """Adds ``alike``: whether the Jaccard similarity of two texts' shingle sets is
-    at least ``at_least``. Null texts count as empty; two empty texts are alike."""
-    schema = T.StructType([*pairs.schema.fields, T.StructField("alike", T.BooleanType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            alike = []
-            for i in range(batch.num_rows):
-                x, y = ((batch.column(c)[i].as_py() or "") for c in (left, right))
-                if x != y:
-                    a, b = shingles(x.encode(), shingle), shingles(y.encode(), shingle)
-                    alike.append(len(a & b) >= at_least * len(a | b))
-                else:
-                    alike.append(True)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(alike, pa.bool_())], names=schema.names)
-
-    return pairs.mapInArrow(run, schema)
