@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,9 +51,22 @@ def unreadable(text: Column) -> Column:
     return (garble_ratio(text) >= GARBLE_LIMIT) | (mixed_token_ratio(text) >= MIXED_LIMIT)
 
 
+@cache
+def _compatibility() -> tuple[str, str]:
+    """Characters whose NFKC form is one other character, and these forms."""
+    pairs = [(c, f) for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(f := unicodedata.normalize("NFKC", c)) == 1 and f != c]
+    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs)
+
+
+def compatible(text: Column) -> Column:
+    """NFKC of the characters that it maps to one other: full-width, raised and styled
+    forms. The UDF ``nfkc`` also does those that it spells out or joins."""
+    return F.translate(text, *_compatibility())
+
+
 def fold_name(name: Column) -> Column:
-    """Lower-cased name with ``&`` spelled out and other marks blanked (for NFKC-stable names)."""
-    spelled = F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit(" and "))
+    """Lower-cased name in compatible characters with ``&`` spelled out and other marks blanked."""
+    spelled = F.replace(F.lower(compatible(F.coalesce(name, F.lit("")))), F.lit("&"), F.lit(" and "))
     return F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
 
 

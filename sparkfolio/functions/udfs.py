@@ -21,6 +21,12 @@ def casefold(values: pd.Series) -> pd.Series:
     return values.str.casefold()
 
 
+@F.pandas_udf(StringType())
+def identity(values: pd.Series) -> pd.Series:
+    """Letters and digits of the NFKC form, case folded; empty for a null."""
+    return values.map(lambda x: "".join(c for c in unicodedata.normalize("NFKC", x or "").casefold() if c.isalnum()))
+
+
 def _balanced(text: str, at: int) -> int:
     """End of the bracket-balanced slice that starts at ``at``, or -1; strings are skipped."""
     opener, closer = text[at], {"{": "}", "[": "]"}[text[at]]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import compatible
+
 # Words that stand for an absent number.
 NULL_TOKENS = ("", "-", "--", "—", "–", "n/a", "na", "n.a.", "none", "null", "nil", "not found", "not disclosed", "not applicable", "not presented")
 #: What may be cast to a number: SQL casts accept more, such as a trailing d.
@@ -18,7 +20,7 @@ def _number(text: Column) -> Column:
 def parse_money(raw: Column) -> Column:
     """struct(value, status): a text cell as a number ("ok"), nothing ("null"),
     or left alone for the contract to refuse ("unreadable")."""
-    text = F.trim(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""))
+    text = F.trim(F.regexp_replace(compatible(raw), r"(?U)^\s+|\s+$", ""))
     bare = F.regexp_replace(F.trim(text, F.lit("()")), "−", "-")
     bare = F.regexp_replace(bare, r"(?U)[$¥€£,\s]", "")
     bare = F.regexp_replace(bare, "(?i)(usd|mm|millions|million|m)$", "")
@@ -45,6 +47,15 @@ def parse_page(raw: Column) -> Column:
     return F.when(page > 0, page)
 
 
+def parse_page_number(number: Column) -> Column:
+    """struct(page, kind) of a page sent as a number: positive whole numbers stay,
+    other whole ones are null, and a fraction is left for the contract to refuse."""
+    whole = number == F.floor(number)
+    page = F.when(whole & (number > 0), number.cast("bigint"))
+    kind = F.when(number.isNotNull() & ~whole, "fraction").when(page.isNull(), "null").otherwise("number")
+    return F.struct(page.alias("page"), kind.alias("kind"))
+
+
 def parse_year(raw: Column) -> Column:
     """First 19xx or 20xx, else the text unchanged."""
     year = F.regexp_extract(raw, "((?:19|20)[0-9]{2})", 1)

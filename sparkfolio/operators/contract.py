@@ -27,14 +27,57 @@ def read_replies(replies: DataFrame) -> DataFrame:
     direct = F.when(kind.startswith("ARRAY"), F.col("payload")).otherwise(F.try_variant_get("payload", "$.rows", "variant"))
     rows, used = direct, F.when(kind.startswith("ARRAY"), "bare rows")
     nested = F.lit(None).cast("variant")
-    name = F.lit(None).cast("string")
+    name, boxed = F.lit(None).cast("string"), F.lit(False)
     for key in reversed(WRAPPERS):
         at = F.try_variant_get("payload", f"$.{key}", "variant")
         inner = F.try_variant_get("payload", f"$.{key}.rows", "variant")
         hit = F.coalesce(F.schema_of_variant(at).startswith("ARRAY"), F.lit(False))
         nested = F.when(inner.isNotNull(), inner).when(hit, at).otherwise(nested)
         name = F.when(inner.isNotNull() | hit, key).otherwise(name)
-    return read.withColumn("rows", F.coalesce(rows, nested)).withColumn("unwrapped", F.coalesce(used, F.when(direct.isNull(), name)))
+        boxed = F.when(inner.isNotNull(), True).when(hit, False).otherwise(boxed)
+    told = read.withColumn("rows", F.coalesce(rows, nested)).withColumn("unwrapped", F.coalesce(used, F.when(direct.isNull(), name)))
+    told = told.withColumn("boxed", F.coalesce(direct.isNull() & boxed, F.lit(False)))
+    year = F.try_variant_get("payload", "$.detected_fiscal_year", "string")
+    return told.withColumn("said_year", F.when(kind.startswith("OBJECT"), year)).withColumn("year", V.parse_year(F.col("said_year")))
+
+
+def reply_violations(read: DataFrame, by: list[str]) -> DataFrame:
+    """Breaches of a whole reply: (by…, code, message). ``read`` as ``read_replies`` gives it."""
+    kind = F.schema_of_variant("payload")
+    listed = F.coalesce(F.schema_of_variant("rows").startswith("ARRAY"), F.lit(False))
+    code = F.when(F.col("payload").isNull(), "payload").when(~kind.rlike("^(OBJECT|ARRAY)"), "payload").when(~listed, "rows")
+    message = F.when(F.col("payload").isNull(), "no JSON was found in the reply").when(~kind.rlike("^(OBJECT|ARRAY)"), F.concat(F.lit("an object with rows is expected, found "), F.lower(kind))).otherwise("rows are required")
+    bad_year = F.col("year").isNotNull() & ~F.trim("year").rlike("^[0-9]{4}$")
+    checks = F.array_compact(
+        F.array(
+            F.when(code.isNotNull(), F.struct(code.alias("code"), message.alias("message"))),
+            F.when(bad_year, F.struct(F.lit("fiscal_year").alias("code"), F.concat(F.lit("fiscal year has not four digits: "), F.col("year")).alias("message"))),
+        )
+    )
+    return read.select(*by, F.explode(checks).alias("c")).select(*by, "c.code", "c.message")
+
+
+def all_notes(read: DataFrame, repaired: DataFrame, schema: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, notes): what was repaired in each reply, in the order of the steps: wrapped or
+    unwrapped, fiscal year read, items renamed, values parsed, rows put in schema order."""
+    n = schema.count()  # a constant dimension
+    at = repaired.join(F.broadcast(schema.select("item", F.col("ord").alias("place"))), "item", "left")
+    step = W.partitionBy(*by).orderBy("ord")
+    order = at.withColumn("k", F.row_number().over(step) - 1).groupBy(*by).agg(
+        ((F.count(F.lit(1)) == n) & (F.count_distinct("place") == n) & F.bool_or(F.col("place") != F.col("k"))).alias("moved")
+    )
+    counted = repair_notes(repaired, by).withColumnRenamed("notes", "counted")
+    whole = read.select(*by, "unwrapped", "boxed", "said_year", "year").join(counted, by, "left").join(order, by, "left")
+    first = F.array_compact(
+        F.array(
+            F.when(F.col("unwrapped") == "bare rows", "wrapped a bare array of rows"),
+            F.when((F.col("unwrapped") != "bare rows") & F.col("boxed"), F.concat(F.lit("unwrapped the object under "), F.col("unwrapped"))),
+            F.when((F.col("unwrapped") != "bare rows") & ~F.col("boxed"), F.concat(F.lit("took "), F.col("unwrapped"), F.lit(" as rows"))),
+            F.when(F.col("year") != F.col("said_year"), F.concat(F.lit("read fiscal year "), F.col("year"), F.lit(" out of "), F.col("said_year"))),
+        )
+    )
+    last = F.when(F.col("moved"), F.array(F.lit("put rows in schema order"))).otherwise(F.array().cast("array<string>"))
+    return whole.select(*by, F.concat(first, F.coalesce("counted", F.array().cast("array<string>")), last).alias("notes"))
 
 
 def explode_rows(read: DataFrame, by: list[str]) -> DataFrame:
@@ -73,8 +116,10 @@ def repair_rows(rows: DataFrame, names: DataFrame) -> DataFrame:
     out = out.withColumn("answer_kind", F.when(text_money & (money["status"] == "ok"), "number").when(text_money & (money["status"] == "null"), "null").otherwise(F.col("answer_kind")))
     out = out.withColumn("sure", F.when(text_sure, sure["value"]))
     out = out.withColumn("confidence_kind", F.when(F.col("confidence_kind") == "string", F.when(sure["status"] == "ok", "number").otherwise("string")).otherwise(F.col("confidence_kind")))
-    out = out.withColumn("page_no", F.when(F.col("page_kind").isin("string", "number"), V.parse_page(F.col("page"))))
-    return out.withColumn("page_kind", F.when(F.col("page_kind") == "string", F.when(F.col("page_no").isNull(), "null").otherwise("number")).otherwise(F.col("page_kind")))
+    number = V.parse_page_number(F.col("page").try_cast("double"))
+    out = out.withColumn("page_no", F.when(F.col("page_kind") == "string", V.parse_page(F.col("page"))).when(F.col("page_kind") == "number", number["page"]))
+    read = F.when(F.col("page_no").isNull(), "null").otherwise("number")
+    return out.withColumn("page_kind", F.when(F.col("page_kind") == "string", read).when(F.col("page_kind") == "number", number["kind"]).otherwise(F.col("page_kind")))
 
 
 def repair_notes(repaired: DataFrame, by: list[str]) -> DataFrame:
@@ -141,11 +186,12 @@ def violations(rows: DataFrame, schema: DataFrame, by: list[str]) -> DataFrame:
         .where("bad = 0")
     )
     missing = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), "places")
+    names = F.array(*[F.lit(r["item"]) for r in schema.select("ord", "item").orderBy("ord").collect()])  # a constant dimension
     code = F.when(F.col("rows") != n, "row_count").when(F.col("items") != F.col("rows"), "duplicates").when(F.size(missing) > 0, "missing").when(F.col("misplaced").isNotNull(), "order")
     message = (
         F.when(F.col("rows") != n, F.concat(F.lit(f"{n} rows expected, "), F.col("rows").cast("string"), F.lit(" found")))
         .when(F.col("items") != F.col("rows"), "an item occurs more than once")
-        .when(F.size(missing) > 0, F.concat(F.size(missing).cast("string"), F.lit(" items missing")))
+        .when(F.size(missing) > 0, F.concat(F.size(missing).cast("string"), F.lit(" items missing: "), F.array_join(F.transform(F.slice(missing, 1, 5), lambda k: F.get(names, k)), ", "), F.when(F.size(missing) > 5, "…").otherwise("")))
         .when(F.col("misplaced").isNotNull(), F.concat(F.lit("row "), F.col("misplaced").cast("string"), F.lit(" is out of order")))
     )
     listed = lists.select(*by, F.lit(None).cast("int").alias("ord"), code.alias("code"), message.alias("message")).where("code IS NOT NULL")

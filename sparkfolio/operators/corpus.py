@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import compatible
+from ..functions.udfs import identity
+
 # Words of annual reports, of other filings, of penalised pages, and trusted hosts.
 REPORT_WORDS = r"(?i)annual[-_\s]?report|form[-_\s]?10[-_\s]?k|10-k|有価証券報告書|有報|統合報告書|年次報告書"
 NON_ANNUAL = r"(?i)quarter(?:ly)?|interim|半期報告書|四半期|決算短信|決算説明"
@@ -30,7 +33,7 @@ def on_domain(url: Column, domain: Column) -> Column:
 def looks_like_report(url: Column, title: Column, description: Column, year: Column) -> Column:
     """Year and report words in the joined fields, and no other filing's words, spaced or not."""
     text = F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(title, F.lit("")), F.coalesce(description, F.lit("")))
-    packed = F.regexp_replace(text, r"(?U)\s+", "")
+    packed = F.regexp_replace(compatible(text), r"(?U)\s+", "")
     return text.contains(year.cast("string")) & text.rlike(REPORT_WORDS) & ~text.rlike(NON_ANNUAL) & ~packed.rlike(NON_ANNUAL)
 
 
@@ -57,26 +60,48 @@ def candidate_score(url: Column, title: Column, description: Column, year: Colum
 
 
 def trusted_filing(url: Column, company_key: Column, result_key: Column) -> Column:
-    return host(url).isin(*FILING_HOSTS) & (company_key != "") & result_key.contains(company_key)
+    """Whether a public filing host holds the page and the result names the company."""
+    return F.regexp_replace(host(url), r"^www\.", "").isin(*FILING_HOSTS) & (company_key != "") & result_key.contains(company_key)
 
 
 def discover(results: DataFrame, companies: DataFrame, years: list[int], best: int = 5) -> DataFrame:
     """Best candidates for each company and year.
 
     ``results``: company, seq, discovery, url, title, description. ``companies``:
-    company, domain. Search hits off an official domain are dropped; the first
-    hit of (company, year, url) counts; ties go to the smaller url.
+    company, domain. Search hits off an official domain are dropped, but for
+    filings on public filing hosts that name the company; the first hit of
+    (company, year, url) counts; ties go to the smaller url. ``source_verified``
+    tells filings and what the official site holds or leads to.
     """
+    companies = companies.withColumn("_company_key", identity("company"))
     joined = results.join(companies, "company").where(F.col("url").rlike("^https?://"))
     dated = joined.withColumn("year", primary_year(F.col("title"), F.col("url"), F.col("description"), years)).where("year IS NOT NULL")
     report = dated.where(looks_like_report(F.col("url"), F.col("title"), F.col("description"), F.col("year")))
-    strict = F.col("discovery").isin("search", "deep_search") & (F.col("domain") != "")
-    kept = report.where(~strict | on_domain(F.col("url"), F.col("domain")))
+    searched = F.col("discovery").isin("search", "deep_search")
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+    told = report.withColumn("_key", identity(said)).withColumn("_trusted", trusted_filing(F.col("url"), F.col("_company_key"), F.col("_key")))
+    own = on_domain(F.col("url"), F.col("domain"))
+    told = told.withColumn("source_verified", F.col("_trusted") | ((F.col("domain") != "") & (own | ~searched)))
+    kept = told.where(~searched | (F.col("domain") == "") | own | F.col("_trusted")).drop("_company_key", "_key", "_trusted")
     first = kept.withColumn("_rn", F.row_number().over(W.partitionBy("company", "year", "url").orderBy("seq"))).where("_rn = 1")
     scored = first.withColumn("score", candidate_score(F.col("url"), F.col("title"), F.col("description"), F.col("year"), F.col("domain")))
     return top_candidates(scored, best).drop("_rn")
 
 
+def found_years(results: DataFrame, requested: DataFrame) -> DataFrame:
+    """(company, found, missing): requested years with and without a report among a company's results.
+
+    ``results``: company, url, title, description. ``requested``: company, years (sorted, distinct).
+    """
+    args = [F.col(c) for c in ("url", "title", "description")]
+    joined = results.join(requested, "company")
+    year = F.coalesce(_years(args[1]), _years(args[0]), _years(args[2]))
+    hit = joined.withColumn("year", F.when(F.array_contains("years", year), year)).where(F.col("year").isNotNull() & looks_like_report(*args, F.col("year")))
+    found = hit.groupBy("company").agg(F.array_sort(F.collect_set("year")).alias("found"))
+    told = requested.join(found, "company", "left").withColumn("found", F.coalesce("found", F.array().cast("array<int>")))
+    return told.select("company", "found", F.array_except(F.col("years").cast("array<int>"), "found").alias("missing"))
+
+
 def top_candidates(scored: DataFrame, best: int, by: tuple[str, ...] = ("company", "year")) -> DataFrame:
     order = W.partitionBy(*by).orderBy(F.desc("score"), "url")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)

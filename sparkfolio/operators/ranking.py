@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.dims import SCHEMA
+
 # BM25 constants, and weights and bounds of the other signals.
 K1, B = 1.5, 0.75
 TOKEN = r"[a-z][a-z0-9&-]+|\p{Nd}+(?:[.,]\p{Nd}+)*"
@@ -42,6 +44,14 @@ CRITICAL = (
     ("japanese_accumulated_depreciation", r"減価償却累計額"),
     ("japanese_loan_maturity", r"金銭債権の連結決算日後の償還予定額"),
 )
+
+# Words of accounting that point to statement pages.
+ACCOUNTING = (
+    "balance sheet", "statement of financial position", "financial statements", "current assets", "total assets", "cash and cash equivalents", "accounts receivable", "trade receivables", "inventories",
+    "marketable securities", "prepaid expenses", "other current assets", "property plant and equipment", "property, plant and equipment", "pp&e", "land", "buildings", "machinery", "construction in progress",
+    "equipment", "accumulated depreciation", "goodwill", "intangible assets", "investments", "financial assets", "other assets", "operating lease", "right of use assets", "right-of-use assets", "rou assets",
+    "notes to consolidated financial statements",
+)
 TABLE_ROW = r"(?m)^\s*\|.+\|\s*$"
 
 
@@ -49,6 +59,12 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
+def accounting_vocabulary(spark: SparkSession) -> DataFrame:
+    """(term): the tokens of the schema's names and of the accounting words."""
+    words = [(w,) for w in (*ACCOUNTING, *(x for row in SCHEMA for x in row))]
+    return spark.createDataFrame(words, "w string").select(F.explode(tokens_of(F.col("w"))).alias("term")).distinct()
+
+
 def _hits(text: Column, patterns) -> Column:
     return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0))
 
@@ -78,11 +94,11 @@ def score_pages(pages: DataFrame, vocabulary: DataFrame, layout: DataFrame | Non
         F.contains("text", F.lit("連結貸借対照表")).alias("consolidated"),
         F.contains("text", F.lit("貸借対照表")).alias("statement"),
     )
-    held = usable.select("doc", "page", F.explode("tokens").alias("term")).join(vocabulary.select("term"), "term")
-    counts = held.groupBy("doc", "page", "term").agg(F.count(F.lit(1)).alias("tf"))
+    held = usable.select("doc", "page", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term")).join(vocabulary.select("term"), "term")
+    counts = held.groupBy("doc", "page", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
     docs = facts.groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_tokens").alias("all_tokens"), F.bool_or("consolidated").alias("has_consolidated"))
     spread = W.partitionBy("doc", "term")
-    weighed = counts.withColumn("df", F.count(F.lit(1)).over(spread)).join(docs, "doc").join(facts.select("doc", "page", "n_tokens"), ["doc", "page"])
+    weighed = counts.withColumn("df", F.count(F.lit(1)).over(spread)).join(docs, "doc")
     average = F.when(F.col("all_tokens") > 0, F.col("all_tokens") / F.col("n_pages")).otherwise(F.lit(1.0))
     idf = F.log(1 + (F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.greatest("n_tokens", F.lit(1)) / average)))
@@ -213,13 +229,14 @@ def screen_documents(pages: DataFrame, expected: DataFrame, balance_sheet: str =
     text = F.col("text")
     terms = _hits(text, groups)
     score = terms.cast("double") + sum((F.when(text.rlike(p), s).otherwise(0.0) for s, p in SIGNALS), F.lit(0.0)) + F.least(F.lit(3.0), F.regexp_count(text, F.lit(NUMERIC_LINE)) / 8.0)
-    judged = pages.withColumn("ranked", F.when(text.rlike(balance_sheet) & (terms >= minimum), F.struct(score.alias("score"), (-F.col("page")).alias("low"), F.col("page"), text.alias("statement"))))
+    judged = pages.withColumn("ranked", F.when(text.rlike(balance_sheet) & (terms >= minimum), F.struct(score.alias("score"), (-F.col("page")).alias("low"), F.col("page"))))
     whole = judged.groupBy("doc").agg(
         F.max("ranked").alias("best"),
         F.count_if(F.trim("text") != "").alias("readable_pages"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(year_mentions(text))))).alias("mentions"),
     )
-    told = expected.join(whole, "doc", "left").withColumn("statement", F.coalesce("best.statement", F.lit("")))
+    told = expected.join(whole, "doc", "left").withColumn("page", F.col("best.page"))  # the page's text is read again, not carried
+    told = told.join(pages.select("doc", "page", text.alias("statement")), ["doc", "page"], "left").withColumn("statement", F.coalesce("statement", F.lit("")))
     years = statement_years(F.col("statement"))
     newest = F.array_max(years)
     confirmed = F.when(newest.isNotNull(), newest == F.col("year")).otherwise(F.coalesce(F.array_contains("mentions", F.col("year").cast("string")), F.lit(False)))

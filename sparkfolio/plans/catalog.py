@@ -23,6 +23,6 @@ def query(name: str, sql: str | None) -> Callable[[Query], Query]:
 
 
 def load() -> dict[str, tuple[Query, str | None]]:
-    from . import contracts, corpus, pages, scores, service, states  # noqa: F401  each registers its queries
+    from . import contracts, corpus, pages, results, scores, service, states  # noqa: F401  each registers its queries
 
     return CATALOG

@@ -107,10 +107,10 @@ def _order_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
   CASE WHEN l_partkey % 41 = 0 THEN 'string' WHEN l_partkey % 7 = 0 THEN 'null' ELSE 'number' END AS ak, CASE WHEN l_partkey % 53 = 0 THEN 1.5 ELSE l_discount * 10 END AS c, CASE WHEN l_partkey % 59 = 0 THEN 'boolean' ELSE 'number' END AS pk FROM lineitem),
 fields AS (SELECT l_orderkey, ord, 'unknown_item' AS code, 'unknown item ' || item AS message FROM rows_ WHERE place IS NULL UNION ALL SELECT l_orderkey, ord, 'answer_type', 'answer is ' || ak FROM rows_ WHERE ak = 'string'
   UNION ALL SELECT l_orderkey, ord, 'confidence', 'confidence is not a number from 0 to 1: number' FROM rows_ WHERE c < 0 OR c > 1 UNION ALL SELECT l_orderkey, ord, 'page_type', 'page is ' || pk FROM rows_ WHERE pk = 'boolean'),
-lists AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT item) AS items, 4 - count(DISTINCT place) AS missing, min(CASE WHEN place <> ord THEN ord END) AS misplaced FROM rows_ WHERE l_orderkey NOT IN (SELECT l_orderkey FROM fields) GROUP BY l_orderkey)
+lists AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT item) AS items, 4 - count(DISTINCT place) AS missing, list(DISTINCT item) AS have, min(CASE WHEN place <> ord THEN ord END) AS misplaced FROM rows_ WHERE l_orderkey NOT IN (SELECT l_orderkey FROM fields) GROUP BY l_orderkey)
 SELECT l_orderkey, ord, code, message FROM fields UNION ALL
 SELECT l_orderkey, NULL, CASE WHEN n <> 4 THEN 'row_count' WHEN items <> n THEN 'duplicates' WHEN missing > 0 THEN 'missing' ELSE 'order' END,
-  CASE WHEN n <> 4 THEN '4 rows expected, ' || n || ' found' WHEN items <> n THEN 'an item occurs more than once' WHEN missing > 0 THEN missing || ' items missing' ELSE 'row ' || misplaced || ' is out of order' END
+  CASE WHEN n <> 4 THEN '4 rows expected, ' || n || ' found' WHEN items <> n THEN 'an item occurs more than once' WHEN missing > 0 THEN missing || ' items missing: ' || array_to_string(list_filter(['line 1', 'line 2', 'line 3', 'line 4'], lambda x: NOT list_contains(have, x)), ', ') ELSE 'row ' || misplaced || ' is out of order' END
 FROM lists WHERE n <> 4 OR items <> n OR missing > 0 OR misplaced IS NOT NULL""")
 def contract_violations(spark: SparkSession, folder: str) -> DataFrame:
     rows, schema = _order_rows(spark, folder)

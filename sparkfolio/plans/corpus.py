@@ -21,11 +21,13 @@ def url_domain_match(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", C.host(url).alias("host"), C.url_path(url).alias("path"), C.on_domain(url, F.lit("example.net")).alias("on_domain"))
 
 
-# Pages as crawl results: titles are made so that years and report words occur.
-_RESULTS = f"""results AS (SELECT split_part({_HOST}, '.', -3) || '.' || split_part({_HOST}, '.', -2) || '.' || split_part({_HOST}, '.', -1) AS company, page_id AS seq,
+# Pages as crawl results: titles are made so that years and report words occur, and some are
+# filings on a public host, of which every other one names the company.
+_RESULTS = f"""given AS (SELECT split_part({_HOST}, '.', -3) || '.' || split_part({_HOST}, '.', -2) || '.' || split_part({_HOST}, '.', -1) AS company, page_id AS seq,
   CASE page_id % 4 WHEN 0 THEN 'map' WHEN 1 THEN 'page' WHEN 2 THEN 'search' ELSE 'deep_search' END AS discovery, url,
   CASE page_id % 3 WHEN 0 THEN 'Annual Report ' || (2019 + page_id % 8) WHEN 1 THEN 'Form 10-K' ELSE 'Quarterly news ' || (2020 + page_id % 5) END AS title,
-  'filed ' || (2020 + page_id % 6) || ' or ' || (2018 + page_id % 3) AS description FROM pages)"""
+  'filed ' || (2020 + page_id % 6) || ' or ' || (2018 + page_id % 3) AS description FROM pages),
+results AS (SELECT company, seq, discovery, CASE WHEN seq % 12 = 6 THEN 'https://disclosure2.edinet-fsa.go.jp/d/' || seq || '.pdf' ELSE url END AS url, title, description || CASE WHEN seq % 24 = 6 THEN ' for ' || company ELSE '' END AS description FROM given)"""
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,23 +35,28 @@ def _results(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("page_id")
     last = lambda n: F.coalesce(F.try_element_at(labels, F.lit(-n)), F.lit(""))
     say = lambda s, n: F.concat(F.lit(s), n.cast("string"))
+    company = F.concat_ws(".", last(3), last(2), last(1))
+    filed = F.concat(F.lit("https://disclosure2.edinet-fsa.go.jp/d/"), k.cast("string"), F.lit(".pdf"))
     return table(spark, folder, "pages").select(
-        F.concat_ws(".", last(3), last(2), last(1)).alias("company"),
+        company.alias("company"),
         k.alias("seq"),
         F.element_at(F.array(*map(F.lit, ("map", "page", "search", "deep_search"))), (k % 4 + 1).cast("int")).alias("discovery"),
-        "url",
+        F.when(k % 12 == 6, filed).otherwise(F.col("url")).alias("url"),
         F.when(k % 3 == 0, say("Annual Report ", 2019 + k % 8)).when(k % 3 == 1, "Form 10-K").otherwise(say("Quarterly news ", 2020 + k % 5)).alias("title"),
-        F.concat(say("filed ", 2020 + k % 6), say(" or ", 2018 + k % 3)).alias("description"),
+        F.concat(say("filed ", 2020 + k % 6), say(" or ", 2018 + k % 3), F.when(k % 24 == 6, F.concat(F.lit(" for "), company)).otherwise("")).alias("description"),
     )
 
 
 _NEWEST = "list_max(list_transform(list_filter(regexp_extract_all({0}, '[0-9]+'), lambda x: regexp_matches(x, '^(19|20)[0-9]{{2}}$')), lambda x: x::INTEGER))"
 _YEARED = f"{_RESULTS}, yeared AS (SELECT *, CASE WHEN y BETWEEN 2020 AND 2025 THEN y END AS year FROM (SELECT *, coalesce({_NEWEST.format('title')}, {_NEWEST.format('url')}, {_NEWEST.format('description')}) AS y FROM results))"
 _TEXT = "concat_ws(' ', url, title, description)"
+_KEY = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_TRUSTED = f"({_HOST} IN {C.FILING_HOSTS} AND contains({_KEY.format("concat_ws(' ', title, description)")}, {_KEY.format('company')}))"
+_OWN = f"({_HOST} = domain OR ends_with({_HOST}, '.' || domain))"
 _FOUND = f"""{_YEARED}, reports AS (SELECT * FROM yeared WHERE year IS NOT NULL AND regexp_matches(url, '^https?://') AND contains({_TEXT}, year::VARCHAR) AND regexp_matches({_TEXT}, '{C.REPORT_WORDS}')
   AND NOT regexp_matches({_TEXT}, '{C.NON_ANNUAL}') AND NOT regexp_matches(regexp_replace({_TEXT}, '\\s+', '', 'g'), '{C.NON_ANNUAL}')),
 kept AS (SELECT *, 'example.' || CASE WHEN contains(company, 'example.net') THEN 'net' ELSE 'org' END AS domain FROM reports),
-first AS (SELECT * FROM kept WHERE discovery NOT IN ('search', 'deep_search') OR {_HOST} = domain OR ends_with({_HOST}, '.' || domain) QUALIFY row_number() OVER (PARTITION BY company, year, url ORDER BY seq) = 1),
+first AS (SELECT *, {_TRUSTED} OR {_OWN} OR discovery NOT IN ('search', 'deep_search') AS source_verified FROM kept WHERE discovery NOT IN ('search', 'deep_search') OR {_OWN} OR {_TRUSTED} QUALIFY row_number() OVER (PARTITION BY company, year, url ORDER BY seq) = 1),
 scored AS (SELECT *, CASE WHEN {_HOST} = domain OR ends_with({_HOST}, '.' || domain) THEN 7 ELSE 0 END + CASE WHEN ends_with(lower({_PATH}), '.pdf') THEN 5 ELSE 0 END + CASE WHEN contains({_TEXT}, year::VARCHAR) THEN 4 ELSE 0 END
   + CASE WHEN regexp_matches({_TEXT}, '{C.REPORT_WORDS}') THEN 3 ELSE 0 END - CASE WHEN regexp_matches({_TEXT}, '{C.PENALISED}') THEN 4 ELSE 0 END AS score FROM first),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY company, year ORDER BY score DESC, url) AS rank FROM scored)"""
@@ -61,9 +68,19 @@ def _found(spark: SparkSession, folder: str) -> DataFrame:
     return C.discover(results, results.select("company").distinct().withColumn("domain", domain), [*range(2020, 2026)])
 
 
-@query("candidate_score_top5", f"WITH {_FOUND} SELECT company, year, url, score, rank FROM ranked WHERE rank <= 5")
+@query("candidate_score_top5", f"WITH {_FOUND} SELECT company, year, url, score, rank, source_verified FROM ranked WHERE rank <= 5")
 def candidate_score_top5(spark: SparkSession, folder: str) -> DataFrame:
-    return _found(spark, folder).select("company", "year", "url", "score", "rank")
+    return _found(spark, folder).select("company", "year", "url", "score", "rank", "source_verified")
+
+
+@query("found_years", f"""WITH {_YEARED}, hits AS (SELECT DISTINCT company, year FROM yeared WHERE year IS NOT NULL AND contains({_TEXT}, year::VARCHAR) AND regexp_matches({_TEXT}, '{C.REPORT_WORDS}') AND NOT regexp_matches({_TEXT}, '{C.NON_ANNUAL}') AND NOT regexp_matches(regexp_replace({_TEXT}, '\\s+', '', 'g'), '{C.NON_ANNUAL}'))
+SELECT c.company, y.year, h.year IS NOT NULL AS found FROM (SELECT DISTINCT company FROM results) c CROSS JOIN (SELECT unnest(range(2020, 2026))::INTEGER AS year) y LEFT JOIN hits h ON h.company = c.company AND h.year = y.year""")
+def found_years(spark: SparkSession, folder: str) -> DataFrame:
+    results = _results(spark, folder)
+    wanted = results.select("company").distinct().withColumn("years", F.array(*map(F.lit, range(2020, 2026))))
+    told = C.found_years(results, wanted)
+    flags = F.concat(F.transform("found", lambda y: F.struct(y.alias("year"), F.lit(True).alias("found"))), F.transform("missing", lambda y: F.struct(y.alias("year"), F.lit(False).alias("found"))))
+    return told.select("company", F.explode(flags).alias("y")).select("company", "y.year", "y.found")
 
 
 @query("fallback_fetch", f"""WITH {_FOUND}, tried AS (SELECT *, seq % 3 <> 1 AS passed FROM ranked WHERE rank <= 5),
@@ -236,10 +253,14 @@ def storage_paths(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), old.alias("old_path")).where("path <> old_path")
 
 
-@query("value_quantum", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.001::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.000001::DOUBLE ELSE 0.0::DOUBLE END AS quantum FROM documents")
+_UNITS = (" (In Thousands)", " millions of yen", " 単位：円", "")
+
+
+@query("value_quantum", f"""WITH said AS (SELECT doc_id, lower(substring(text || {[*_UNITS]}[1 + doc_id % 4], 1, 200000)) AS head FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(head, '単位\\s*[：:]\\s*千円|in thousands|thousands of') THEN 0.001::DOUBLE WHEN regexp_matches(head, '単位\\s*[：:]\\s*百万円|in millions|millions of') THEN 1.0::DOUBLE WHEN regexp_matches(head, '単位\\s*[：:]\\s*円') THEN 0.000001::DOUBLE ELSE 0.0::DOUBLE END AS quantum FROM said""")
 def value_quantum(spark: SparkSession, folder: str) -> DataFrame:
-    unit = F.element_at(F.array(*map(F.lit, (" (In Thousands)", " millions of yen", " 単位：円", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, folder, "documents").select("doc_id", T.value_quantum(F.concat(F.substring("text", 1, 200), unit)).alias("quantum"))
+    unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, folder, "documents").select("doc_id", T.value_quantum(F.concat("text", unit)).alias("quantum"))
 
 
 @query("compressed_page_lists", "WITH island AS (SELECT user_id, d, d - row_number() OVER (PARTITION BY user_id ORDER BY d) AS g FROM (SELECT DISTINCT user_id, day(ts) AS d FROM events)), runs AS (SELECT user_id, min(d) AS a, max(d) AS b FROM island GROUP BY user_id, g) SELECT user_id, string_agg(CASE WHEN b > a THEN a || '-' || b ELSE a::VARCHAR END, ', ' ORDER BY a) AS pages FROM runs GROUP BY user_id")

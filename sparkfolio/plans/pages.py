@@ -1,21 +1,31 @@
-"""Queries over ``documents`` as pages: source is the document, doc_id the page."""
+"""Queries over ``documents`` as pages: a hundred pages of a source are a document, doc_id is the page."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dims
 from ..operators import documents as D
 from ..operators import ranking as R
 from .catalog import query, table
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return table(spark, folder, "documents").select(document().alias("doc"), F.col("doc_id").alias("page"), "text")
+
+
+def document() -> Column:
+    """The report that a page stands in: documents come from 20 sources in turn."""
+    return F.concat_ws("/", "source", F.floor(F.col("doc_id") / 2000).cast("string"))
+
+
+DOC = "source || '/' || doc_id // 2000"
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = table(spark, folder, "benchmark").select(F.explode(R.tokens_of(F.col("text"))).alias("term")).distinct()
+    vocabulary = vocabulary.union(R.accounting_vocabulary(spark)).distinct()
     return R.score_pages(pages(spark, folder), vocabulary)
 
 
@@ -24,8 +34,8 @@ def _any(column: str, patterns) -> str:
 
 
 _SCORES = rf"""
-vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{R.TOKEN}')) AS term FROM benchmark),
-usable AS (SELECT source AS doc, doc_id AS page, text, regexp_extract_all(lower(text), '{R.TOKEN}') AS tokens FROM documents WHERE regexp_matches(text, '\S')),
+vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{R.TOKEN}')) AS term FROM (SELECT text FROM benchmark UNION ALL SELECT unnest({[*R.ACCOUNTING, *(x for row in dims.SCHEMA for x in row)]}))),
+usable AS (SELECT {DOC} AS doc, doc_id AS page, text, regexp_extract_all(lower(text), '{R.TOKEN}') AS tokens FROM documents WHERE regexp_matches(text, '\S')),
 facts AS (
   SELECT doc, page, len(tokens) AS n_tokens, len(list_filter(tokens, lambda t: regexp_matches(t, '\p{{Nd}}'))) AS n_numeric, length(text) AS characters,
     {_any("text", R.HEADINGS)} AS heading_hits, {_any("text", R.REJECTS)} AS reject_hits, regexp_matches(text, '{R.TABLE_ROW}') AS table_signal,
@@ -72,7 +82,7 @@ def page_rank(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {_SCORES}, {_SELECTED},
 told AS (SELECT doc, string_agg(page::VARCHAR, ', ' ORDER BY page) FILTER (selected) AS selected_pages, count(*) FILTER (selected) AS selected_count,
   count(*) AS candidate_count, sum(CASE WHEN selected THEN characters ELSE 0 END) AS selected_characters FROM chosen GROUP BY doc),
-size AS (SELECT source AS doc, sum(length(text)) AS full_characters FROM documents GROUP BY source)
+size AS (SELECT {DOC} AS doc, sum(length(text)) AS full_characters FROM documents GROUP BY 1)
 SELECT doc, selected_pages, selected_count, candidate_count, selected_characters, full_characters,
   CASE WHEN full_characters > 0 THEN round_even((1 - selected_characters::DOUBLE / full_characters) * 100, 2) ELSE 0.0 END AS reduction_percent
 FROM told JOIN size USING (doc)""",
@@ -106,7 +116,7 @@ _NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(
 
 @query(
     "document_assembly",
-    f"""WITH plain AS (SELECT source AS doc, doc_id AS page, {_NORMAL.format("text")} AS text FROM documents),
+    f"""WITH plain AS (SELECT {DOC} AS doc, doc_id AS page, {_NORMAL.format("text")} AS text FROM documents),
 cut AS (SELECT *, {_TOKENS.format("text")} AS toks FROM plain),
 health AS (SELECT *, ({_GARBLE.format("text")}) >= 0.15 OR ({_MIXED}) >= 0.15 AS bad, NOT regexp_matches(text, '\\S') AS blank FROM cut),
 told AS (SELECT doc, count(*) AS page_count, count(*) FILTER (bad) AS garbled, count(*) FILTER (blank AND NOT bad) AS empty_pages, count(*) FILTER (NOT bad AND NOT blank) AS readable_pages,
@@ -131,7 +141,7 @@ def page_ranges_compressed(spark: SparkSession, folder: str) -> DataFrame:
     return D.page_ranges(docs, ["source", "lang"])
 
 
-_LOAD = f"""placed AS (SELECT source AS doc, {_NORMAL.format("text")} AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents),
+_LOAD = f"""placed AS (SELECT {DOC} AS doc, {_NORMAL.format("text")} AS text, row_number() OVER (PARTITION BY {DOC} ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY {DOC}) AS n FROM documents),
 taken AS (SELECT *, k % greatest(1, n // 12) = 0 AND k // greatest(1, n // 12) < 12 AS taken FROM placed),
 sampled AS (SELECT doc, any_value(n) AS pages, count(*) FILTER (taken) AS sampled_pages, sum(length(text)) FILTER (taken) AS chars FROM taken GROUP BY doc),
 loads AS (SELECT doc, pages, sampled_pages, floor(chars::DOUBLE / sampled_pages * pages)::BIGINT + pages * 20 AS approx_characters FROM sampled)"""
@@ -160,7 +170,7 @@ _HEADING = r"(?i)\b(?:the|de|der|la)\b"
 
 @query(
     "screen_verdict",
-    rf"""WITH judged AS (SELECT source AS doc, doc_id AS page, text, {_any("text", _GENERIC)} AS terms FROM documents),
+    rf"""WITH judged AS (SELECT {DOC} AS doc, doc_id AS page, text, {_any("text", _GENERIC)} AS terms FROM documents),
 scored AS (SELECT *, CASE WHEN regexp_matches(text, '{_HEADING}') AND terms >= 3 THEN terms + {" + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {s}::DOUBLE ELSE 0 END" for s, p in R.SIGNALS)}
   + least(3.0::DOUBLE, len(regexp_extract_all(text, '{R.NUMERIC_LINE}')) / 8.0::DOUBLE) END AS score FROM judged),
 best AS (SELECT doc, count(*) FILTER (trim(text) <> '') AS readable_pages, arg_max(text, (score, -page)) FILTER (score IS NOT NULL) AS statement,
@@ -229,7 +239,7 @@ def render_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
 def _routed(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     given = docs.select(
-        F.col("source").alias("doc"),
+        document().alias("doc"),
         F.col("doc_id").alias("page"),
         F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")).alias("text"),
         (F.col("doc_id") % 7 == 0).alias("flagged"),
@@ -241,7 +251,7 @@ def _routed(spark: SparkSession, folder: str) -> DataFrame:
     return D.route_ocr(given)
 
 
-_ROUTED = f"""given AS (SELECT source AS doc, doc_id AS page, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text, doc_id % 7 = 0 AS flagged, doc_id % 11 = 0 AS hinted, doc_id % 3 = 0 AS issue,
+_ROUTED = f"""given AS (SELECT {DOC} AS doc, doc_id AS page, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text, doc_id % 7 = 0 AS flagged, doc_id % 11 = 0 AS hinted, doc_id % 3 = 0 AS issue,
   CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS fallback, CASE WHEN doc_id % 4 = 0 THEN text END AS ocr FROM documents),
 f AS (SELECT *, {_TOKENS.format("fallback")} AS toks FROM given),
 g AS (SELECT * EXCLUDE (toks), trim(fallback) <> '' AND ({_GARBLE.format("fallback")}) < 0.15 AND (NOT issue OR NOT (({_GARBLE.format("fallback")}) >= 0.15 OR ({_MIXED}) >= 0.15)) AS accepted FROM f),

@@ -38,9 +38,10 @@ def explode_runs(runs: DataFrame) -> DataFrame:
 
 
 def write_runs(runs: DataFrame, folder: str) -> None:
-    """Run records filed by company and fiscal year, replacing the partitions they touch."""
+    """Run records filed by company, fiscal year and run, each replacing its own folder only."""
     filed = runs.withColumn("company_dir", F.coalesce("company", F.lit("Unknown_Company"))).withColumn("fy", F.concat(F.lit("FY"), F.coalesce("fiscal_year", F.lit("-unknown"))))
-    filed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_dir", "fy").json(folder)
+    filed = filed.withColumn("run_dir", F.coalesce("run_id", F.lit("unnamed")))
+    filed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_dir", "fy", "run_dir").json(folder)
 
 
 def find_run(runs: DataFrame, run_id: str) -> DataFrame:
@@ -59,6 +60,24 @@ def read_manifest(spark: SparkSession, path: str, document: T.StructType) -> Dat
     return raw.where("_corrupt_record IS NULL").select(F.explode("documents").alias("d")).select("d.*")
 
 
+def write_manifest(documents: DataFrame, path: str, version: int = 1) -> None:
+    """One snapshot file {version, documents}, written beside ``path`` and renamed over it,
+    so that readers see the old or the new one. One writer at a time is the caller's to see to."""
+    spark = documents.sparkSession
+    docs = F.array_sort(F.collect_list(F.struct(F.lower("company").alias("_o"), F.struct(*documents.columns).alias("d"))))
+    whole = documents.agg(F.lit(version).alias("version"), F.transform(docs, lambda x: x["d"]).alias("documents"))
+    staged = f"{path}.staged"
+    whole.coalesce(1).write.mode("overwrite").json(staged)  # a manifest is one file, as large as its registry
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to, at = hadoop.Path(path), hadoop.Path(staged)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
+    if not fs.rename(part, to):
+        fs.delete(to, False)  # the store does not rename over a file
+        fs.rename(part, to)
+    fs.delete(at, True)
+
+
 def read_events(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     """Events of a JSONL log from an offset clamped to [0, n]; malformed lines are skipped and hold no offset."""
     raw = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
@@ -77,8 +96,9 @@ def read_seeds(spark: SparkSession, path: str, cap: int = 200) -> DataFrame:
     """Companies of a CSV or JSON seed file: name, official_url, country; at most ``cap`` (the feature's limit)."""
     raw = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.option("multiLine", True).json(path)
     pick = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(n)), F.lit("")) for n in names if n in raw.columns], F.lit(None).cast("string"))
-    out = raw.select(pick("name", "company_name").alias("name"), pick("official_url", "official_website").alias("official_url"), F.upper(F.coalesce(pick("country"), F.lit("JP"))).alias("country"))
-    return out.where("name IS NOT NULL").limit(cap)
+    raw = raw.withColumn("_at", F.monotonically_increasing_id())
+    out = raw.select("_at", pick("name", "company_name").alias("name"), pick("official_url", "official_website").alias("official_url"), F.upper(F.coalesce(pick("country"), F.lit("JP"))).alias("country"))
+    return out.where("name IS NOT NULL").orderBy("_at").limit(cap).drop("_at")
 
 
 def read_gold(spark: SparkSession, paths: list[str]) -> DataFrame:

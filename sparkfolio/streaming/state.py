@@ -81,14 +81,12 @@ def adaptive_limiter(events: DataFrame, key: str, order: list[str], throttled: s
 
 def rate_gate(events: DataFrame, key: str, at: str, order: list[str], interval: float) -> DataFrame:
     """When each request may start (microseconds): now, or one interval after the last start."""
-    seconds = events.withColumn("_us", micros(at))
-    gap = round(interval * 1_000_000)
-
-    def step(state, row):
-        start = max(row["_us"], state[0])
-        return (start + gap,), (start, start - row["_us"])
-
-    return ordered_fold(seconds, key, ["_us", *order], [], lambda: (0,), step, "start_us bigint, waited_us bigint")
+    gap = F.lit(round(interval * 1_000_000)).cast("bigint")
+    w = W.partitionBy(key).orderBy("_us", *order)
+    placed = events.withColumn("_us", micros(at)).withColumn("_ahead", gap * (F.row_number().over(w) - 1))
+    # the start is the latest of: an earlier request's time, and one interval for each request since
+    start = F.col("_ahead") + F.max(F.col("_us") - F.col("_ahead")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return placed.withColumn("start_us", start).withColumn("waited_us", F.col("start_us") - F.col("_us")).drop("_ahead")
 
 
 def newest(rows: DataFrame, keep: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
@@ -134,8 +132,11 @@ def liveness(jobs: DataFrame, now: Column, timeout: float) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
+    """A new folder under the cluster's ``spark.checkpoint.dir``, or a local one where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -32,6 +32,9 @@ def test_runs(spark, tmp_path):
     assert files.find_run(runs, "S2_y").count() == 1
     files.write_runs(runs.drop("path", "directory"), str(tmp_path / "out"))
     files.write_runs(runs.drop("path", "directory").where("run_id = 'S1_x'"), str(tmp_path / "out"))
+    files.write_runs(spark.createDataFrame([("S1_z", "Acme", "2022")], "run_id string, company string, fiscal_year string"), str(tmp_path / "both"))
+    files.write_runs(spark.createDataFrame([("S1_w", "Acme", "2022")], "run_id string, company string, fiscal_year string"), str(tmp_path / "both"))
+    assert {r.run_id for r in spark.read.json(str(tmp_path / "both")).collect()} == {"S1_z", "S1_w"}
     back = spark.read.json(str(tmp_path / "out"))
     assert {(r.run_id, r.company_dir, r.fy) for r in back.collect()} == {("S1_x", "Acme", "FY2022"), ("S2_y", "Unknown_Company", "FY-unknown")}
 
@@ -45,6 +48,44 @@ def test_manifest(spark, tmp_path):
     assert files.read_manifest(spark, str(tmp_path / "none.json"), document).count() == 0
 
 
+def test_manifest_snapshot(spark, tmp_path):
+    documents = spark.createDataFrame([("b", "beta"), ("a", "Acme"), ("c", None)], "sha string, company string")
+    for docs in (documents.limit(1), documents):
+        files.write_manifest(docs, str(tmp_path / "m.json"))
+    back = files.read_manifest(spark, str(tmp_path / "m.json"), documents.schema)
+    assert [r.sha for r in back.where("company IS NOT NULL").collect()] == ["a", "b"] and back.count() == 3
+    assert not (tmp_path / "m.json.staged").exists()
+
+
+def test_discover_keeps_filings_that_name_the_company(spark):
+    from sparkfolio.operators import corpus as C
+
+    rows = [
+        (0, "search", "https://disclosure2.edinet-fsa.go.jp/a.pdf", "Annual Report 2022 Ａｃｍｅ co."),
+        (1, "search", "https://disclosure2.edinet-fsa.go.jp/b.pdf", "Annual Report 2022 Beta"),
+        (2, "search", "https://other.example/c.pdf", "Annual Report 2022 Acme"),
+        (3, "map", "https://cdn.example/d.pdf", "Annual Report 2022"),
+        (4, "deep_search", "https://ir.acme.example/e.pdf", "Annual Report 2022"),
+        (5, "map", "https://acme.example/f.pdf", "Annual Report 2022 Ｑuarterly"),
+    ]
+    results = spark.createDataFrame([("Acme", *r, "") for r in rows], "company string, seq int, discovery string, url string, title string, description string")
+    companies = spark.createDataFrame([("Acme", "acme.example")], "company string, domain string")
+    got = {r.seq: r.source_verified for r in C.discover(results, companies, [2022]).collect()}
+    assert got == {0: True, 3: True, 4: True}
+    told = C.found_years(results, spark.createDataFrame([("Acme", [2021, 2022])], "company string, years array<int>")).first()
+    assert (told.found, told.missing) == ([2022], [2021])
+
+
+def test_pages_sent_as_numbers(spark):
+    from sparkfolio.functions import dims
+    from sparkfolio.operators import contract as K
+
+    reply = '{"rows": [{"item": "Ｌａｎｄ", "answer_m_usd": "（１，２３４）", "confidence": 1, "source_page": -5}, {"item": "Land", "answer_m_usd": 1, "confidence": 1, "source_page": 3.7}, {"item": "Land", "answer_m_usd": 1, "confidence": 1, "source_page": 4.0}]}'
+    read = K.read_replies(spark.createDataFrame([("r", reply)], "run_id string, content string"))
+    rows = K.repair_rows(K.explode_rows(read, ["run_id"]), dims.names_dim(spark)).orderBy("ord").collect()
+    assert [(r["item"], r.value, r.page_no, r.page_kind) for r in rows] == [("Land", -1234.0, None, "null"), ("Land", 1.0, None, "fraction"), ("Land", 1.0, 4, "number")]
+
+
 def test_events(spark, tmp_path):
     lines = ['{"event": "batch_start", "data": {"n": 1}, "at": "2024-01-01T00:00:00Z"}', "{bad", '{"event": "file_done", "at": "2024-01-01T00:00:01Z"}']
     put(tmp_path / "e.jsonl", "\n".join(lines))
