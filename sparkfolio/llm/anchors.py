@@ -76,7 +76,7 @@ def settle_runs(runs: DataFrame, shelf: Shelf) -> DataFrame:
     names = shelf.keep(names)
     told = shelf.keep(
         shared.join(names, ["a", "s"]).select(
-            "d", "v", "p", "q", "m", "a", (F.col("n") > 1).alias("whole"), (F.col("first") == F.struct("d", "v", "p")).alias("lead")
+            "d", "v", "p", "q", "m", "a", "s", (F.col("n") > 1).alias("whole"), (F.col("first") == F.struct("d", "v", "p")).alias("lead")
         )
     )
     shelf.drop(shared, names)

@@ -21,7 +21,7 @@ class Shelf:
     """Tables written to the cluster's shared checkpoint folder, to cut lineage.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests) a local temporary folder serves. ``keep`` writes and rereads,
+    unset and the master is local (tests) a temporary folder serves. ``keep`` writes and rereads,
     ``drop`` deletes a table that no later plan reads. What is still there when
     the driver ends is deleted then.
     """
@@ -32,6 +32,8 @@ class Shelf:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             Shelf._fallback = Shelf._fallback or "file://" + tempfile.mkdtemp(prefix="shelf-")
             base = Shelf._fallback
         self.base = f"{base.rstrip('/')}/shelf-{uuid.uuid4().hex}"

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 SHINGLE, WINDOW, STRIDE, BANDS = 5, 16, 8, 4
 #: A copy this long holds a whole window wherever windows start.
 LONG = WINDOW + STRIDE - 1
+#: Most index keys that are looked for in place, and most rows of the index that are broadcast.
+INLINED, SMALL_INDEX = 20_000, 500_000
 #: One odd number per band, to permute shingle hashes by xor.
 PERMUTATIONS = [0x1E3779B97F4A7C15 * (2 * k + 1) % (1 << 63) for k in range(BANDS)]
 
@@ -106,8 +108,9 @@ def scan_licenses(
 
     Returns one row per id and template found: the id, template (its place in
     ``templates``), license, n_found and n_shingles. Templates of fewer than
-    five words cannot be found and raise a ValueError. The number of templates
-    is known, so their index may be broadcast.
+    five words cannot be found and raise a ValueError. The index is counted: up
+    to ``INLINED`` keys are looked for in place, a larger one is joined, and up to
+    ``SMALL_INDEX`` of its rows are broadcast.
 
     Null, empty and short texts give no rows. Null ids are kept. Repeated rows
     give one row, rows of one id but other texts one row for each outcome. An
@@ -117,13 +120,16 @@ def scan_licenses(
     if any(len("".join(c if c.isalnum() else " " for c in t.text).split()) < SHINGLE for t in templates):
         raise ValueError("a template needs five words")
     index = _index(docs, templates)
-    keys = sorted(r["key"] for r in index.select("key").distinct().collect())
-    known_keys = ", ".join(f"{k}L" if k > -(1 << 63) else "(-9223372036854775807L - 1L)" for k in keys)
+    n_keys = index.count()  # a constant dimension
     cut = docs.select(F.col(id_col).alias("_id"), F.expr(_plain(f"`{text_col}`")).alias("plain"))
-    found = _hashed(f"array_intersect(concat(h, {_bands(STRIDE)}), array({known_keys}))")
+    found = _hashed(f"array_distinct(concat(h, {_bands(STRIDE)}))")
+    if n_keys <= INLINED:
+        keys = sorted({r["key"] for r in index.select("key").collect()})
+        known_keys = ", ".join(f"{k}L" if k > -(1 << 63) else "(-9223372036854775807L - 1L)" for k in keys)
+        found = _hashed(f"array_intersect(concat(h, {_bands(STRIDE)}), array({known_keys}))")
     # explode_outer, as a filter inferred from explode would compute the keys twice
     hits = cut.selectExpr("_id", "concat(' ', plain, ' ') AS plain", f"explode_outer({found}) AS key")
-    pairs = hits.join(F.broadcast(index), "key")
+    pairs = hits.join(F.broadcast(index) if n_keys <= SMALL_INDEX else index, "key")
     told = pairs.selectExpr("_id", "template", "license", "cast(size(filter(shingles, s -> contains(plain, concat(' ', s, ' ')))) as bigint) AS n_found", "cast(size(shingles) as bigint) AS n_shingles")
     return told.where(F.col("n_found") >= containment * F.col("n_shingles")).distinct().withColumnRenamed("_id", id_col)
 

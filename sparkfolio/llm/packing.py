@@ -10,6 +10,11 @@ follows from its place in its queue alone. Places in a queue come from a
 two-level running sum (within a partition, then over partitions), so nothing
 is collected and no task sees a whole source.
 
+Without weights the target proportions are the sources' own shares, and no
+source runs dry before another. With weights, a source that is used up leaves
+the others to share its part by their weights: the mixture is then one phase
+for every source that runs dry, each filled as above.
+
 Within a window the queues' parts stand one behind another; each window is cut
 into sequences of ``sequence`` tokens. Only the last sequence of the corpus can
 be short, so padding is less than one sequence.
@@ -17,7 +22,9 @@ be short, so padding is less than one sequence.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +46,7 @@ def _tokens(path: str, names: list[str], end: int):
         tail = ids_bytes([end])
         for batch in batches:
             sizes, places, ids = [], [], []
-            for i, (_, x) in enumerate(encoded(path, batch.column("text"))):
+            for i, x in enumerate(encoded(path, batch.column("text"))):
                 x += tail
                 source, n = batch.column("queue")[i].as_py(), len(x) // 4
                 places.append(behind.get(source, 0))
@@ -77,13 +84,13 @@ class Mixture:
             w += 1
         return w
 
-    def pieces(self, s: int, x: int, n: int, sequence: int) -> Iterator[tuple[int, int, int]]:
+    def pieces(self, s: int, x: int, n: int, sequence: int, base: int = 0) -> Iterator[tuple[int, int, int]]:
         """Start in the document, length and place in the corpus of each piece of
-        the ``n`` tokens that stand at ``x`` in queue ``s``."""
+        the ``n`` tokens that stand at ``x`` in queue ``s``; the mixture starts at place ``base``."""
         at, w = 0, self.window_of(s, x)
         while at < n:
             first, end = self.drawn(s, w), self.drawn(s, w + 1)
-            place = w * self.window + self.given(s, w + 1) - self.given(s, w) + x + at - first
+            place = base + w * self.window + self.given(s, w + 1) - self.given(s, w) + x + at - first
             size = min(n - at, end - x - at, sequence - place % sequence)
             if size > 0:
                 yield at, size, place
@@ -92,9 +99,59 @@ class Mixture:
                 w += 1
 
 
-def _pack(sizes: list[int], window: int, sequence: int, names: list[str]):
+def phases(sizes: list[int], weights: list[float] | None) -> list[list[int]]:
+    """Tokens that each queue gives in each phase; a phase ends when a queue runs dry.
+    Queues without weight come last, by their sizes."""
+    if weights is None:
+        return [sizes] if sum(sizes) else []
+    left, out = list(sizes), []
+    share = [Fraction(str(w)) for w in weights]
+    while any(left):
+        active = [s for s, n in enumerate(left) if n and share[s]]
+        if not active:
+            out.append(list(left))
+            break
+        total = sum(share[s] for s in active)
+        least = min(active, key=lambda s: left[s] / share[s])
+        span = left[least] * total / share[least]
+        take = [min(n, int(span * share[s] / total)) if s in active else 0 for s, n in enumerate(left)]
+        take[least] = left[least]
+        out.append(take)
+        left = [n - t for n, t in zip(left, take)]
+    return out
+
+
+class Schedule:
+    """Where queue tokens go over all phases."""
+
+    def __init__(self, sizes: list[int], window: int, weights: list[float] | None = None):
+        self.parts: list[tuple[int, Mixture]] = []
+        self.starts: list[list[int]] = [[] for _ in sizes]  # by queue: where in it each phase starts
+        at, given = 0, [0] * len(sizes)
+        for take in phases(sizes, weights):
+            least = min(n for n in take if n)
+            wide = window * -(-sum(take) // (least * window)) if weights is not None else window  # a token a window at least
+            self.parts.append((at, Mixture(take, wide)))
+            for s, n in enumerate(take):
+                self.starts[s].append(given[s])
+                given[s] += n
+            at += sum(take)
+
+    def pieces(self, s: int, x: int, n: int, sequence: int) -> Iterator[tuple[int, int, int]]:
+        at = 0
+        while at < n:
+            k = bisect_right(self.starts[s], x + at) - 1
+            end = self.starts[s][k + 1] if k + 1 < len(self.starts[s]) else x + n
+            size = min(n - at, end - x - at)
+            base, mixture = self.parts[k]
+            for a, m, place in mixture.pieces(s, x + at - self.starts[s][k], size, sequence, base):
+                yield at + a, m, place
+            at += size
+
+
+def _pack(sizes: list[int], weights: list[float] | None, window: int, sequence: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture = Mixture(sizes, window)
+        mixture = Schedule(sizes, window, weights)
         for batch in batches:
             rows, take = [], []
             for i in range(batch.num_rows):
@@ -121,12 +178,15 @@ def pack(
     sequence: int = 1024,
     window: int = 64 * 1024,
     end_id: int = 0,
+    weights: dict[str, float] | None = None,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``sequence`` tokens.
 
-    The target proportions are the sources' own shares of all tokens, so that
-    no source runs dry before another. Returns one row per piece: the id, the
+    Every window of ``window`` tokens holds the sources in proportion to
+    ``weights`` (by source; others have none and come last), or to their own
+    shares of all tokens if there are none. When a source runs dry, the others
+    keep their proportions among themselves. Returns one row per piece: the id, the
     columns named in ``carry``, start and length in the document's ids,
     doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit).
     A document's ids are those of the tokenizers file at ``path`` without added
@@ -134,8 +194,9 @@ def pack(
     offset 0; every sequence but the last is full.
 
     Null and empty texts are one ``end_id``. Null sources are a queue of their
-    own. Sources with less than one token a window share one queue with the
-    largest source. Null ids and repeated rows are packed like any others; an
+    own, with the weight of "". Without weights, sources with less than one token
+    a window share a queue, the largest source's if even they together have less;
+    with weights, windows widen until each source has a token in them. Null ids and repeated rows are packed like any others; an
     empty table gives an empty result. Other columns are not read, so their
     names cannot clash; ``carry`` may not name a result column. The number of
     sources, not of documents, bounds what the driver sees.
@@ -156,15 +217,23 @@ def pack(
     totals = sorted((r["queue"], r["m"]) for r in sums.groupBy("queue").agg(F.sum("m").alias("m")).collect())
     total = sum(m for _, m in totals)
     main = max(totals, key=lambda x: x[1])[0] if totals else ""
-    own = [q for q, m in totals if q == main or m * window >= total]
-    slot = {q: own.index(q if q in own else main) for q, _ in totals}
-    sizes = [sum(m for q, m in totals if slot[q] == k) for k in range(len(own))]
+    tail = {q for q, m in totals if q != main and m * window < total} if weights is None else set()
+    if sum(m for q, m in totals if q in tail) * window < total:
+        merged_into, own = dict.fromkeys(tail, main), [q for q, _ in totals if q not in tail]
+    else:
+        merged_into, own = dict.fromkeys(tail, min(tail)), [q for q, _ in totals if q not in tail or q == min(tail)]
+    slot = {q: own.index(merged_into.get(q, q)) for q, _ in totals}
+    sizes = [0] * len(own)
+    for q, m in totals:
+        sizes[slot[q]] += m
+    shares = None if weights is None else [weights.get(q[1:], 0) for q in own]
     slots = spark.createDataFrame([*slot.items()] or [("", 0)], "queue string, slot int")
+    slots = F.broadcast(slots) if len(slot) <= SMALL_TABLE else slots
     before = W.partitionBy("slot").orderBy("queue", "part").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.join(F.broadcast(slots), "queue").select("queue", "part", "slot", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    bases = sums.join(slots, "queue").select("queue", "part", "slot", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
     bases = shelf.keep(bases)
     if bases.count() <= SMALL_TABLE:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, ["queue", "part"]).withColumn("place", F.col("place") + F.col("base"))
     schema = f"{kinds}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
-    return placed.mapInArrow(_pack(sizes, window, sequence, names), schema).withColumnsRenamed(dict(zip(names, [id_col, *carry])))
+    return placed.mapInArrow(_pack(sizes, shares, window, sequence, names), schema).withColumnsRenamed(dict(zip(names, [id_col, *carry])))

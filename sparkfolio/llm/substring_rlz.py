@@ -2,13 +2,15 @@
 
 The reference is the corpus itself, cut into content-defined blocks: the
 stretches of words that all windows of one anchor cover (``anchors``). Each
-distinct block is indexed once, under its anchor. Every document is factored
-greedily against that index from left to right: consecutive blocks that occur
-elsewhere extend one factor, a block that does not ends it. Factors are at
-least one window long, so they become removal spans as they stand. At factor
-boundaries, blocks whose anchor is indexed but whose whole stretch is not, the
-windows are looked up one by one, against each other and against the windows
-of one copy of each indexed block, so that no repeated window is lost.
+distinct block is indexed once, under its anchor. Where the anchor of a block
+is indexed but its whole stretch is not, its windows are looked up one by one,
+against each other and against the windows of one copy of each indexed block;
+those found are blocks of one window. A document is then parsed greedily from
+left to right: at a place that an indexed block covers, the factor is the rest
+of the covering block that reaches farthest, a (block, offset, length); other
+words are literals. Blocks are at least one window long, so factors and the
+boundaries between them hide no repeated window: factors that touch become a
+removal span.
 
 Equality is by pairs of 64-bit hashes (anchor and block, or anchor and window).
 """
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import RUN_SCHEMA, merged, mix, open_runs, runs_of, settle_runs
+from .anchors import RUN_SCHEMA, mix, open_runs, runs_of, settle_runs
 from .common import Shelf, row_key, squeezed, unsqueeze
 
 GRAM = 6
@@ -107,33 +109,57 @@ def _windows(length: int):
     return run
 
 
+def parse(blocks: list[dict] | None, length: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, block, offset) against the indexed blocks that stand in
+    a document: ``blocks`` start at word p, hold q + 1 windows and are named s."""
+    out, at = [], 0
+    todo = sorted(((u["p"], u["p"] + u["q"] + length, u["s"]) for u in blocks or []), reverse=True)
+    while todo:
+        best = todo.pop()
+        while todo and todo[-1][0] <= max(at, best[0]):  # all that cover the place; the one that reaches farthest
+            best = max(best, todo.pop(), key=lambda u: u[1])
+        if best[1] > at:
+            start = max(at, best[0])
+            out.append((start, best[1] - start, best[2], start - best[0]))
+            at = best[1]
+    return out
+
+
 def _cut(length: int, names: list[str], as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, removed, kept, spans = [], [], [], []
+            counts, removed, kept, spans, told = [], [], [], [], []
             for i in range(batch.num_rows):
                 data = unsqueeze(batch.column("text")[i].as_py())
                 joined, starts, ends = words_of(data)
                 n = len(starts)
-                step = merged(batch.column("spans")[i].as_py(), length)
+                factors = parse(batch.column("blocks")[i].as_py(), length)
+                step: list[list[int]] = []
+                for a, m, *_ in factors:
+                    if step and step[-1][1] == a:
+                        step[-1][1] += m
+                    else:
+                        step.append([a, a + m])
                 text = data if as_is else joined
-                if len(step):
+                if step:
                     gone = np.zeros(n, bool)
-                    for a, b in step.tolist():
+                    for a, b in step:
                         gone[a:b] = True
                     stay = np.repeat(~gone, ends - starts + 1)[: len(joined)]
                     text = np.frombuffer(joined, np.uint8)[stay].tobytes().rstrip(b" ")
                 counts.append(n)
-                removed.append(int((step[:, 1] - step[:, 0]).sum()))
+                removed.append(sum(b - a for a, b in step))
                 kept.append(text.decode())
-                spans.append([{"start": a, "end": b} for a, b in step.tolist()])
+                spans.append([{"start": a, "end": b} for a, b in step])
+                told.append([dict(zip(("start", "length", "block", "offset"), x)) for x in factors])
             cols = [batch.column(x) for x in names] + [
                 pa.array(counts, pa.int64()),
                 pa.array(removed, pa.int64()),
                 pa.array(kept, pa.string()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array(told, pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "block", "offset")]))),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_removed", "kept_text", "removed_spans"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_removed", "kept_text", "removed_spans", "factors"])
 
     return run
 
@@ -144,8 +170,9 @@ def dedup_substrings(
     """Remove every word that lies in a ``length``-word sequence that also starts elsewhere.
 
     Returns one row per input row: the id, the columns named in ``carry``,
-    n_words, n_removed, kept_text (remaining words joined by one blank) and
-    removed_spans (maximal removed word ranges, end exclusive). With ``as_is``,
+    n_words, n_removed, kept_text (remaining words joined by one blank),
+    removed_spans (maximal removed word ranges, end exclusive) and factors (start
+    and length in words, the block's name and the offset there). With ``as_is``,
     the kept_text of a document that loses nothing is its text as it stands. The
     input is judged as it stands, whole, across and within documents.
 
@@ -165,13 +192,13 @@ def dedup_substrings(
     schema = "d bigint, v int, p int, a bigint, w bigint, whole boolean"
     windows = shelf.keep(to_look.mapInArrow(_windows(length), schema))
     twice = shelf.keep(windows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "w"))
-    single = windows.where(~F.col("whole")).join(twice, ["a", "w"]).select("d", "v", "p", F.lit(0).alias("q"))
-    spans = shelf.keep(told.where("whole").select("d", "v", "p", "q").unionByName(single))
+    single = windows.where(~F.col("whole")).join(twice, ["a", "w"]).select("d", "v", "p", F.lit(0).alias("q"), F.col("w").alias("s"))
+    blocks = shelf.keep(told.where("whole").select("d", "v", "p", "q", "s").unionByName(single))
     shelf.drop(told, windows, twice)
-    by_doc = spans.groupBy("d", "v").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
+    by_doc = blocks.groupBy("d", "v").agg(F.collect_set(F.struct("p", "q", "s")).alias("blocks"))
     given = docs.select(*row_key(id_col, text_col), text, F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     names = ["_id", *[f"_c{i}" for i in range(len(carry))]]
     kinds = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
-    schema = f"{kinds}, n_words bigint, n_removed bigint, kept_text string, removed_spans array<struct<start:bigint,end:bigint>>"
+    schema = f"{kinds}, n_words bigint, n_removed bigint, kept_text string, removed_spans array<struct<start:bigint,end:bigint>>, factors array<struct<start:bigint,length:bigint,block:bigint,offset:bigint>>"
     out = squeezed(given).join(by_doc, ["d", "v"], "left").mapInArrow(_cut(length, names, as_is), schema)
     return out.withColumnsRenamed(dict(zip(names, [id_col, *carry])))

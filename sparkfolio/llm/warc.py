@@ -11,6 +11,7 @@ import gzip
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,10 @@ BLOCK_ELEMENTS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|fo
 #: Elements whose content is not text.
 HIDDEN_ELEMENTS = ("script", "style", "noscript", "template")
 # Character references, the ampersand's last.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+REFERENCES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"),
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"),
+)
 CRLF = "\r\n"
 
 
@@ -157,36 +161,90 @@ def members(records: DataFrame) -> DataFrame:
     return records.select(*RECORD_COLUMNS).mapInArrow(run, "member binary")
 
 
+#: Bytes looked at together, and how a gzip member starts.
+PART, GZIP = 1 << 22, b"\x1f\x8b\x08"
 _head = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of a .warc or .warc.gz file; what cannot be read ends the file."""
-    whole = bytearray()
-    while data[:2] == b"\x1f\x8b":
-        inflate = zlib.decompressobj(31)
+def inflated(data: bytes, lost: list[int]) -> Iterator[bytes | None]:
+    """What a file holds, in parts of at most ``PART`` bytes: gzip members one by one, other
+    data as it stands. After a member that cannot be read comes None, then the next one that can;
+    the bytes passed over are added to ``lost``."""
+    if not data.startswith(GZIP):
+        yield from (data[i : i + PART] for i in range(0, len(data), PART))
+        return
+    at = 0
+    while at < len(data):
+        inflate, took = zlib.decompressobj(31), at
         try:
-            whole += inflate.decompress(data)
+            while not inflate.eof and took < len(data):
+                given = data[took : took + PART]
+                took += len(given)
+                yield inflate.decompress(given, PART)
+                while inflate.unconsumed_tail and not inflate.eof:
+                    yield inflate.decompress(inflate.unconsumed_tail, PART)
+            took -= len(inflate.unused_data)
+            if inflate.eof:
+                at = took
+                continue
         except zlib.error:
-            break
-        data = inflate.unused_data
-    rest, at = bytes(whole) or data, 0
-    while m := _head.match(rest, at):
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in m[1].decode("utf-8", "replace").split(CRLF))}
-        size = fields.get("content-length", "")
-        if not size.isdigit() or m.end() + int(size) > len(rest):
-            return
-        block = rest[m.end() : m.end() + int(size)]
-        at = m.end() + int(size) + 4
-        headers, kind = None, fields.get("content-type")
-        if kind and kind.startswith("application/http") and b"\r\n\r\n" in block:
-            cut = block.index(b"\r\n\r\n") + 4
-            headers, block = block[:cut].decode("utf-8", "replace"), block[cut:]
-        yield dict(zip(RECORD_COLUMNS, (fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-refers-to"), kind, headers, block, fields.get("warc-payload-digest"), fields.get("warc-block-digest"))))
+            pass
+        after = data.find(GZIP, at + 1)
+        lost.append((after if after > 0 else len(data)) - at)
+        at = after if after > 0 else len(data)
+        yield None
+
+
+def parse(data: bytes, lost: list[int] | None = None) -> Iterator[dict]:
+    """Records of a .warc or .warc.gz file. What cannot be read is passed over up to the
+    next gzip member or record head; the numbers of bytes passed over are added to ``lost``."""
+    lost = [] if lost is None else lost
+    held = bytearray()
+    for part, last in chain(((x, False) for x in inflated(data, lost)), [(b"", True)]):
+        held += part or b""
+        at = 0
+        while at < len(held):
+            m = _head.match(held, at)
+            if not m:
+                after = held.find(b"WARC/1.", at + 1)
+                if after < 0 and part is not None and not last and (held.startswith(b"WARC/1.", at) or len(held) - at < 8):
+                    break  # the head may go on in the next part
+                if held[at : max(after, len(held) if after < 0 else 0)].strip():
+                    lost.append((after if after > 0 else len(held)) - at)
+                at = after if after > 0 else len(held)
+                continue
+            size = _fields(m[1]).get("content-length", "")
+            if not size.isdigit():
+                lost.append(m.end() - at)
+                at = m.end()
+                continue
+            if m.end() + int(size) > len(held):
+                if part is not None and not last:
+                    break  # the block goes on in the next part
+                after = held.find(b"WARC/1.", m.end())
+                lost.append((after if after > 0 else len(held)) - at)
+                at = after if after > 0 else len(held)
+                continue
+            yield _record(_fields(m[1]), bytes(held[m.end() : m.end() + int(size)]))
+            at = m.end() + int(size) + 4
+        del held[: min(at, len(held))]
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in bytes(head).decode("utf-8", "replace").split(CRLF))}
+
+
+def _record(fields: dict[str, str], block: bytes) -> dict:
+    headers, kind = None, fields.get("content-type")
+    if kind and kind.startswith("application/http") and b"\r\n\r\n" in block:
+        cut = block.index(b"\r\n\r\n") + 4
+        headers, block = block[:cut].decode("utf-8", "replace"), block[cut:]
+    named = ("warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-refers-to")
+    return dict(zip(RECORD_COLUMNS, (*map(fields.get, named), kind, headers, block, fields.get("warc-payload-digest"), fields.get("warc-block-digest"))))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all .warc and .warc.gz files under ``path``, one task a file."""
+    """Records of all .warc and .warc.gz files under ``path``, one task a file, which is inflated in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c, pa.binary() if c == "payload" else pa.string()) for c in RECORD_COLUMNS])
@@ -200,8 +258,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
-    return files.mapInArrow(run, RECORD_SCHEMA)
+    return _files(spark, path).select("content").mapInArrow(run, RECORD_SCHEMA)
+
+
+def unread(spark: SparkSession, path: str) -> DataFrame:
+    """(path, gaps, bytes): for each file, how often and how much ``read`` passes over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                lost: list[int] = []
+                for _ in parse(content.as_py(), lost):
+                    pass
+                yield pa.RecordBatch.from_pydict({"path": [name.as_py()], "gaps": [len(lost)], "bytes": [sum(lost)]})
+
+    return _files(spark, path).select("path", "content").mapInArrow(run, "path string, gaps bigint, bytes bigint")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
 
 
 def _sql_uuid(kind: str, *parts: str) -> str:
