@@ -88,6 +88,60 @@ STRATEGIES = (
 )
 
 
+# Japanese names of the schema's items and classes.
+JAPANESE = (
+    ("Current Assets", "流動資産"),
+    ("Quick Assets", "短期投資"),
+    ("Cash & Cash Equivalents", "現金及び現金同等物"),
+    ("Accounts Receivable - Trade", "売掛金"),
+    ("Other Quick Assets", "その他の短期投資"),
+    ("Inventories, Net", "棚卸資産"),
+    ("Other Current Assets", "その他の流動資産"),
+    ("Other Current Assets (subtotal)", "その他の流動資産（小計）"),
+    ("Marketable Securities", "有価証券"),
+    ("Short-term Loan", "短期貸付金"),
+    ("Advance Payments", "前払金"),
+    ("Fixed Assets", "固定資産"),
+    ("Tangible Assets", "有形固定資産"),
+    ("Land", "土地"),
+    ("Buildings", "建物"),
+    ("Plant & Machinery", "機械装置"),
+    ("Construction in Progress", "建設仮勘定"),
+    ("Other Equipment", "その他の設備"),
+    ("Accumulated Depreciation", "減価償却累計額"),
+    ("Intangible Assets", "無形固定資産"),
+    ("Financial Assets", "金融資産"),
+    ("Investments", "投資"),
+    ("Long-term Loan", "長期貸付金"),
+    ("Other Financial Assets", "その他の金融資産"),
+    ("Other Fixed Assets", "その他の固定資産"),
+    ("Deferred Charges", "繰延資産"),
+    ("Total Assets", "総資産"),
+)
+
+# Facts of a parser's document map and how they are shown, in order.
+MAP_LABELS = (
+    ("title", "Document title"),
+    ("document_type", "Document type"),
+    ("type_confidence", "Type confidence"),
+    ("has_encoding_issues", "Text layer has encoding problems"),
+    ("complex_layout", "Complex multi-column layout"),
+    ("pages_with_tables", "Pages containing tables"),
+    ("table_page_count", "Number of pages with tables"),
+    ("table_count", "Tables detected"),
+    ("largest_tables", "Table shapes (page: rows x cols)"),
+    ("pages_with_multiple_columns", "Pages with multiple columns"),
+    ("pages_needing_ocr", "Pages whose text layer is unreadable"),
+    ("ocr_pages", "Pages replaced by OCR"),
+    ("native_text_fallback_pages", "Text-based pages recovered from their embedded text layer"),
+    ("selected_pages", "Pages retained by the intelligent scanning gate"),
+    ("selected_page_count", "Pages sent for semantic mapping"),
+    ("character_reduction_percent", "Markdown character reduction (%)"),
+    ("outline", "Document outline"),
+    ("outline_entries_total", "Outline entries in document"),
+)
+
+
 def leaves(total: str) -> int:
     """How many schema leaves a total is made of."""
     parts = dict(IDENTITIES)
@@ -125,3 +179,11 @@ def names_dim(spark: SparkSession) -> DataFrame:
 def strategies_dim(spark: SparkSession) -> DataFrame:
     rows = [(k, *r) for k, r in enumerate(STRATEGIES)]
     return spark.createDataFrame(rows, "ord int, strategy string, prefix string, parser string, experiment string, ocr string")
+
+
+def labels_dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([*JAPANESE], "en string, ja string")
+
+
+def map_labels_dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(MAP_LABELS)], "ord int, key string, label string")

@@ -176,3 +176,119 @@ def cohort_order(runs: DataFrame, reports: DataFrame, arms: DataFrame) -> DataFr
     """Adds place: by the report's then the arm's position in their lists (constant dimensions: report, report_at; arm, arm_at)."""
     joined = runs.join(F.broadcast(reports), "report").join(F.broadcast(arms), "arm")
     return joined.withColumn("place", F.col("report_at") * arms.count() + F.col("arm_at")).drop("report_at", "arm_at")
+
+
+def localized(rows: DataFrame, column: str, labels: DataFrame, locale: str) -> DataFrame:
+    """Adds ``shown``: schema words in the locale's language, whichever they come in; other words stay, null is empty."""
+    both = labels.select(F.col("en").alias("_key"), "en", "ja").unionByName(labels.select(F.col("ja").alias("_key"), "en", "ja"))
+    joined = rows.join(F.broadcast(both), F.col(column) == F.col("_key"), "left")  # a constant dimension
+    return joined.withColumn("shown", F.coalesce(F.col("ja" if locale == "ja" else "en"), F.col(column), F.lit(""))).drop("_key", "en", "ja")
+
+
+def document_map(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc, text) of the facts a parser found: labelled lines in the labels' order, yes or no
+    for flags, a list's items below its label; empty lists and unknown keys are left out.
+
+    ``facts``: doc, key, flag (boolean), items (array of text) and value (text), one of them set.
+    """
+    known = facts.join(F.broadcast(labels), "key")  # a constant dimension
+    listed = F.concat(F.lit("- "), F.col("label"), F.lit(":\n    "), F.array_join("items", "\n    "))
+    plain = F.concat(F.lit("- "), F.col("label"), F.lit(": "), F.when(F.col("flag"), "yes").when(~F.col("flag"), "no").otherwise(F.col("value")))
+    line = F.when(F.size("items") > 0, listed).when(F.col("items").isNull(), plain)
+    lines = known.withColumn("line", line).where("line IS NOT NULL")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "line")))
+    return lines.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+
+
+def resolved(path: Column) -> Column:
+    """A path without "." and "..", and without repeated slashes."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    step = lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def owned(path: Column, root: str) -> Column:
+    """The resolved path where it lies inside ``root``, else null."""
+    at = resolved(path)
+    return F.when((F.coalesce(F.trim(path), F.lit("")) != "") & at.startswith(root.rstrip("/") + "/"), at)
+
+
+def owned_paths(documents: DataFrame, root: str, by: list[str]) -> DataFrame:
+    """(by…, paths): each document's distinct files inside ``root``: its own, its candidate's, its approval's and its passes'."""
+    given = F.concat(F.array("local_path", "candidate_path", "approved_path"), F.coalesce("pass_paths", F.array().cast("array<string>")))
+    return documents.select(*by, F.array_distinct(F.array_compact(F.transform(given, lambda p: owned(p, root)))).alias("paths"))
+
+
+def superseded(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, paths): files a document owned and no longer does."""
+    joined = before.join(after.withColumnRenamed("paths", "kept"), by, "left")
+    return joined.select(*by, F.array_except("paths", F.coalesce("kept", F.array().cast("array<string>"))).alias("paths"))
+
+
+def candidate_rows(replies: DataFrame, schema: DataFrame, by: list[str]) -> DataFrame:
+    """All schema rows of each reply: the last row of an item, numbers only where numbers were
+    sent, pages from 1 as whole numbers, blank evidence as null.
+
+    ``replies``: by…, ord, item, and text and kind of answer, confidence and page, evidence.
+    """
+    last = replies.groupBy(*by, "item").agg(F.max_by(F.struct(*[c for c in replies.columns if c not in (*by, "item")]), "ord").alias("r"))
+    grid = replies.select(*by).distinct().crossJoin(F.broadcast(schema.select(F.col("ord").alias("place"), "item")))  # 27 rows each
+    told = grid.join(last, [*by, "item"], "left")
+    number = lambda c: F.when(F.col(f"r.{c}_kind") == "number", F.col(f"r.{c}").try_cast("double"))
+    page = number("page")
+    return told.select(
+        *by, "place", "item", number("answer").alias("answer"), number("confidence").alias("confidence"), F.when(page >= 1, F.floor(page)).alias("source_page"), F.nullif(F.trim(F.col("r.evidence")), F.lit("")).alias("evidence")
+    )
+
+
+def result_rows(planned: DataFrame, runs: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+    """A row for every planned arm: its run's values, or nulls and the failure where there is none."""
+    joined = planned.join(runs, on, "left")
+    status = F.when(F.col("run_id").isNull(), "not run").when(F.col("error").isNotNull(), "failed").otherwise("completed")
+    return joined.select(*on, status.alias("status"), *[F.when(F.col("error").isNull(), F.col(v)).alias(v) for v in values], "error")
+
+
+def missing_sources(registry: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Registered sources (company, year, url) not stored yet, with the host that is official for them."""
+    told = registry.join(manifest.select("company", "year"), ["company", "year"], "left_anti")
+    return told.withColumn("official_domain", F.regexp_replace(C.host(F.col("url")), r"^www\.", ""))
+
+
+def clean_companies(given: DataFrame, limit: int = 200) -> DataFrame:
+    """(seq, name, official_url, country) of submitted companies; blank names go, and more than ``limit`` are refused."""
+    if given.limit(limit + 1).count() > limit:
+        raise ValueError(f"at most {limit} companies")
+    part = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    told = given.select("seq", part("name").alias("name"), part("official_url").alias("official_url"), F.upper(F.trim(F.coalesce(F.nullif(F.col("country"), F.lit("")), F.lit("US")))).alias("country"))
+    return told.where("name <> ''")
+
+
+def effort(value: Column, legacy: Column) -> Column:
+    """The reasoning effort of a setting: a known one, else what the old switch meant, else medium."""
+    known = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    old = F.lower(F.trim(F.coalesce(legacy, F.lit(""))))
+    return (
+        F.when(known.isin("none", "minimal", "low", "medium", "high", "xhigh"), known)
+        .when(old.isin("0", "false", "no", "off"), "none")
+        .when(old.isin("1", "true", "yes", "on"), "high")
+        .otherwise("medium")
+    )
+
+
+def execution_identity(name: Column) -> Column:
+    """(company, year) of an uploaded report's canonical name, else its name without the ending."""
+    pattern = r"(?i)^(.*?)_annual_report_([0-9]{4})\.pdf$"
+    company = F.translate(F.regexp_extract(name, pattern, 1), "_", " ")
+    return F.struct(F.coalesce(F.nullif(company, F.lit("")), F.regexp_replace(name, r"(?i)\.pdf$", "")).alias("company"), F.regexp_extract(name, pattern, 2).alias("year"))
+
+
+def display_date(run: Column) -> Column:
+    """Month, day and time of the stamp in a run's id, a dash without one, the stamp where it is no time."""
+    stamp = F.regexp_extract(F.coalesce(run, F.lit("")), "[0-9]{8}T[0-9]{6}Z", 0)
+    at = F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("yyyyMMdd'T'HHmmss'Z'"))
+    return F.when(stamp == "", "—").otherwise(F.coalesce(F.date_format(at, "MMM d, HH:mm"), stamp))
+
+
+def tokyo_time(at: Column) -> Column:
+    """A UTC time as shown in Tokyo."""
+    return F.date_format(F.from_utc_timestamp(at, "Asia/Tokyo"), "yyyy-MM-dd HH:mm:ss")

@@ -52,6 +52,11 @@ def score_runs(rows: DataFrame, gold: DataFrame, on: list[str], by: list[str], s
     return sums.withColumns({k: ratio_percent(F.col(a), b) for k, (a, b) in percent.items()})
 
 
+def rescore(rows: DataFrame, keys: DataFrame, year: str, on: list[str], by: list[str]) -> DataFrame:
+    """``score_runs`` against the key of another fiscal year. ``keys``: year, on…, gold."""
+    return score_runs(rows, keys.where(F.col("year") == year).drop("year"), on, by)
+
+
 def resolve_gold(runs: DataFrame, assignment: DataFrame, audited: DataFrame, approved: DataFrame) -> DataFrame:
     """The gold key of each run (run_id, sha, company_key, fiscal_year, currency), first match wins:
     assignment by company, year and currency; audited by digest, company, year and currency;

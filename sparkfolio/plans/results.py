@@ -256,3 +256,120 @@ def document_order(spark: SparkSession, folder: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy(F.lower("source")).orderBy(F.desc("n_chars"), "doc_id"))
     return docs.select("doc_id", place.alias("place"))
 
+
+_LABELS_SQL = _values(dims.JAPANESE) + " AS labels(en, ja)"
+
+
+@query("localized_schema", f"WITH given AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN en WHEN 1 THEN ja ELSE event_type END AS word FROM events JOIN (SELECT row_number() OVER () - 1 AS k, en, ja FROM {_LABELS_SQL}) ON k = event_id % 27) SELECT event_id, coalesce((SELECT max(ja) FROM {_LABELS_SQL} WHERE en = word OR ja = word), word) AS shown FROM given")
+def localized_schema(spark: SparkSession, folder: str) -> DataFrame:
+    e = F.col("event_id")
+    en, ja = (F.element_at(F.array(*[F.lit(r[k]) for r in dims.JAPANESE]), (e % 27 + 1).cast("int")) for k in (0, 1))
+    given = table(spark, folder, "events").select("event_id", F.when(e % 3 == 0, en).when(e % 3 == 1, ja).otherwise(F.col("event_type")).alias("word"))
+    return R.localized(given, "word", dims.labels_dim(spark), "ja").select("event_id", "shown")
+
+
+@query("document_maps", """WITH given AS (SELECT c_custkey AS doc FROM customer), lines AS (SELECT doc, 0 AS ord, '- Document title: Report ' || doc AS line FROM given UNION ALL SELECT doc, 3, '- Text layer has encoding problems: ' || CASE WHEN doc % 3 = 0 THEN 'yes' ELSE 'no' END FROM given
+  UNION ALL SELECT doc, 5, '- Pages containing tables:' || chr(10) || '    ' || doc || chr(10) || '    ' || doc + 1 FROM given WHERE doc % 2 = 0) SELECT doc, string_agg(line, chr(10) ORDER BY ord) AS text FROM lines GROUP BY doc""")
+def document_maps(spark: SparkSession, folder: str) -> DataFrame:
+    c, text = F.col("c_custkey"), lambda x: x.cast("string")
+    none, empty = F.lit(None), F.array().cast("array<string>")
+    fact = lambda key, flag=none, items=none, value=none: F.struct(F.lit(key).alias("key"), flag.cast("boolean").alias("flag"), items.cast("array<string>").alias("items"), value.cast("string").alias("value"))
+    pages = F.when(c % 2 == 0, F.array(text(c), text(c + 1))).otherwise(empty)
+    found = F.array(fact("pages_with_tables", items=pages), fact("title", value=F.concat(F.lit("Report "), text(c))), fact("has_encoding_issues", flag=c % 3 == 0), fact("unheard_of", value=F.lit("x")))
+    return R.document_map(table(spark, folder, "customer").select(c.alias("doc"), F.inline(found)), dims.map_labels_dim(spark))
+
+
+_PATHS = ("/corpus/a/{}.pdf", "/corpus/../etc/{}.pdf", "/corpus/./b//c/../{}.pdf", "/elsewhere/{}.pdf")
+
+
+@query("owned_paths", """WITH given AS (SELECT c_custkey AS k FROM customer), listed AS (SELECT k, 0 AS o, CASE k % 4 WHEN 0 THEN '/corpus/a/' || k || '.pdf' WHEN 2 THEN '/corpus/b/' || k || '.pdf' END AS p FROM given UNION ALL SELECT k, 1, CASE WHEN k % 5 <> 0 THEN '/corpus/v/candidate.json' END FROM given
+  UNION ALL SELECT k, 2, CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN NULL WHEN k % 3 = 0 THEN '/corpus/v/pass_1.json' END FROM given)
+SELECT k, coalesce(string_agg(p, ';' ORDER BY o), '') AS paths FROM listed GROUP BY k""")
+def owned_paths(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("k")
+    local = F.element_at(F.array(*[F.format_string(p.replace("{}", "%d"), k) for p in _PATHS]), (k % 4 + 1).cast("int"))
+    documents = table(spark, folder, "customer").select(F.col("c_custkey").alias("k")).select(
+        "k", local.alias("local_path"), F.when(k % 5 != 0, "/corpus/v/candidate.json").otherwise("").alias("candidate_path"), F.lit(None).cast("string").alias("approved_path"),
+        F.when(k % 3 == 0, F.when(k % 4 == 0, F.array(local, local)).otherwise(F.array(F.lit("/corpus/v/pass_1.json")))).alias("pass_paths"),
+    )
+    return R.owned_paths(documents, "/corpus", ["k"]).select("k", F.array_join("paths", ";").alias("paths"))
+
+
+@query("superseded_paths", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'a;b' ELSE 'a' END AS paths FROM customer")
+def superseded_paths(spark: SparkSession, folder: str) -> DataFrame:
+    before = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.array(F.lit("a"), F.lit("b")).alias("paths"))
+    after = before.where("k % 3 <> 0").select("k", F.array(F.lit("b"), F.lit("c")).alias("paths"))
+    return R.superseded(before, after, ["k"]).select("k", F.array_join("paths", ";").alias("paths"))
+
+
+@query("candidate_rows", f"""WITH given AS (SELECT user_id, event_id AS ord, event_id % 31 AS k, value, event_id, event_type FROM events), last AS (SELECT user_id, k, max(ord) AS ord FROM given GROUP BY ALL)
+SELECT u.user_id, s.ord AS place, s.item, CASE WHEN g.event_id % 3 <> 0 THEN g.value END AS answer, CASE WHEN g.event_id % 4 <> 0 THEN floor((g.event_id % 5) / 2.0)::BIGINT END AS source_page_raw, CASE WHEN g.event_id % 2 = 0 THEN g.event_type END AS evidence
+FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN {SCHEMA_SQL.replace('schema_dim', 's')} LEFT JOIN last l ON l.user_id = u.user_id AND l.k = s.ord LEFT JOIN given g ON g.user_id = l.user_id AND g.ord = l.ord""".replace("floor((g.event_id % 5) / 2.0)::BIGINT END AS source_page_raw", "nullif(floor((g.event_id % 5) / 2.0)::BIGINT, 0) END AS source_page"))
+def candidate_rows(spark: SparkSession, folder: str) -> DataFrame:
+    e, schema = F.col("event_id"), dims.schema_dim(spark)
+    names = F.element_at(F.array(*[F.lit(i) for i in (*dims.ITEMS, "Goodwill", "Cash", "Other", "x")]), (e % 31 + 1).cast("int"))
+    replies = table(spark, folder, "events").select(
+        "user_id", e.alias("ord"), names.alias("item"), F.col("value").cast("string").alias("answer"), F.when(e % 3 == 0, "boolean").otherwise("number").alias("answer_kind"), F.lit("1").alias("confidence"), F.lit("string").alias("confidence_kind"),
+        ((e % 5) / 2).cast("string").alias("page"), F.when(e % 4 == 0, "string").otherwise("number").alias("page_kind"), F.when(e % 2 == 0, F.col("event_type")).otherwise("  ").alias("evidence"),
+    )
+    return R.candidate_rows(replies, schema, ["user_id"]).drop("confidence")
+
+
+@query("result_rows", "SELECT c_custkey AS report, s.strategy, CASE WHEN e.event_id IS NULL THEN 'not run' WHEN e.value < 3 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN e.value >= 3 THEN e.value END AS value, CASE WHEN e.value < 3 THEN 'low' END AS error FROM customer CROSS JOIN (SELECT DISTINCT event_type AS strategy FROM events) s LEFT JOIN (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1) e ON e.user_id = c_custkey AND e.event_type = s.strategy")
+def result_rows(spark: SparkSession, folder: str) -> DataFrame:
+    from ..operators.corpus import first_seen
+
+    runs = first_seen(table(spark, folder, "events"), ["user_id", "event_type"], "event_id").select(
+        F.col("user_id").alias("report"), F.col("event_type").alias("strategy"), F.col("event_id").alias("run_id"), "value", F.when(F.col("value") < 3, "low").alias("error")
+    )
+    planned = table(spark, folder, "customer").select(F.col("c_custkey").alias("report")).crossJoin(F.broadcast(runs.select("strategy").distinct()))  # a handful of strategies
+    return R.result_rows(planned, runs, ["report", "strategy"], ["value"])
+
+
+@query("missing_sources", "SELECT page_id, company, year, regexp_replace(regexp_extract(lower(url), '://([^/?#:]*)', 1), '^www\\.', '') AS official_domain FROM (SELECT page_id, page_id % 50 AS company, page_id % 6 AS year, 'http://www.' || page_id % 9 || '.Example.org/x' AS url FROM pages) WHERE (company, year) NOT IN (SELECT (c_custkey, c_nationkey) FROM customer)")
+def missing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    p = F.col("page_id")
+    registry = table(spark, folder, "pages").select("page_id", (p % 50).alias("company"), (p % 6).alias("year"), F.concat(F.lit("http://www."), (p % 9).cast("string"), F.lit(".Example.org/x")).alias("url"))
+    stored = table(spark, folder, "customer").select(F.col("c_custkey").alias("company"), F.col("c_nationkey").cast("bigint").alias("year"))
+    return R.missing_sources(registry, stored).select("page_id", "company", "year", "official_domain")
+
+
+@query("clean_companies", "SELECT n_nationkey AS seq, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'http://x' ELSE '' END AS official_url, CASE WHEN n_nationkey % 3 = 0 THEN 'JP' ELSE 'US' END AS country FROM nation WHERE n_nationkey % 5 <> 1")
+def clean_companies(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    name = F.when(n % 5 == 1, "  ").otherwise(F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")))
+    given = table(spark, folder, "nation").select(n.alias("seq"), name.alias("name"), F.when(n % 2 == 0, " http://x").alias("official_url"), F.when(n % 3 == 0, " jp").when(n % 3 == 1, "").alias("country"))
+    return R.clean_companies(given)
+
+
+@query("reasoning_efforts", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'none' WHEN 2 THEN 'high' ELSE 'medium' END AS effort FROM events")
+def reasoning_efforts(spark: SparkSession, folder: str) -> DataFrame:
+    e = F.col("event_id") % 4
+    value, legacy = F.when(e == 0, " HIGH").when(e == 1, "often"), F.when(e == 1, "False").when(e == 2, "yes").otherwise("perhaps")
+    return table(spark, folder, "events").select("event_id", R.effort(value, legacy).alias("effort"))
+
+
+@query("execution_identities", r"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, '_', ' ') ELSE p_name END AS company, CASE WHEN p_partkey % 2 = 0 THEN '2021' ELSE '' END AS year FROM part""")
+def execution_identities(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "_annual_report_2021.PDF").otherwise(".pdf"))
+    return table(spark, folder, "part").select("p_partkey", R.execution_identity(name).alias("i")).select("p_partkey", "i.company", "i.year")
+
+
+@query("display_dates", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(date_trunc('second', ts), '%b %-d, %H:%M') WHEN 1 THEN '—' ELSE '20241399T000000Z' END AS shown, strftime(date_trunc('second', ts) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS tokyo FROM events")
+def display_dates(spark: SparkSession, folder: str) -> DataFrame:
+    at, e = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    run = F.when(e == 0, F.concat(F.lit("S1_"), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.lit("_001"))).when(e == 1, "S1_x").otherwise("S2_20241399T000000Z")
+    return table(spark, folder, "events").select("event_id", R.display_date(run).alias("shown"), R.tokyo_time(at).alias("tokyo"))
+
+
+@query("rescore_other_year", """WITH answers AS (SELECT doc_id % 50 AS run, doc_id % 27 AS k, max(quality)::DOUBLE AS answer FROM labels GROUP BY ALL), gold AS (SELECT k, g FROM (SELECT unnest(range(27)) AS k), LATERAL (SELECT CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g))
+SELECT run, count(answer) AS filled, count(*) FILTER (abs(answer - g) <= 0.5) AS exact, count(*) AS compared FROM answers JOIN gold USING (k) GROUP BY run""")
+def rescore_other_year(spark: SparkSession, folder: str) -> DataFrame:
+    from ..operators import scoring as S
+
+    d = F.col("doc_id")
+    answers = table(spark, folder, "labels").groupBy((d % 50).alias("run"), (d % 27).alias("k")).agg(F.max("quality").cast("double").alias("answer"))
+    keys = spark.range(27).select(F.col("id").alias("k"), F.lit("2021").alias("year"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.0).alias("gold"))
+    other = keys.unionByName(keys.withColumn("year", F.lit("2022")).withColumn("gold", F.lit(9.0)))
+    told = S.rescore(answers.withColumn("confidence", F.lit(1.0)).withColumn("quantum", F.lit(0.0)), other, "2021", ["k"], ["run"])
+    return told.select("run", "filled", "exact", "compared")

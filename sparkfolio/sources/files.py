@@ -45,7 +45,29 @@ def write_runs(runs: DataFrame, folder: str) -> None:
 
 
 def find_run(runs: DataFrame, run_id: str) -> DataFrame:
-    return runs.where(F.col("run_id") == run_id).limit(1)
+    """The run filed under its id, else one whose record carries it."""
+    here = F.endswith("directory", F.lit(f"/{run_id}"))
+    return runs.where(here | (F.col("run_id") == run_id)).orderBy(F.desc(here), "path").limit(1)
+
+
+def read_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """(directory, kind, repair, content) of every request and raw response kept beside the runs; repairs count from 1."""
+    raw = spark.read.option("wholetext", True).text(f"{folder}/{{*,*/*,*/*/*}}/{{request,raw_response}}*.json")
+    path = F.col("_metadata.file_path")
+    name = F.regexp_extract(path, "([^/]*)[.]json$", 1)
+    repair = F.coalesce(F.nullif(F.regexp_extract(name, "_repair_([0-9]+)$", 1), F.lit("")).try_cast("int"), F.lit(0))
+    return raw.select(F.regexp_extract(path, "^(.*)/[^/]*$", 1).alias("directory"), F.regexp_extract(name, "^(request|raw_response)", 1).alias("kind"), repair.alias("repair"), F.col("value").alias("content"))
+
+
+def write_job_states(states: DataFrame, folder: str) -> None:
+    """Job states (job, status, …, updated_at), each replacing its job's; a job's id is hexadecimal."""
+    checked = states.withColumn("job", F.when(F.lower("job").rlike("^[0-9a-f]+$"), F.col("job")).otherwise(F.raise_error(F.concat(F.lit("not a job id: "), F.coalesce("job", F.lit("null"))))))
+    checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job").json(folder)
+
+
+def read_job_states(spark: SparkSession, folder: str, schema: str, newest: int = 20) -> DataFrame:
+    """The states updated last (a report's limit)."""
+    return spark.read.schema(schema).json(folder).orderBy(F.desc("updated_at"), "job").limit(newest)
 
 
 def read_manifest(spark: SparkSession, path: str, document: T.StructType) -> DataFrame:
@@ -83,8 +105,9 @@ def read_events(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     raw = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
     read = raw.withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").startswith("OBJECT"))
     placed = read.withColumn("offset", F.row_number().over(W.orderBy("_at")) - 1)  # one log is one job's
+    placed = placed.withColumn("next_offset", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
     return placed.where(F.col("offset") >= max(0, after)).select(
-        "offset", F.try_variant_get("v", "$.event", "string").alias("event"), F.try_variant_get("v", "$.data", "variant").alias("data"), F.try_variant_get("v", "$.at", "timestamp").alias("at")
+        "offset", "next_offset", F.try_variant_get("v", "$.event", "string").alias("event"), F.try_variant_get("v", "$.data", "variant").alias("data"), F.try_variant_get("v", "$.at", "timestamp").alias("at")
     )
 
 
@@ -111,8 +134,11 @@ def read_gold(spark: SparkSession, paths: list[str]) -> DataFrame:
     return checked.select("sha", "d.company", "d.fiscal_year", "d.currency", F.col("d.source_value_quantum").alias("quantum"), F.explode("d.answers").alias("item", "gold"))
 
 
-def write_csv(rows: DataFrame, folder: str, quote_all: bool = False) -> None:
-    """CSV with arrays as JSON cells and inner quotes doubled."""
+def write_csv(rows: DataFrame, folder: str, quote_all: bool = False, blank_unless: dict[str, str] | None = None) -> None:
+    """CSV with arrays as JSON cells and inner quotes doubled; ``blank_unless`` names, for
+    columns, the flag without which their cells stay empty."""
+    for name, flag in (blank_unless or {}).items():
+        rows = rows.withColumn(name, F.when(F.col(flag), F.col(name)))
     cells = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in rows.schema.fields]
     rows.select(*cells).write.mode("overwrite").option("header", True).option("quoteAll", quote_all).option("escape", '"').csv(folder)
 
@@ -123,6 +149,20 @@ def markdown_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def markdown_header(columns: list[str]) -> list[str]:
+    return ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+
+
+def write_ledger(rows: DataFrame, folder: str) -> None:
+    """A ledger as CSV, JSON and Markdown, in three folders; the Markdown head stands in each part."""
+    write_csv(rows, f"{folder}/csv")
+    rows.write.mode("overwrite").json(f"{folder}/json")
+    head = "\n".join(markdown_header(rows.columns))
+    lines = markdown_rows(rows).coalesce(1)  # a report's table
+    first = rows.sparkSession.createDataFrame([(head,)], "line string").coalesce(1)
+    first.union(lines).coalesce(1).write.mode("overwrite").text(f"{folder}/md")
+
+
 def admissible_pdfs(files: DataFrame) -> DataFrame:
     """Adds sha256 and admitted to binary files (path, length, content): size cap and magic bytes."""
     magic = F.substring("content", 1, 5) == F.lit(PDF_MAGIC)

@@ -86,6 +86,25 @@ def test_pages_sent_as_numbers(spark):
     assert [(r["item"], r.value, r.page_no, r.page_kind) for r in rows] == [("Land", -1234.0, None, "null"), ("Land", 1.0, None, "fraction"), ("Land", 1.0, 4, "number")]
 
 
+def test_attempts_jobs_and_ledgers(spark, tmp_path):
+    put(tmp_path / "a/FY2022/r1/request.json", {"n": 1})
+    put(tmp_path / "a/FY2022/r1/request_repair_1.json", {"n": 2})
+    put(tmp_path / "a/_pending/r2/raw_response.json", "{not json")
+    got = sorted((r.directory[-2:], r.kind, r.repair) for r in files.read_attempts(spark, str(tmp_path / "a")).collect())
+    assert got == [("r1", "request", 0), ("r1", "request", 1), ("r2", "raw_response", 0)]
+    schema = "job string, status string, updated_at string"
+    for rows in ([("ab1", "queued", "2024-01-01"), ("cd2", "done", "2024-01-03")], [("ab1", "running", "2024-01-02")]):
+        files.write_job_states(spark.createDataFrame(rows, schema), str(tmp_path / "jobs"))
+    assert [(r.job, r.status) for r in files.read_job_states(spark, str(tmp_path / "jobs"), schema).collect()] == [("cd2", "done"), ("ab1", "running")]
+    with pytest.raises(Exception, match="not a job id"):
+        files.write_job_states(spark.createDataFrame([("../x", "done", "")], schema), str(tmp_path / "jobs"))
+    ledger = spark.createDataFrame([("Acme", 2.5, True), ("Beta", 3.5, False)], "company string, answer double, accepted boolean").coalesce(1)
+    files.write_ledger(ledger, str(tmp_path / "ledger"))
+    assert next((tmp_path / "ledger/md").glob("*.txt")).read_text().splitlines()[:3] == ["| company | answer | accepted |", "| --- | --- | --- |", "| Acme | 2.5 | true |"]
+    files.write_csv(ledger, str(tmp_path / "blank"), blank_unless={"answer": "accepted"})
+    assert next((tmp_path / "blank").glob("*.csv")).read_text().splitlines()[1:] == ["Acme,2.5,true", "Beta,,false"]
+
+
 def test_events(spark, tmp_path):
     lines = ['{"event": "batch_start", "data": {"n": 1}, "at": "2024-01-01T00:00:00Z"}', "{bad", '{"event": "file_done", "at": "2024-01-01T00:00:01Z"}']
     put(tmp_path / "e.jsonl", "\n".join(lines))
