@@ -160,19 +160,26 @@ def stream_daily_counts(events: DataFrame, at: str, late: str = "1 day") -> Data
     return events.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("visits")).select(F.to_date("w.start").alias("day"), "visits")
 
 
-def stream_first_seen(visits: DataFrame, key: str, at: str, order: str, ttl: int = TTL_SECONDS) -> DataFrame:
-    """``first_seen_ttl`` on a stream: the last recorded time of a key is its state."""
-    picked = visits.select(key, micros(at).alias("_us"), order)
-    schema = picked.schema
+def stream_first_seen(visits: DataFrame, key: str, at: str, order: str, ttl: int = TTL_SECONDS, late: str = "1 day") -> DataFrame:
+    """``first_seen_ttl`` on a stream: the last recorded time of a key is its state. It is
+    dropped once the watermark, ``late`` behind, is ``ttl`` past it, as any later visit is recorded then."""
+    picked = visits.withWatermark(at, late).select(key, at, micros(at).alias("_us"), order)
+    schema = picked.drop(at).schema
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        frame = pd.concat(list(frames)).sort_values(["_us", order])
+        frame = pd.concat([f.drop(columns=[at]) for f in frames]).sort_values(["_us", order])
         keep = []
         for us in frame["_us"]:
             keep.append(last is None or us - last >= ttl * 1_000_000)
             last = us if keep[-1] else last
+        ends = last // 1000 + ttl * 1000
         state.update((last,))
+        if ends > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(ends)
         yield frame[keep]
 
-    return picked.groupBy(key).applyInPandasWithState(fold, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return picked.groupBy(key).applyInPandasWithState(fold, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -186,6 +186,18 @@ def test_limiter(spark):
     assert got == [4, 2, 2, 2, 2, 3, 3, 3, 3, 4]
 
 
+def test_first_seen_over_batches(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    batches = [[("a", day(0), 1), ("a", day(0, 1), 2)], [("b", day(5), 3)], [("a", day(5, 1), 4), ("b", day(5, 2), 5), ("b", day(5, 7), 6)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "user string, ts timestamp, id int").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("user string, ts timestamp, id int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = state.run_available(state.stream_first_seen(stream, "user", "ts", "id").select("user", "id"))
+    assert sorted(r.id for r in got.collect()) == [1, 3, 4, 6]
+
+
 def test_health_and_ranges(spark):
     pages = spark.createDataFrame([("d", k, "\x01" * 40 if k == 2 else "" if k == 3 else f"page {k}") for k in (1, 2, 3, 6, 7)], "doc string, page int, text string")
     told = D.assemble(pages).first()
