@@ -146,8 +146,8 @@ def consensus(passes: DataFrame, by: list[str], requested: int) -> DataFrame:
         .otherwise("disagreement")
     )
     share = F.col("agreeing") / F.lit(float(requested))
-    confidence = F.when(F.col("agreeing") > 0, F.round(F.col("agreed_confidence") / F.col("agreeing") * share, 6)).otherwise(0.0)
-    return told.withColumn("stability", stability).withColumn("confidence", confidence).withColumn("agreement", F.round(share, 6)).drop("distinct_values", "agreed_confidence")
+    confidence = F.when(F.col("agreeing") > 0, F.bround(F.col("agreed_confidence") / F.col("agreeing") * share, 6)).otherwise(0.0)
+    return told.withColumn("stability", stability).withColumn("confidence", confidence).withColumn("agreement", F.bround(share, 6)).drop("distinct_values", "agreed_confidence")
 
 
 def calibration(rows: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ told AS (SELECT user_id, event_type, any_value(answer) AS answer, count(value) A
   (sum(confidence::DECIMAL(18, 6)) FILTER (near))::DOUBLE AS sure, arg_min(event_id, (off, pass)) AS evidence, string_agg(value::DECIMAL(18, 2)::VARCHAR, ',' ORDER BY pass) AS pass_values FROM near GROUP BY user_id, event_type),
 consensus AS (SELECT user_id, event_type, round(answer, 6) AS answer, numeric_passes, agreeing, evidence, pass_values,
   CASE WHEN numeric_passes = 0 THEN 'missing' WHEN numeric_passes = 3 AND kinds = 1 THEN 'exact' WHEN agreeing >= 2 THEN 'stable' ELSE 'disagreement' END AS stability,
-  CASE WHEN agreeing > 0 THEN round(sure / agreeing * (agreeing / 3.0::DOUBLE), 6) ELSE 0.0 END AS confidence, round(agreeing / 3.0::DOUBLE, 6) AS agreement FROM told)"""
+  CASE WHEN agreeing > 0 THEN round_even(sure / agreeing * (agreeing / 3.0::DOUBLE), 6) ELSE 0.0 END AS confidence, round_even(agreeing / 3.0::DOUBLE, 6) AS agreement FROM told)"""
 
 
 def _consensus(spark: SparkSession, folder: str) -> DataFrame:
