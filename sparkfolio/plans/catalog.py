@@ -10,8 +10,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
 
 
+#: Tables whose rows are long and cost work of their own.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table; one of texts that comes in fewer splits than the session has cores is dealt out to all."""
+    rows, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def query(name: str, sql: str | None) -> Callable[[Query], Query]:
