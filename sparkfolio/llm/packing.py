@@ -218,7 +218,7 @@ def pack(
     total = sum(m for _, m in totals)
     main = max(totals, key=lambda x: x[1])[0] if totals else ""
     tail = {q for q, m in totals if q != main and m * window < total} if weights is None else set()
-    if sum(m for q, m in totals if q in tail) * window < total:
+    if not tail or sum(m for q, m in totals if q in tail) * window < total:
         merged_into, own = dict.fromkeys(tail, main), [q for q, _ in totals if q not in tail]
     else:
         merged_into, own = dict.fromkeys(tail, min(tail)), [q for q, _ in totals if q not in tail or q == min(tail)]
