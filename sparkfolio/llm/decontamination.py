@@ -33,7 +33,7 @@ AROUND = 96
 JOINED, LONGEST = 32, 512
 #: Words looked at together.
 PIECE = 200_000
-#: Most seeds of items that a join may broadcast.
+#: Most seeds of items, or ids of texts to verify again, that a join may broadcast.
 SMALL_SEEDS = 500_000
 
 _FOLD = bytes.maketrans(
@@ -243,10 +243,12 @@ def find_overlaps(
     near = to_check.select("d", "v", "_id", "item", "item_id", "lo", "whole", "words", "aligned", "item_text").mapInArrow(_verify(overlap, penalty), schema)
     near = shelf.keep(near)
     again = shelf.keep(near.where("cut").select("d", "v", "item").distinct())
-    out = near
-    if not again.isEmpty():
+    out, n_again = near, again.count()
+    if n_again:
+        ids = again.select("d", "v").distinct()
+        ids = F.broadcast(ids) if n_again <= SMALL_SEEDS else ids
         parts = near.join(again, ["d", "v", "item"], "left_semi").groupBy("d", "v", "_id", "item", "item_id").agg(F.collect_set(F.struct((F.col("start") - F.col("item_start")).alias("shift"), "start")).alias("parts"))
-        texts = squeezed(given.select("d", "v", "text").join(again.select("d", "v").distinct(), ["d", "v"], "left_semi").dropDuplicates(["d", "v"]))
+        texts = squeezed(given.select("d", "v", "text").join(ids, ["d", "v"], "left_semi").dropDuplicates(["d", "v"]))
         whole = parts.join(texts, ["d", "v"]).join(items.select("item", F.col("text").alias("item_text")), "item")
         whole = whole.select("d", "v", "_id", "item", "item_id", "text", "parts", "item_text").mapInArrow(_verify_whole(overlap, penalty), schema)
         out = near.join(again, ["d", "v", "item"], "left_anti").unionByName(whole)
