@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -65,6 +66,19 @@ class Shelf:
                 return
 
 
+def give_back() -> None:
+    """Returns a worker's unused memory to the system: workers are kept and may idle through other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A table that comes in fewer splits than the session has cores, dealt out to all of them; others as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """``d``, ``v``: a join key that tells rows of one id but other texts apart.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_scan, quality_rules, url_filters, warc
+from .common import dealt
 from .decontamination import find_overlaps
 from .packing import pack
 from .simhash import near_duplicates
@@ -21,7 +22,7 @@ def tokenizer_path() -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op3_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    records = warc.responses(dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
     out = warc.derive(records, carry=("page_id",))
     return out.select(
         "page_id", "record_id", "type", "target_uri", "date", "refers_to", "content_type", F.col("payload").cast("string").alias("block"), "payload_digest", "block_digest"
@@ -70,7 +71,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return url_filters.filter_urls(dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")))
 
 
 QUERIES = {
