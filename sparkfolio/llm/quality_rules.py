@@ -29,6 +29,8 @@ ENDS = "[.!?…。！？]"
 PARTS = "[|•·»›]"
 SYMBOLS = "#*$%&|<>"
 
+#: Failing lines of a text among which each line is looked up; beyond that it is judged again.
+LOOKED_UP = 64
 #: Characters between words.
 _SEPARATORS = " \\t\\n\\u000B\\u000C\\r"
 _WORD_GAP = r"[ \\t\\n\\u000B\\f\\r]+"
@@ -43,10 +45,6 @@ def _trimmed(x: str) -> str:
     return f"trim(BOTH '{_SEPARATORS}' FROM {x})"
 
 
-def _without(x: str, characters: str) -> str:
-    return f"translate({x}, '{characters}', '')"
-
-
 _words = _let(_trimmed("_text"), "t", f"if(t = '', cast(array() as array<string>), split(t, '{_WORD_GAP}'))")
 
 #: Of words ``ws``, those in three-word windows that occur again: windows are
@@ -65,16 +63,32 @@ _repeated = _let(
 )
 
 
+_SHOUTS = ("!!", "??", "!?", "?!")
+#: What a text holds at all, so that its lines are not looked at for what it does not hold.
+_flags = (
+    f"struct(cast(regexp_count(_text, '[{SYMBOLS}]') as bigint) AS symbols, "
+    + " OR ".join(f"contains(_text, '{x}')" for x in _SHOUTS)
+    + f" AS shouts, _text rlike '{PARTS}' AS parts, "
+    + _let("lower(_text)", "low", " OR ".join(f"contains(low, '{x}')" for x in BOILERPLATE))
+    + " AS boiler)"
+)
+
+
 def _line_passes(max_symbols: float, max_shouts: float, max_parts: float, boiler_words: int) -> str:
+    """Whether ``line`` of a text with ``flags`` passes."""
     phrases = "|".join(BOILERPLATE)
     return _let(
-        f"struct({_trimmed('line')} AS t, size(split({_trimmed('line')}, '{_WORD_GAP}')) AS n)",
-        "l",
-        f"(l.n < 3 OR l.t rlike '{ENDS}')"
-        f" AND length(l.t) - length({_without('l.t', SYMBOLS)}) <= {max_symbols} * l.n"
-        f" AND (instr(l.t, '!!') = 0 AND instr(l.t, '??') = 0 AND instr(l.t, '!?') = 0 AND instr(l.t, '?!') = 0 OR regexp_count(l.t, '[!?]{{2,}}') <= {max_shouts} * l.n)"
-        f" AND regexp_count(l.t, '{PARTS}') <= greatest(2, {max_parts} * l.n)"
-        f" AND NOT (l.n <= {boiler_words} AND lower(l.t) rlike '{phrases}')",
+        _trimmed("line"),
+        "t",
+        _let(
+            f"size(split(t, '{_WORD_GAP}'))",
+            "n",
+            f"(n < 3 OR t rlike '{ENDS}')"
+            f" AND (flags.symbols = 0 OR regexp_count(t, '[{SYMBOLS}]') <= {max_symbols} * n)"
+            f" AND (NOT flags.shouts OR regexp_count(t, '[!?]{{2,}}') <= {max_shouts} * n)"
+            f" AND (NOT flags.parts OR regexp_count(t, '{PARTS}') <= greatest(2, {max_parts} * n))"
+            f" AND NOT (flags.boiler AND n <= {boiler_words} AND lower(t) rlike '{phrases}')",
+        ),
     )
 
 
@@ -121,16 +135,18 @@ def judge(
     # on the verdict below it, which would compute everything once per column.
     counted = (
         "struct(cast(size(ws) as bigint) AS n_words, "
-        f"cast(length({_without('_text', _SEPARATORS)}) as bigint) AS word_chars, "
-        f"cast(length(_text) - length({_without('_text', SYMBOLS)}) as bigint) AS n_symbols, "
+        "cast(length(array_join(ws, '')) as bigint) AS word_chars, "
+        "flags.symbols AS n_symbols, "
         "cast(size(lines) - size(once) as bigint) AS n_dup_lines, "
         f"{_repeated} AS n_repeat_words, "
         f"{total.format('lines')} AS line_chars, "
-        f"{total.format('filter(once, line -> ' + passes + ')')} AS passed_chars, "
-        f"array_join(filter(split(_text, '\\n'), line -> {blank} OR {passes}), '\\n') AS clean_text)"
+        f"{total.format('once')} - {total.format('bad')} AS passed_chars, "
+        "if(size(bad) = 0, _text, array_join(filter(split(_text, '\\n'), "
+        f"line -> if(size(bad) <= {LOOKED_UP}, NOT array_contains(bad, line), {blank} OR {passes})), '\\n')) AS clean_text)"
     )
     lines = f"filter(split(_text, '\\n'), line -> NOT {blank})"
-    judged = _let(_words, "ws", _let(lines, "lines", _let("array_distinct(lines)", "once", counted)))
+    bad = f"filter(once, line -> NOT ({passes}))"
+    judged = _let(_flags, "flags", _let(_words, "ws", _let(lines, "lines", _let("array_distinct(lines)", "once", _let(bad, "bad", counted)))))
     told = given.selectExpr(*names, f"if(monotonically_increasing_id() >= 0, {judged}, NULL) AS _j").select(*names, "_j.*")
     base = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
     kept = f"NOT {base} AND line_chars - passed_chars <= {max_loss} * line_chars"
