@@ -41,12 +41,26 @@ def plain_text(html: Column) -> Column:
         x = F.regexp_replace(x, rf"(?is)<{e}\b[^>]*>.*?</{e}\s*>", " ")
     x = F.regexp_replace(x, rf"(?i)</?({BLOCK_ELEMENTS})(\s[^>]*)?/?>", "\n")
     x = F.regexp_replace(x, "<[a-zA-Z/!?][^>]*>", "")
-    for k, v in REFERENCES:
-        x = F.replace(x, F.lit(k), F.lit(v))
-    x = F.regexp_replace(x, r"[ \t\r\f]+", " ")
+    x = F.regexp_replace(_resolved(x), r"[ \t\r\f]+", " ")
     return F.trim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def _resolved(text: Column) -> Column:
+    """Known character references resolved, each once: what stands between an ampersand and a semicolon is looked up."""
+    known = F.create_map(*[F.lit(x) for k, v in REFERENCES for x in (k[1:], v)])
+
+    def part(p: Column) -> Column:
+        end = F.instr(p, ";")
+        return F.coalesce(F.concat(F.try_element_at(known, F.substr(p, F.lit(1), end)), F.substr(p, end + 1)), F.concat(F.lit("&"), p))
+
+    def joined(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), part)
+        return F.concat(parts[0], F.array_join(rest, ""))
+
+    once = F.transform(F.array(F.split(text, "&")), joined)[0]  # the text is spelled once
+    return once
+
+
 def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
