@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, give_back
 from .token_counts import encoded, ids_bytes
 
 #: Most bases (partitions times queues) that a join may broadcast.
@@ -55,6 +55,7 @@ def _tokens(path: str, names: list[str], end: int):
                 ids.append(x)
             cols = [*[batch.column(c) for c in [*names, "queue"]], pa.array([part] * len(ids), pa.int32()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "queue", "part", "place", "n", "ids"])
+        give_back()
 
     return run
 

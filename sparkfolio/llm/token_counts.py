@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Characters, about, of the texts looked at together and of one call of the library.
 GROUP, CALL = 1 << 23, 1 << 17
 #: Pieces that a worker remembers, and their longest length in bytes.
@@ -238,6 +240,7 @@ def count_tokens(
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             cols = [*[batch.column(n) for n in names], sizes, pa.array(counted(path, texts))]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "n_tokens"])
+        give_back()
 
     out = given.mapInArrow(run, f"{kinds}, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnsRenamed(dict(zip(names, [id_col, *carry])))
