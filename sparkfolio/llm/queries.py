@@ -1,11 +1,11 @@
-"""Queries op1 to op10 over the synthetic tables, and their SQL where it can express them."""
+"""Queries op1 to op13 over the synthetic tables, and their SQL where it can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, url_filters, warc
+from . import byte_bpe, license_scan, quality_rules, url_filters, warc
 from .common import dealt
 from .decontamination import find_overlaps
 from .packing import pack
@@ -74,6 +74,15 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(_documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
+    out = byte_bpe.decode(ids, path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +96,7 @@ QUERIES = {
         op8_simhash,
         op9_license_scan,
         op10_url_filters,
+        op12_byte_bpe,
     )
 }
 #: The others are tested against brute force, as SQL has no tokenizer, XXH64 or
