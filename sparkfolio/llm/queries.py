@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, quality_rules, url_filters, warc
-from .common import dealt
+from . import byte_bpe, collocations, license_scan, prefix_trie, quality_rules, url_filters, warc
+from .common import Shelf, dealt
 from .decontamination import find_overlaps
 from .packing import pack
 from .simhash import near_duplicates
@@ -74,6 +74,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(dealt(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = Shelf(spark).keep(prefix_trie.sequences(turns))
+    heads = own.select(F.col("conv_id").alias("_base"), F.slice("steps", 1, 8).alias("_head"))
+    h = F.crc32(F.col("conv_id").cast("string")) % 9
+    head = F.slice(F.coalesce("_head", F.slice("steps", 1, 0)), F.lit(1), h.cast("int"))
+    steps = F.concat(head, F.slice("steps", h.cast("int") + 1, F.size("steps")))
+    regrown = own.join(heads, F.col("conv_id") - F.col("conv_id") % 5 == F.col("_base"), "left").select("conv_id", steps.alias("steps"))
+    return prefix_trie.prefix_trie(regrown)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -83,6 +94,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir, "lang", "text"), top=2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,7 +111,9 @@ QUERIES = {
         op8_simhash,
         op9_license_scan,
         op10_url_filters,
+        op11_prefix_trie,
         op12_byte_bpe,
+        op13_collocations,
     )
 }
 #: The others are tested against brute force, as SQL has no tokenizer, XXH64 or
@@ -106,4 +123,6 @@ ORACLE_SQL = {
     "op4_warc_derivatives": warc.SQL,
     "op9_license_scan": license_scan.SQL,
     "op10_url_filters": url_filters.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op13_collocations": collocations.SQL,
 }
