@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .snapshots import Folder
+
 RUN_SCHEMA = (
     "run_id string, workspace_id string, strategy string, experiment string, company string, fiscal_year string, currency string, "
     "source_pdf_sha256 string, pdf_file string, value_quantum double, extract_seconds double, total_seconds double, "
@@ -19,11 +23,16 @@ EVENT_SCHEMA = "event string, data variant, at timestamp, _corrupt_record string
 PDF_MAGIC, PDF_MAX_BYTES = b"%PDF-", 100 * 1024 * 1024
 
 
+def _below(folder: str, names: str, depth: int = 8) -> str:
+    """Files of these names in up to ``depth`` folders below one: a glob, as listing a
+    folder would pass over names that start with "_", such as _pending."""
+    return f"{folder}/{{{','.join('/'.join('*' * k) for k in range(1, depth + 1))}}}/{names}"
+
+
 def read_runs(spark: SparkSession, folder: str, schema: str = RUN_SCHEMA) -> DataFrame:
-    """Every readable run record up to three folders below ``folder``, one a directory,
+    """Every readable run record below ``folder``, one a directory,
     prediction before request; malformed records are skipped, never fatal."""
-    # a glob, as listing a folder would pass over names that start with "_", such as _pending
-    paths = f"{folder}/{{*,*/*,*/*/*}}/{{prediction,request}}.json"
+    paths = _below(folder, "{prediction,request}.json")
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
     placed = raw.withColumn("path", F.col("_metadata.file_path")).withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     rank = F.row_number().over(W.partitionBy("directory").orderBy("path"))  # "prediction" sorts first
@@ -37,11 +46,33 @@ def explode_runs(runs: DataFrame) -> DataFrame:
     )
 
 
-def write_runs(runs: DataFrame, folder: str) -> None:
-    """Run records filed by company, fiscal year and run, each replacing its own folder only."""
-    filed = runs.withColumn("company_dir", F.coalesce("company", F.lit("Unknown_Company"))).withColumn("fy", F.concat(F.lit("FY"), F.coalesce("fiscal_year", F.lit("-unknown"))))
-    filed = filed.withColumn("run_dir", F.coalesce("run_id", F.lit("unnamed")))
-    filed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("company_dir", "fy", "run_dir").json(folder)
+def _folder_name(name: Column) -> Column:
+    """A name of letters, digits and marks of any script, without what stores or globs give a meaning."""
+    return F.regexp_replace(F.regexp_replace(name, r"[\x00-\x20/\\:*?\"<>|{}\[\]=%#^,]+", "_"), "^[._]+", "")
+
+
+def write_runs(runs: DataFrame, folder: str) -> int:
+    """Files runs as ``company/FYyear/run_id/prediction.json`` and returns how many.
+
+    Records are written beside and each is then moved over its run's own in one step: a
+    reader sees the old or the new one. Of rows of one run the greatest record stands; a run
+    without id gets one, and a folder, of its own. The driver makes one call of the store a run.
+    """
+    year = F.nullif(F.regexp_extract(F.coalesce(F.col("fiscal_year").cast("string"), F.lit("")), "((?:19|20)[0-9]{2})", 1), F.lit(""))
+    run = F.coalesce(F.nullif(F.trim("run_id"), F.lit("")), F.concat(F.lit("unnamed_"), F.replace(F.uuid(), F.lit("-"))))
+    company = F.coalesce(F.nullif(F.trim("company"), F.lit("")), F.lit("Unknown_Company"))
+    placed = runs.withColumn("run_id", run).withColumn("_c", _folder_name(company)).withColumn("_y", F.concat(F.lit("FY"), F.coalesce(year, F.lit("-unknown"))))
+    records = placed.groupBy("_c", "_y", _folder_name(F.col("run_id")).alias("_r")).agg(F.max(F.to_json(F.struct(*runs.columns))).alias("value"))
+    store, staged = Folder(runs.sparkSession, folder), f"{folder}/_staged/{uuid.uuid4().hex}"
+    records.write.partitionBy("_c", "_y", "_r").text(staged)
+    moved = 0
+    for name in store.files(staged):
+        *_, c, y, r, file = unquote(name).split("/")
+        if file.startswith("part-"):
+            store.replace(name, f"{folder}/{c.removeprefix('_c=')}/{y.removeprefix('_y=')}/{r.removeprefix('_r=')}/prediction.json")
+            moved += 1
+    store.delete(staged)
+    return moved
 
 
 def find_run(runs: DataFrame, run_id: str) -> DataFrame:
@@ -52,7 +83,7 @@ def find_run(runs: DataFrame, run_id: str) -> DataFrame:
 
 def read_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """(directory, kind, repair, content) of every request and raw response kept beside the runs; repairs count from 1."""
-    raw = spark.read.option("wholetext", True).text(f"{folder}/{{*,*/*,*/*/*}}/{{request,raw_response}}*.json")
+    raw = spark.read.option("wholetext", True).text(_below(folder, "{request,raw_response}*.json"))
     path = F.col("_metadata.file_path")
     name = F.regexp_extract(path, "([^/]*)[.]json$", 1)
     repair = F.coalesce(F.nullif(F.regexp_extract(name, "_repair_([0-9]+)$", 1), F.lit("")).try_cast("int"), F.lit(0))
@@ -83,32 +114,64 @@ def read_manifest(spark: SparkSession, path: str, document: T.StructType) -> Dat
 
 
 def write_manifest(documents: DataFrame, path: str, version: int = 1) -> None:
-    """One snapshot file {version, documents}, written beside ``path`` and renamed over it,
-    so that readers see the old or the new one. One writer at a time is the caller's to see to."""
-    spark = documents.sparkSession
-    docs = F.array_sort(F.collect_list(F.struct(F.lower("company").alias("_o"), F.struct(*documents.columns).alias("d"))))
-    whole = documents.agg(F.lit(version).alias("version"), F.transform(docs, lambda x: x["d"]).alias("documents"))
-    staged = f"{path}.staged"
-    whole.coalesce(1).write.mode("overwrite").json(staged)  # a manifest is one file, as large as its registry
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    to, at = hadoop.Path(path), hadoop.Path(staged)
-    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("part-"))
-    if not fs.rename(part, to):
-        fs.delete(to, False)  # the store does not rename over a file
-        fs.rename(part, to)
-    fs.delete(at, True)
+    """One file {version, documents}, ordered by company, moved over ``path`` in one step, so
+    that readers see the old or the new one. The last of several writers wins; ``snapshots.commit`` loses no change.
+    Documents stream through the one task that writes the file."""
+    order = F.lower("company").alias("_o")
+    rows = documents.select(order, F.to_json(F.struct(*documents.columns)).alias("value"))
+    rows = rows.repartitionByRange("_o", "value").sortWithinPartitions("_o", "value").select("value")
+    rows = rows.union(documents.sparkSession.createDataFrame([(None,)], "value string")).coalesce(1)  # so that there is a partition
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = f'{{"version": {version}, "documents": ['
+        for batch in batches:
+            for value in batch.column(0).drop_null().to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([head + value])], names=["value"])
+                head = ","
+        yield pa.RecordBatch.from_arrays([pa.array([(head if head != "," else "") + "]}"])], names=["value"])
+
+    store, staged = Folder(documents.sparkSession, path.rsplit("/", 1)[0]), f"{path}.{uuid.uuid4().hex}"
+    rows.mapInArrow(framed, "value string").write.text(staged)
+    store.replace(next(n for n in store.files(staged) if n.rsplit("/", 1)[-1].startswith("part-")), path)
+    store.delete(staged)
 
 
 def read_events(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
-    """Events of a JSONL log from an offset clamped to [0, n]; malformed lines are skipped and hold no offset."""
-    raw = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
-    read = raw.withColumn("v", F.try_parse_json("value")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    placed = read.withColumn("offset", F.row_number().over(W.orderBy("_at")) - 1)  # one log is one job's
-    placed = placed.withColumn("next_offset", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
-    return placed.where(F.col("offset") >= max(0, after)).select(
-        "offset", "next_offset", F.try_variant_get("v", "$.event", "string").alias("event"), F.try_variant_get("v", "$.data", "variant").alias("data"), F.try_variant_get("v", "$.at", "timestamp").alias("at")
-    )
+    """``events_from`` with the next offset beside each event."""
+    events, n = events_from(spark, path, after)
+    return events.select("offset", F.lit(n).cast("bigint").alias("next_offset"), "event", "data", "at")
+
+
+def events_from(spark: SparkSession, path: str, after: int = 0) -> tuple[DataFrame, int]:
+    """Events of a JSONL log from an offset clamped to [0, n], and n, the next offset.
+
+    Malformed lines are skipped and hold no offset. Files count in the order of their last
+    change, then path. Lines are numbered within their split of a file; the number of lines of each split is all that
+    reaches the driver.
+    """
+    meta = {"_t": "file_modification_time", "_f": "file_path", "_b": "file_block_start"}
+    raw = spark.read.text(path).select("value", *[F.col(f"_metadata.{v}").alias(k) for k, v in meta.items()])
+    read = raw.where(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"))
+    counts = sorted(tuple(r) for r in read.groupBy(*meta).count().collect())  # a row a split
+    n = sum(r[-1] for r in counts)
+    first, total = {}, 0
+    for *split, k in counts:
+        first[tuple(split[1:])] = total
+        total += k
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            at = []
+            for key in zip(batch.column("_f").to_pylist(), batch.column("_b").to_pylist()):
+                at.append(first[key] + seen.setdefault(key, 0))
+                seen[key] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column("value")], names=["offset", "value"])
+
+    placed = read.select("_f", "_b", "value").mapInArrow(number, "offset bigint, value string").withColumn("v", F.try_parse_json("value"))
+    return placed.where(F.col("offset") >= max(0, min(after, n))).select(
+        "offset", F.try_variant_get("v", "$.event", "string").alias("event"), F.try_variant_get("v", "$.data", "variant").alias("data"), F.try_variant_get("v", "$.at", "timestamp").alias("at")
+    ), n
 
 
 def append_events(events: DataFrame, path: str) -> None:

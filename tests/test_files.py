@@ -1,6 +1,7 @@
 """Readers and writers on small files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,13 +31,23 @@ def test_runs(spark, tmp_path):
     assert sorted(r.run_id for r in runs.collect()) == ["S1_x", "S2_y"]
     assert [tuple(r) for r in files.explode_runs(runs).collect()] == [("S1_x", 0, "Land", 3.5, 0.9, None)]
     assert files.find_run(runs, "S2_y").count() == 1
-    files.write_runs(runs.drop("path", "directory"), str(tmp_path / "out"))
-    files.write_runs(runs.drop("path", "directory").where("run_id = 'S1_x'"), str(tmp_path / "out"))
-    files.write_runs(spark.createDataFrame([("S1_z", "Acme", "2022")], "run_id string, company string, fiscal_year string"), str(tmp_path / "both"))
-    files.write_runs(spark.createDataFrame([("S1_w", "Acme", "2022")], "run_id string, company string, fiscal_year string"), str(tmp_path / "both"))
-    assert {r.run_id for r in spark.read.json(str(tmp_path / "both")).collect()} == {"S1_z", "S1_w"}
-    back = spark.read.json(str(tmp_path / "out"))
-    assert {(r.run_id, r.company_dir, r.fy) for r in back.collect()} == {("S1_x", "Acme", "FY2022"), ("S2_y", "Unknown_Company", "FY-unknown")}
+
+
+def test_runs_come_back(spark, tmp_path):
+    kind = "run_id string, company string, fiscal_year string, strategy string"
+    rows = [("S1_z", "Acme / Co", "FY2022", "s1"), ("S2 é=1", "日本商事", "2021", "s2"), (None, "Acme", "2022", "s3"), (" ", "Acme", "2022", "s4"), ("S5", None, None, "s5")]
+    assert files.write_runs(spark.createDataFrame(rows, kind), str(tmp_path / "runs")) == 5
+    assert files.write_runs(spark.createDataFrame([("S1_z", "Acme / Co", "FY2022", "again"), ("S1_w", "Acme", "2022", "s6")], kind), str(tmp_path / "runs")) == 2
+    runs = files.read_runs(spark, str(tmp_path / "runs"))
+    assert sorted(r.strategy for r in runs.collect()) == ["again", "s2", "s3", "s4", "s5", "s6"]
+    for run_id, strategy in (("S1_z", "again"), ("S2 é=1", "s2"), ("S5", "s5")):
+        assert files.find_run(runs, run_id).first().strategy == strategy
+    assert runs.where("run_id like 'unnamed_%'").select("run_id").distinct().count() == 2
+    assert {p.parent.parent.name for p in tmp_path.glob("runs/*/*/*/prediction.json")} == {"FY2021", "FY2022", "FY-unknown"}
+    assert (tmp_path / "runs/日本商事/FY2021/S2_é_1/prediction.json").exists()
+    deep = tmp_path / "deep/a/b/c/d/e/prediction.json"
+    put(deep, {"run_id": "far"})
+    assert files.read_runs(spark, str(tmp_path / "deep")).first().run_id == "far"
 
 
 def test_manifest(spark, tmp_path):
@@ -54,7 +65,9 @@ def test_manifest_snapshot(spark, tmp_path):
         files.write_manifest(docs, str(tmp_path / "m.json"))
     back = files.read_manifest(spark, str(tmp_path / "m.json"), documents.schema)
     assert [r.sha for r in back.where("company IS NOT NULL").collect()] == ["a", "b"] and back.count() == 3
-    assert not (tmp_path / "m.json.staged").exists()
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["m.json"]
+    files.write_manifest(documents.limit(0), str(tmp_path / "m.json"))
+    assert json.loads((tmp_path / "m.json").read_text()) == {"version": 1, "documents": []}
 
 
 def test_discover_keeps_filings_that_name_the_company(spark):
@@ -112,6 +125,25 @@ def test_events(spark, tmp_path):
     assert files.read_events(spark, str(tmp_path / "e.jsonl"), -5).count() == 2
 
 
+def test_offsets_across_splits_and_files(spark, tmp_path):
+    n = 400
+    for k in range(3):
+        put(tmp_path / f"log/{k}.jsonl", "\n".join("{bad" if i % 7 == 0 else json.dumps({"event": f"e{k}_{i}"}) for i in range(n)))
+        os.utime(tmp_path / f"log/{k}.jsonl", (1000 - k, 1000 - k))  # the last file is the oldest
+    want = [f"e{k}_{i}" for k in (2, 1, 0) for i in range(n) if i % 7]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for after in (0, 5, len(want) - 1):
+            events, total = files.events_from(spark, str(tmp_path / "log"), after)
+            assert total == len(want) and [r.event for r in sorted(events.collect(), key=lambda r: r.offset)] == want[after:]
+            assert "Window" not in events._jdf.queryExecution().toString()
+        events, total = files.events_from(spark, str(tmp_path / "log"), 10**6)
+        assert total == len(want) and events.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_seeds_gold_csv(spark, tmp_path):
     put(tmp_path / "s.csv", "company_name,official_website,country\nAcme,https://a.example,us\n,https://b.example,\nBeta,,\n")
     assert [tuple(r) for r in files.read_seeds(spark, str(tmp_path / "s.csv")).collect()] == [("Acme", "https://a.example", "US"), ("Beta", None, "JP")]
