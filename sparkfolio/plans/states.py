@@ -123,3 +123,13 @@ def stream_first_seen_ttl(spark: SparkSession, folder: str) -> DataFrame:
 def stream_offset_replay(spark: SparkSession, folder: str) -> DataFrame:
     landed = S.run_available(_stream(spark, folder).select("user_id", "event_id"))
     return S.replay(landed, ["user_id"], ["event_id"], F.col("user_id") % 90 - 3).select("user_id", "event_id", "offset", "next_offset")
+
+
+@query("stream_visit_store", f"""{_FIRST_SEEN.rsplit("SELECT user_id, event_id FROM fold", 1)[0]}, told AS (SELECT f.user_id, f.event_id, f.last AS us, row_number() OVER (PARTITION BY f.user_id ORDER BY f.last DESC, f.event_id DESC) AS back FROM fold f WHERE recorded),
+days AS (SELECT user_id, us // 86400000000 AS day, count(*) AS n FROM told GROUP BY 1, 2), by_day AS (SELECT user_id, string_agg(day || ':' || n, ' ' ORDER BY day) AS daily FROM days GROUP BY 1)
+SELECT t.user_id, count(*) AS total, string_agg(t.event_id::VARCHAR, ' ' ORDER BY t.back) FILTER (t.back <= 20) AS newest, any_value(d.daily) AS daily FROM told t JOIN by_day d ON d.user_id = t.user_id GROUP BY t.user_id""")
+def stream_visit_store(spark: SparkSession, folder: str) -> DataFrame:
+    session = S.with_rocksdb(spark)
+    told = S.run_available(S.stream_visit_store(_stream(session, folder), "user_id", "ts", "event_id", keep=20))
+    daily = F.array_join(F.zip_with("days", "counts", lambda d, n: F.concat_ws(":", d, n)), " ")
+    return S.visit_store_now(told, "user_id").select("user_id", "total", F.array_join("newest", " ").alias("newest"), daily.alias("daily"))

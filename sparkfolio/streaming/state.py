@@ -1,7 +1,7 @@
 """Ordered state machines, in batch and as streams.
 
 Batch folds stream over sorted partitions: a key's rows are never collected, so
-a key of any size costs constant memory.
+a key of any size costs constant memory. Streams hold a key's rows of one batch.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Visit rules and limiter rules.
@@ -140,9 +142,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, timeout: int = 600) -> DataFrame:
-    """Runs an append stream over what is there now and returns its rows."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+def run_available(stream: DataFrame, timeout: int = 600, folder: str | None = None) -> DataFrame:
+    """Runs an append stream over what is there now and returns its rows; with a ``folder`` of an
+    earlier run it goes on where that one ended and returns the rows of both."""
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
     if not query.awaitTermination(timeout):
         query.stop()
@@ -183,3 +186,88 @@ def stream_first_seen(visits: DataFrame, key: str, at: str, order: str, ttl: int
         yield frame[keep]
 
     return picked.groupBy(key).applyInPandasWithState(fold, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class VisitStore(StatefulProcessor):
+    """A key's last recorded visit (set if absent, with an expiry), its newest recorded
+    visits (pushed and trimmed) and its counters by day, all kept in the state store.
+
+    Rows in: ``us``, ``id``. A row out for each batch that records visits. Of a batch, a key's times and ids are held, 16 bytes a row.
+    """
+
+    def __init__(self, ttl: int, keep: int):
+        self.ttl, self.keep = ttl, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "us bigint")
+        self.total = handle.getValueState("total", "n bigint")
+        self.newest = handle.getListState("newest", "us bigint, id bigint")
+        self.daily = handle.getMapState("daily", "day bigint", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        visits = np.concatenate([f[["us", "id"]].to_numpy("int64") for f in rows])
+        visits = visits[np.lexsort((visits[:, 1], visits[:, 0]))]
+        last = self.seen.get()[0] if self.seen.exists() else None
+        recorded, at = [], 0
+        while at < len(visits):
+            if last is not None:  # the first visit that is far enough from the last recorded one
+                at += int(np.searchsorted(visits[at:, 0], last + self.ttl * 1_000_000))
+                if at >= len(visits):
+                    break
+            last = int(visits[at, 0])
+            recorded.append((last, int(visits[at, 1])))
+            at += 1
+        if not recorded:
+            return
+        self.seen.update((last,))
+        for timer in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last // 1000 + self.ttl * 1000)
+        newest = sorted([*map(tuple, self.newest.get()), *recorded], reverse=True)[: self.keep]
+        self.newest.put(newest)
+        for us, _ in recorded:
+            day = (us // 86_400_000_000,)
+            self.daily.updateValue(day, ((self.daily.getValue(day)[0] if self.daily.containsKey(day) else 0) + 1,))
+        total = (self.total.get()[0] if self.total.exists() else 0) + len(recorded)
+        self.total.update((total,))
+        days = sorted((d[0], n[0]) for d, n in self.daily.iterator())
+        told = {"total": [total], "recorded": [[i for _, i in recorded]], "newest": [[i for _, i in newest]], "days": [[d for d, _ in days]], "counts": [[n for _, n in days]]}
+        yield pd.DataFrame({"key": [key[0]], **told})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        return
+
+
+def stream_visit_store(visits: DataFrame, key: str, at: str, order: str, ttl: int = TTL_SECONDS, keep: int = RETAINED, late: str = "1 day") -> DataFrame:
+    """Recorded visits of a stream (``first_seen_ttl``), with each key's newest ``keep`` and its counts by UTC day.
+
+    Rows: the key, total (recorded so far), recorded (``order`` values of this batch), newest (of all so far),
+    days (since 1970) and counts. A key's row of the greatest total is its present state: ``visit_store_now``. ``order`` must be
+    integral; rows with a null time or order are left out. Batches are taken to follow each other in time: a visit before the last recorded one counts
+    as seen. A key's last visit is forgotten once the watermark, ``late`` behind, is ``ttl`` past it. State lies in RocksDB,
+    which the session must name as its provider; ``with_rocksdb`` does.
+    """
+    picked = visits.where(F.col(at).isNotNull() & F.col(order).isNotNull()).withWatermark(at, late)
+    picked = picked.select(F.col(key).alias("key"), F.col(at).alias("at"), micros(at).alias("us"), F.col(order).cast("bigint").alias("id"))
+    schema = f"key {picked.schema['key'].dataType.simpleString()}, total bigint, recorded array<bigint>, newest array<bigint>, days array<bigint>, counts array<bigint>"
+    told = picked.groupBy("key").transformWithStateInPandas(VisitStore(ttl, keep), schema, "append", "EventTime")
+    return told.withColumnRenamed("key", key)
+
+
+def visit_store_now(told: DataFrame, key: str) -> DataFrame:
+    """The present state of each key of ``stream_visit_store``."""
+    return told.groupBy(key).agg(F.max_by(F.struct("total", "newest", "days", "counts"), "total").alias("s")).select(key, "s.*")
+
+
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """A session of its own settings, beside this one, whose streams keep state in RocksDB."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
