@@ -25,7 +25,7 @@ from .common import Shelf
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _HIGH, _LOW, _32, _29 = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(29)
 
-RUN_SCHEMA = "d bigint, v int, p int, q int, m int, a bigint, s bigint"
+RUN_SCHEMA = "d bigint, v bigint, p int, q int, m int, a bigint, s bigint"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def open_runs(told: DataFrame) -> DataFrame:
     loose = told.where(~F.col("whole"))
     leads = told.where("whole and lead").join(loose.select("a").distinct(), "a", "left_semi")
     both = loose.select("d", "v", "p", "q", "m", "a", "whole").unionByName(leads.select("d", "v", "p", "q", "m", "a", "whole"))
-    return both.groupBy("d", "v").agg(F.collect_list(F.struct("p", "q", "m", "a", "whole")).alias("runs"))
+    return both.groupBy("d", "v").agg(F.collect_set(F.struct("p", "q", "m", "a", "whole")).alias("runs"))
 
 
 def merged(spans: list[dict] | None, length: int) -> np.ndarray:

@@ -80,15 +80,13 @@ def dealt(table: DataFrame) -> DataFrame:
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
-    """``d``, ``v``: a join key that tells rows of one id but other texts apart.
+    """``d``, ``v``: a join key of 128 bits that tells rows apart by id (of any type, null too) and text.
 
     Rows with both the same id and the same text share a key; operators treat
-    them alike. A null id is a key of its own.
+    them alike.
     """
-    return [
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("d"),
-        (F.xxhash64(F.col(id_col).isNull(), F.coalesce(F.col(text_col), F.lit(""))) % F.lit(1 << 31)).cast("int").alias("v"),
-    ]
+    who, text = [F.col(id_col).isNull(), F.col(id_col)], F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(F.lit(1), *who, text).alias("d"), F.xxhash64(F.lit(2), text, *who).alias("v")]
 
 
 def _struct(df_cols: Iterable[tuple[str, T.DataType]]) -> T.StructType:

@@ -97,7 +97,7 @@ def _places(bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.struct([("place", pa.int32()), ("seed", pa.int64())]))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.struct([("place", pa.int32()), ("seed", pa.int64())]))]
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
@@ -135,7 +135,7 @@ def _grown(same: np.ndarray, places: list[int], penalty: int) -> list[tuple[int,
     return out
 
 
-_OVERLAP = [("d", pa.int64()), ("v", pa.int32()), ("_id", pa.int64()), ("item", pa.int64()), ("item_id", pa.int64()), *[(c, pa.int32()) for c in ("start", "end", "item_start", "n_matched")], ("item_words", pa.int64()), ("cut", pa.bool_())]
+_OVERLAP = [("d", pa.int64()), ("v", pa.int64()), ("_id", pa.int64()), ("item", pa.int64()), ("item_id", pa.int64()), *[(c, pa.int32()) for c in ("start", "end", "item_start", "n_matched")], ("item_words", pa.int64()), ("cut", pa.bool_())]
 
 
 def _told(rows: list[tuple]) -> pa.RecordBatch:
@@ -231,7 +231,7 @@ def find_overlaps(
         bitmap[(r["k"] - 1) * 4096 :][:4096] = np.frombuffer(r["bytes"], np.uint8)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     given = docs.select(*row_key(id_col, text_col), F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text"))
-    schema = "d bigint, v int, _id bigint, lo int, whole int, words string, hits array<struct<place:int,seed:bigint>>"
+    schema = "d bigint, v bigint, _id bigint, lo int, whole int, words string, hits array<struct<place:int,seed:bigint>>"
     found = shelf.keep(given.mapInArrow(_places(shared), schema))
     small = F.broadcast if keyed.count() <= SMALL_SEEDS else lambda df: df
     hits = found.select("d", "v", "lo", F.explode("hits").alias("h")).select("d", "v", "lo", "h.place", "h.seed")
@@ -239,7 +239,7 @@ def find_overlaps(
     pairs = pairs.select("d", "v", "lo", "item", "place", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     aligned = pairs.groupBy("d", "v", "lo", "item").agg(F.sort_array(F.collect_list(F.struct("shift", "place"))).alias("aligned"))
     to_check = aligned.join(found.select("d", "v", "lo", "_id", "whole", "words").distinct(), ["d", "v", "lo"]).join(items.withColumnRenamed("text", "item_text"), "item")
-    schema = "d bigint, v int, _id bigint, item bigint, item_id bigint, start int, end int, item_start int, n_matched int, item_words bigint, cut boolean"
+    schema = "d bigint, v bigint, _id bigint, item bigint, item_id bigint, start int, end int, item_start int, n_matched int, item_words bigint, cut boolean"
     near = to_check.select("d", "v", "_id", "item", "item_id", "lo", "whole", "words", "aligned", "item_text").mapInArrow(_verify(overlap, penalty), schema)
     near = shelf.keep(near)
     again = shelf.keep(near.where("cut").select("d", "v", "item").distinct())

@@ -85,7 +85,7 @@ def _runs(length: int):
                     for col, x in zip(out, (np.full(n, batch.column(0)[i].as_py()), np.full(n, batch.column(1)[i].as_py()), first + k, last - first, at + k, grams[at].view(np.int64), names.view(np.int64))):
                         col.append(x)
             if out[0]:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 cols = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=["d", "v", "p", "q", "m", "a", "s"])
 
@@ -103,7 +103,7 @@ def _windows(length: int):
                         w = xxhash.xxh3_64_intdigest(joined[starts[p] : ends[p + length - 1]])
                         rows.append((r["d"], r["v"], p, u["a"], w - (1 << 64) if w >> 63 else w, u["whole"]))
             cols = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["d", "v", "p", "a", "w", "whole"])
 
     return run
@@ -189,7 +189,7 @@ def dedup_substrings(
     short = docs.select(*row_key(id_col, text_col), text)
     told = settle_runs(short.mapInArrow(_runs(length), RUN_SCHEMA), shelf)
     to_look = squeezed(short).join(open_runs(told), ["d", "v"])
-    schema = "d bigint, v int, p int, a bigint, w bigint, whole boolean"
+    schema = "d bigint, v bigint, p int, a bigint, w bigint, whole boolean"
     windows = shelf.keep(to_look.mapInArrow(_windows(length), schema))
     twice = shelf.keep(windows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "w"))
     single = windows.where(~F.col("whole")).join(twice, ["a", "w"]).select("d", "v", "p", F.lit(0).alias("q"), F.col("w").alias("s"))

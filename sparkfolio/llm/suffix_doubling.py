@@ -53,7 +53,7 @@ def _runs(length: int, power: int):
                     for col, x in zip(out, (np.full(n, d), np.full(n, v), first + k, last - first, at + k, grams[at].view(np.int64), np.array(names, np.uint64).view(np.int64))):
                         col.append(x)
             if out[0]:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 cols = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=["d", "v", "p", "q", "m", "a", "s"])
 
@@ -68,7 +68,7 @@ def _contexts(length: int):
                 data = unsqueeze(r["text"])
                 rows += [(r["d"], r["v"], u["p"], u["q"], u["m"], u["a"], data[u["p"] : u["p"] + u["q"] + length]) for u in r["runs"]]
             cols = list(zip(*rows)) or [[]] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["d", "v", "p", "q", "m", "a", "ctx"])
 
     return run
@@ -94,7 +94,7 @@ def _ranks(length: int, size: int, wider: int):
                     span = ctx[x - p : y - p + length]
                     rows.append((r["d"], r["v"], p, i, x, y - x, r["a"], _signed(xxhash.xxh3_64_intdigest(core)), _signed(xxhash.xxh3_64_intdigest(span))))
             cols = list(zip(*rows)) or [[]] * 9
-            kinds = (pa.int64(), pa.int32(), *[pa.int32()] * 4, *[pa.int64()] * 3)
+            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["d", "v", "p", "i", "x", "q", "a", "core", "span"])
 
     return run
@@ -148,12 +148,12 @@ def dedup_bytes(
     text = F.col(text_col).alias("text")
     short = docs.select(*row_key(id_col, text_col), text)
     told = settle_runs(short.mapInArrow(_runs(length, power), RUN_SCHEMA), shelf)
-    schema = "d bigint, v int, p int, q int, m int, a bigint, ctx binary"
+    schema = "d bigint, v bigint, p int, q int, m int, a bigint, ctx binary"
     contexts = shelf.keep(squeezed(short).join(open_runs(told), ["d", "v"]).mapInArrow(_contexts(length), schema))
     spans = told.where("whole").select("d", "v", "p", "q")
     alive, wider, used = contexts, 0, []
     for size in sizes:
-        ranked = shelf.keep(alive.mapInArrow(_ranks(length, size, wider), "d bigint, v int, p int, i int, x int, q int, a bigint, core bigint, span bigint"))
+        ranked = shelf.keep(alive.mapInArrow(_ranks(length, size, wider), "d bigint, v bigint, p int, i int, x int, q int, a bigint, core bigint, span bigint"))
         cores = ranked.groupBy("a", "i", "core").agg((F.min("span") != F.max("span")).alias("mixed"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
         cores = shelf.keep(cores)
         names = ranked.groupBy("a", "i", "core", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "v", "p")).alias("first"))
@@ -167,7 +167,7 @@ def dedup_bytes(
         wider = size
     spans = shelf.keep(spans)
     shelf.drop(told, contexts, *used)
-    by_doc = spans.groupBy("d", "v").agg(F.collect_list(F.struct("p", "q")).alias("spans"))
+    by_doc = spans.groupBy("d", "v").agg(F.collect_set(F.struct("p", "q")).alias("spans"))
     names = ["_id", *[f"_c{i}" for i in range(len(carry))]]
     given = docs.select(*row_key(id_col, text_col), text, F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     kinds = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
