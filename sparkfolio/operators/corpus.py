@@ -14,6 +14,7 @@ REPORT_WORDS = r"(?i)annual[-_\s]?report|form[-_\s]?10[-_\s]?k|10-k|有価証券
 NON_ANNUAL = r"(?i)quarter(?:ly)?|interim|半期報告書|四半期|決算短信|決算説明"
 PENALISED = r"(?i)proxy|sustainability|esg|quarter|presentation"
 FILING_HOSTS = ("disclosure.edinet-fsa.go.jp", "disclosure2.edinet-fsa.go.jp", "disclosure2dl.edinet-fsa.go.jp")
+STAGES = ("map", "page", "search", "deep_search")
 VERIFIED = ("assignment_supplied", "human_verified", "independently_verified")
 
 
@@ -59,13 +60,58 @@ def candidate_score(url: Column, title: Column, description: Column, year: Colum
     )
 
 
+def _filing_host(url: Column) -> Column:
+    return F.regexp_replace(host(url), r"^www\.", "").isin(*FILING_HOSTS)
+
+
 def trusted_filing(url: Column, company_key: Column, result_key: Column) -> Column:
     """Whether a public filing host holds the page and the result names the company."""
-    return F.regexp_replace(host(url), r"^www\.", "").isin(*FILING_HOSTS) & (company_key != "") & result_key.contains(company_key)
+    return _filing_host(url) & (company_key != "") & result_key.contains(company_key)
+
+
+def _hit_year(years: Column) -> Column:
+    """The year that a result is a report of, if it is among ``years``."""
+    url, title, description = (F.col(c) for c in ("url", "title", "description"))
+    year = F.coalesce(_years(title), _years(url), _years(description))
+    return F.when(F.array_contains(years, year) & looks_like_report(url, title, description, year), year)
+
 
+def staged(results: DataFrame, companies: DataFrame, years: list[int], stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """The results that discovery in stages comes to see, with ``stage`` (counted from 0) and ``supplied``.
 
-def discover(results: DataFrame, companies: DataFrame, years: list[int], best: int = 5) -> DataFrame:
-    """Best candidates for each company and year.
+    A stage is asked for a company only while the stages before it, in the order of ``stages``,
+    leave one of ``years`` open; ``deep_search`` for an open year alone, the one it was asked for (column ``asked``).
+    The site's own stages, ``map`` and ``page``, need a domain. A result supplies a year if it is a report of it
+    and no earlier stage has one; ``supplied`` is that year or null. Results of other stages are left out.
+
+    The stage that first holds a year is a minimum, and a company's last such stage a maximum, so the stages need one
+    aggregate and not a pass each: a stage counts only where all before it left a year open.
+    """
+    order = F.array_position(F.array(*map(F.lit, stages)), F.col("discovery")).cast("int") - 1
+    own = (F.col("domain") != "") | ~F.col("discovery").isin("map", "page")
+    seen = results.join(companies.select("company", "domain"), "company").withColumn("stage", order).where((F.col("stage") >= 0) & own)
+    seen = seen.withColumn("_hit", _hit_year(F.array(*map(F.lit, years))))
+    last = len(stages)
+    first = seen.where("_hit IS NOT NULL").groupBy("company", "_hit").agg(F.min("stage").alias("_first"))
+    by_year = first.groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("_hit", "_first"))).alias("_by_year"))
+    told = seen.join(by_year, "company", "left")
+    since = lambda y: F.coalesce(F.try_element_at("_by_year", y), F.lit(last))
+    done = F.greatest(*[since(F.lit(y)) for y in years]) if len(years) > 1 else since(F.lit(years[0]))
+    asked = F.col("asked").cast("int") if "asked" in results.columns else F.lit(None).cast("int")
+    deep = F.col("discovery") == "deep_search"
+    kept = told.where(F.when(deep, asked.isin(*years) & (since(asked) >= F.col("stage"))).otherwise(done >= F.col("stage")))
+    return kept.withColumn("supplied", F.when(since(F.col("_hit")) == F.col("stage"), F.col("_hit"))).drop("_by_year", "_hit", "domain")
+
+
+def open_years(results: DataFrame, companies: DataFrame, years: list[int], stages: tuple[str, ...]) -> DataFrame:
+    """(company, year) that ``stages`` leave open: what the next stage's source is to be asked for."""
+    asked = companies.select("company", F.explode(F.array(*map(F.lit, years))).alias("year"))
+    held = staged(results, companies, years, stages).where("supplied IS NOT NULL").select("company", F.col("supplied").alias("year"))
+    return asked.join(held, ["company", "year"], "left_anti")
+
+
+def discover(results: DataFrame, companies: DataFrame, years: list[int], best: int = 5, stages: tuple[str, ...] | None = None) -> DataFrame:
+    """Best candidates for each company and year; with ``stages``, among what ``staged`` sees.
 
     ``results``: company, seq, discovery, url, title, description. ``companies``:
     company, domain. Search hits off an official domain are dropped, but for
@@ -73,13 +119,15 @@ def discover(results: DataFrame, companies: DataFrame, years: list[int], best: i
     (company, year, url) counts; ties go to the smaller url. ``source_verified``
     tells filings and what the official site holds or leads to.
     """
+    if stages is not None:
+        results = staged(results, companies, years, stages).drop("stage", "supplied")
     companies = companies.withColumn("_company_key", identity("company"))
     joined = results.join(companies, "company").where(F.col("url").rlike("^https?://"))
     dated = joined.withColumn("year", primary_year(F.col("title"), F.col("url"), F.col("description"), years)).where("year IS NOT NULL")
     report = dated.where(looks_like_report(F.col("url"), F.col("title"), F.col("description"), F.col("year")))
     searched = F.col("discovery").isin("search", "deep_search")
     said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    told = report.withColumn("_key", identity(said)).withColumn("_trusted", trusted_filing(F.col("url"), F.col("_company_key"), F.col("_key")))
+    told = report.withColumn("_key", identity(F.when(_filing_host(F.col("url")), said))).withColumn("_trusted", trusted_filing(F.col("url"), F.col("_company_key"), F.col("_key")))
     own = on_domain(F.col("url"), F.col("domain"))
     told = told.withColumn("source_verified", F.col("_trusted") | ((F.col("domain") != "") & (own | ~searched)))
     kept = told.where(~searched | (F.col("domain") == "") | own | F.col("_trusted")).drop("_company_key", "_key", "_trusted")

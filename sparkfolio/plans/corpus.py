@@ -83,6 +83,49 @@ def found_years(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("company", F.explode(flags).alias("y")).select("company", "y.year", "y.found")
 
 
+_STAGED = f"""{_RESULTS}, asked AS (SELECT *, 2020 + seq % 6 AS asked, CASE seq % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS stage,
+  CASE WHEN contains(company, 'example.net') THEN '' ELSE 'example.org' END AS domain FROM results),
+hits AS (SELECT *, CASE WHEN y BETWEEN 2020 AND 2023 AND contains({_TEXT}, y::VARCHAR) AND regexp_matches({_TEXT}, '{C.REPORT_WORDS}') AND NOT regexp_matches({_TEXT}, '{C.NON_ANNUAL}')
+  AND NOT regexp_matches(regexp_replace({_TEXT}, '\\s+', '', 'g'), '{C.NON_ANNUAL}') THEN y END AS hit
+  FROM (SELECT *, coalesce({_NEWEST.format('title')}, {_NEWEST.format('url')}, {_NEWEST.format('description')}) AS y FROM asked WHERE stage > 1 OR domain <> '')),
+years AS (SELECT company, year FROM (SELECT DISTINCT company FROM results), (SELECT unnest(range(2020, 2024)) AS year)),
+s0 AS (SELECT * FROM hits WHERE stage = 0),
+o0 AS (SELECT * FROM years y WHERE NOT EXISTS (SELECT 1 FROM s0 h WHERE h.company = y.company AND h.hit = y.year)),
+s1 AS (SELECT * FROM hits WHERE stage = 1 AND company IN (SELECT company FROM o0)),
+o1 AS (SELECT * FROM o0 y WHERE NOT EXISTS (SELECT 1 FROM s1 h WHERE h.company = y.company AND h.hit = y.year)),
+s2 AS (SELECT * FROM hits WHERE stage = 2 AND company IN (SELECT company FROM o1)),
+o2 AS (SELECT * FROM o1 y WHERE NOT EXISTS (SELECT 1 FROM s2 h WHERE h.company = y.company AND h.hit = y.year)),
+s3 AS (SELECT h.* FROM hits h JOIN o2 ON o2.company = h.company AND o2.year = h.asked WHERE stage = 3),
+pool AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3),
+supplied AS (SELECT company, hit AS year, min(stage) AS stage FROM pool WHERE hit IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _staged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    results = _results(spark, folder).withColumn("asked", (2020 + F.col("seq") % 6).cast("int"))
+    domain = F.when(F.contains("company", F.lit("example.net")), "").otherwise("example.org")
+    return results, results.select("company").distinct().withColumn("domain", domain)
+
+
+@query("staged_results", f"WITH {_STAGED} SELECT p.seq AS page_id, p.company, p.discovery, CASE WHEN s.stage = p.stage THEN p.hit END AS supplied FROM pool p LEFT JOIN supplied s ON s.company = p.company AND s.year = p.hit")
+def staged_results(spark: SparkSession, folder: str) -> DataFrame:
+    return C.staged(*_staged(spark, folder), [*range(2020, 2024)]).select(F.col("seq").alias("page_id"), "company", "discovery", "supplied")
+
+
+@query("staged_years", f"""WITH {_STAGED} SELECT y.company, y.year, ['map', 'page', 'search', 'deep_search'][s.stage + 1] AS supplied_by, count(p.seq) AS results FROM years y
+LEFT JOIN supplied s ON s.company = y.company AND s.year = y.year LEFT JOIN pool p ON p.company = y.company AND p.hit = y.year AND p.stage = s.stage GROUP BY ALL""")
+def staged_years(spark: SparkSession, folder: str) -> DataFrame:
+    results, companies = _staged(spark, folder)
+    years = [*range(2020, 2024)]
+    told = C.staged(results, companies, years).where("supplied IS NOT NULL").groupBy("company", F.col("supplied").alias("year"), F.col("discovery").alias("supplied_by")).agg(F.count(F.lit(1)).alias("results"))
+    left = C.open_years(results, companies, years, C.STAGES).select("company", "year", F.lit(None).cast("string").alias("supplied_by"), F.lit(0).cast("bigint").alias("results"))
+    return told.unionByName(left)
+
+
+@query("staged_open_years", f"WITH {_STAGED} SELECT company, year FROM o1")
+def staged_open_years(spark: SparkSession, folder: str) -> DataFrame:
+    return C.open_years(*_staged(spark, folder), [*range(2020, 2024)], C.STAGES[:2])
+
+
 @query("fallback_fetch", f"""WITH {_FOUND}, tried AS (SELECT *, seq % 3 <> 1 AS passed FROM ranked WHERE rank <= 5),
 told AS (SELECT company, year, min(CASE WHEN passed THEN rank END) AS used FROM tried GROUP BY company, year)
 SELECT t.company, t.year, any_value(used) AS used_rank, max(CASE WHEN rank = used THEN url END) AS url, coalesce(string_agg('rejected ' || url, '; ' ORDER BY rank) FILTER (NOT passed AND rank < coalesce(used, 99)), '') AS failures FROM tried t JOIN told USING (company, year) GROUP BY t.company, t.year""")
