@@ -171,6 +171,45 @@ def links_of(markdown: DataFrame) -> DataFrame:
     return at.select("doc", "seq", label.alias("label"), F.regexp_extract("link", r"\((https?://[^)\s]+)\)$", 1).alias("url"), year.alias("year"))
 
 
+# A labelled link up to its closing parenthesis, and a year before one.
+LABELLED = r"(?U)\[([^\]]+)\]\((https?://[^)\s]+)"
+YEAR_BEFORE = r"(?U)(20\d{2})(?:年|\b)"
+#: Characters before a link that are searched, and pieces that hold them: a link has 12 characters at least.
+NEARBY, PIECES = 180, 2 * (180 // 12) + 2
+
+
+def scraped_links(pages: DataFrame) -> DataFrame:
+    """(doc, seq, url, title): a page's links, each address once, labelled ones first.
+
+    ``pages``: doc, markdown, links (array<struct<url, text>>). A labelled link's title is its label, after the last
+    year in the characters before it if the label lacks that year. Raw links follow in their order; one without
+    a text has an empty title.
+
+    A split at the links gives the text between them, so that the characters before each link are the end of a
+    bounded number of pieces, and equal links keep places of their own.
+    """
+    given = pages.select("doc", F.coalesce("markdown", F.lit("")).alias("markdown"), F.coalesce("links", F.array().cast("array<struct<url: string, text: string>>")).alias("links"))
+    between = F.split("markdown", LABELLED, -1)
+    links = F.regexp_extract_all("markdown", F.lit(LABELLED), 0)
+    pieces = F.flatten(F.zip_with(between, links, lambda t, link: F.array(t, F.coalesce(link, F.lit("")))))
+    split = given.select("doc", pieces.alias("pieces")).where(F.size("pieces") > 2)
+
+    def placed(k: Column) -> Column:
+        before = F.slice("pieces", F.greatest(F.lit(1), 2 * k + 2 - PIECES), F.least(F.lit(PIECES), 2 * k + 1))
+        return F.struct(F.get("pieces", 2 * k + 1).alias("link"), F.right(F.array_join(before, ""), F.lit(NEARBY)).alias("before"))
+
+    each = split.select("doc", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("pieces") / 2).cast("int") - 2), placed)).alias("seq", "p"))
+    label = F.trim(F.regexp_replace(F.regexp_extract("p.link", LABELLED, 1), r"(?U)^\s+|\s+$", ""))
+    year = F.try_element_at(F.regexp_extract_all("p.before", F.lit(YEAR_BEFORE), 1), F.lit(-1))
+    title = F.when(year.isNotNull() & ~F.contains(label, year), F.trim(F.concat_ws(" ", year, label))).otherwise(label)
+    labelled = each.select("doc", F.lit(0).alias("kind"), "seq", F.regexp_extract("p.link", LABELLED, 2).alias("url"), title.alias("title"))
+    raw = given.select("doc", F.posexplode("links").alias("seq", "x")).where(F.coalesce("x.url", F.lit("")) != "")
+    raw = raw.select("doc", F.lit(1).alias("kind"), "seq", "x.url", F.coalesce("x.text", F.lit("")).alias("title"))
+    first = labelled.unionByName(raw).groupBy("doc", "url").agg(F.min(F.struct("kind", "seq", "title")).alias("f"))
+    order = F.row_number().over(W.partitionBy("doc").orderBy("f.kind", "f.seq")) - 1
+    return first.select("doc", order.alias("seq"), "url", "f.title")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, digest: str, key: list[str], verification: str) -> DataFrame:
     """The manifest after an upsert: incoming documents replace those of the same
     digest or key; a verification survives only with an identical digest. Two equality

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import corpus as C
 from ..operators import documents as D
+from ..operators import verification as V
 from .catalog import query, table
 
 _HOST = "lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
@@ -170,6 +171,63 @@ def html_links_nearest_year(spark: SparkSession, folder: str) -> DataFrame:
     return C.links_of(markdown).select("doc", F.col("seq").cast("bigint").alias("seq"), "label", "url", "year")
 
 
+# Pages as scraped sites: anchors are labelled links under headings of a year, and every href is a raw link too.
+_SCRAPED = r"""scraped AS (SELECT page_id AS doc, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs,
+  regexp_replace(regexp_replace(html, '<a href="/([^"]*)">([^<]*)</a>', '[\2](http://x.org/\1) ', 'g'), '<(p|h[0-9])>', (2015 + page_id % 12) || CASE WHEN page_id % 2 = 0 THEN '年' ELSE ' ' END, 'g') AS markdown FROM pages)"""
+
+
+@query("scraped_links", rf"""WITH {_SCRAPED}, parts AS (SELECT doc, hrefs, regexp_extract_all(markdown, '\[[^\]]+\]\(https?://[^)\s]+') AS l, string_split_regex(markdown, '\[[^\]]+\]\(https?://[^)\s]+') AS t FROM scraped),
+each AS (SELECT doc, k, l[k + 1] AS link, right(array_to_string(list_transform(range(0, k + 1), lambda j: t[j + 1] || CASE WHEN j < k THEN l[j + 1] ELSE '' END), ''), 180) AS before FROM (SELECT doc, l, t, unnest(range(len(l))) AS k FROM parts)),
+told AS (SELECT doc, k, regexp_extract(link, '\((https?://.*)$', 1) AS url, trim(regexp_extract(link, '^\[([^\]]+)\]', 1)) AS label, regexp_extract_all(before, '(20[0-9]{{2}})(年|[^\p{{L}}\p{{N}}_]|$)', 1)[-1] AS year FROM each),
+every AS (SELECT doc, 0 AS kind, k, url, CASE WHEN year IS NOT NULL AND NOT contains(label, year) THEN trim(year || ' ' || label) ELSE label END AS title FROM told
+  UNION ALL SELECT doc, 1, k, 'http://x.org' || hrefs[k + 1], CASE WHEN k % 2 = 0 THEN 'raw ' || k ELSE '' END FROM (SELECT doc, hrefs, unnest(range(len(hrefs))) AS k FROM parts)),
+first AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc, url ORDER BY kind, k) = 1)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY kind, k) - 1 AS seq, url, title FROM first""")
+def scraped_links(spark: SparkSession, folder: str) -> DataFrame:
+    html, k = F.col("html"), F.col("page_id")
+    made = F.regexp_replace(html, '<a href="/([^"]*)">([^<]*)</a>', r"[$2](http://x.org/$1) ")
+    heading = F.concat((2015 + k % 12).cast("string"), F.when(k % 2 == 0, "年").otherwise(" "))
+    raw = F.transform(F.regexp_extract_all(html, F.lit('href="(/[^"]*)"'), 1), lambda h, i: F.struct(F.concat(F.lit("http://x.org"), h).alias("url"), F.when(i % 2 == 0, F.concat(F.lit("raw "), i.cast("string"))).alias("text")))
+    pages = table(spark, folder, "pages").select(k.alias("doc"), F.regexp_replace(made, F.lit("<(p|h[0-9])>"), heading).alias("markdown"), raw.alias("links"))
+    return C.scraped_links(pages).select("doc", F.col("seq").cast("bigint").alias("seq"), "url", "title")
+
+
+@query("all_markers", r"SELECT d.doc_id, b.text AS marker FROM documents d JOIN (SELECT DISTINCT text FROM benchmark) b ON contains(regexp_replace(d.text, '\s+', '', 'g'), regexp_replace(b.text, '\s+', '', 'g'))")
+def all_markers(spark: SparkSession, folder: str) -> DataFrame:
+    return V.markers_in(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select(F.col("text").alias("marker")), id_col="doc_id")
+
+
+_SOURCES = r"""sources AS (SELECT doc_id, text AS text_a, CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END AS text_b, md5(text) AS sha256, n_chars AS pages,
+  CASE WHEN doc_id % 7 <> 3 THEN md5(text) END AS registered_sha256, n_chars + CASE WHEN doc_id % 11 = 2 THEN 1 ELSE 0 END AS registered_pages FROM documents),
+markers AS (SELECT doc_id, substring(text, 20, 15) AS marker FROM documents WHERE doc_id % 3 > 0 AND length(text) > 40 UNION SELECT doc_id, b.text FROM documents, benchmark b WHERE doc_id % 40 = b.item_id)"""
+
+
+@query("verified_sources", rf"""WITH {_SOURCES}, told AS (SELECT doc_id, count(*) AS markers, count(*) FILTER (contains(regexp_replace(text_a, '\s+', '', 'g'), regexp_replace(marker, '\s+', '', 'g'))) AS in_a,
+  count(*) FILTER (contains(regexp_replace(text_b, '\s+', '', 'g'), regexp_replace(marker, '\s+', '', 'g'))) AS in_b FROM markers JOIN sources USING (doc_id) GROUP BY doc_id),
+gates AS (SELECT doc_id, coalesce(sha256 = registered_sha256, false) AS digest_ok, pages = registered_pages AS pages_ok, coalesce(markers, 0) AS markers, coalesce(in_a, 0) AS in_a, coalesce(in_b, 0) AS in_b FROM sources LEFT JOIN told USING (doc_id))
+SELECT *, digest_ok AND pages_ok AND in_a = markers AND in_b = markers AS verified, CASE WHEN NOT digest_ok THEN 'digest' WHEN NOT pages_ok THEN 'pages' WHEN in_a < markers THEN 'first text' WHEN in_b < markers THEN 'second text' END AS reason FROM gates""")
+def verified_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs, k, text = table(spark, folder, "documents"), F.col("doc_id"), F.col("text")
+    digest = F.md5(text.cast("binary"))
+    sources = docs.select("doc_id", text.alias("text_a"), F.when(k % 5 == 0, F.upper(text)).otherwise(text).alias("text_b"), digest.alias("sha256"), F.col("n_chars").alias("pages"),
+        F.when(k % 7 != 3, digest).alias("registered_sha256"), (F.col("n_chars") + F.when(k % 11 == 2, 1).otherwise(0)).alias("registered_pages"))
+    own = docs.where((k % 3 > 0) & (F.length(text) > 40)).select("doc_id", F.substring(text, 20, 15).alias("marker"))
+    items = docs.select("doc_id", (k % 40).alias("item_id")).join(table(spark, folder, "benchmark").select("item_id", F.col("text").alias("marker")), "item_id")
+    return V.verify_sources(sources, own.unionByName(items.select("doc_id", "marker")), id_col="doc_id")
+
+
+@query("deletion_outcomes", """WITH runs AS (SELECT o_orderkey::VARCHAR AS run_id, CASE o_custkey % 3 WHEN 0 THEN 'workspace-a' WHEN 1 THEN '' ELSE 'workspace-b' END AS workspace_id FROM orders),
+wanted AS (SELECT DISTINCT (l_orderkey + l_linenumber % 2)::VARCHAR AS run_id FROM lineitem), running AS (SELECT DISTINCT o_orderkey::VARCHAR AS run_id FROM orders WHERE o_orderstatus = 'P')
+SELECT w.run_id, CASE WHEN r.run_id IS NULL THEN 'missing' WHEN coalesce(nullif(workspace_id, ''), 'legacy-public') <> 'workspace-a' THEN 'foreign' WHEN b.run_id IS NOT NULL THEN 'running' ELSE 'deleted' END AS outcome
+FROM wanted w LEFT JOIN runs r USING (run_id) LEFT JOIN running b USING (run_id)""")
+def deletion_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    run = F.col("o_orderkey").cast("string").alias("run_id")
+    space = F.element_at(F.array(*map(F.lit, ("workspace-a", "", "workspace-b"))), (F.col("o_custkey") % 3 + 1).cast("int"))
+    wanted = lines.select((F.col("l_orderkey") + F.col("l_linenumber") % 2).cast("string").alias("run_id"))
+    return V.deletions(wanted, orders.select(run, space.alias("workspace_id")), "workspace-a", orders.where("o_orderstatus = 'P'").select(run))
+
+
 def _manifest(spark: SparkSession, folder: str, live: bool) -> DataFrame:
     docs = table(spark, folder, "documents")
     own = docs.where(F.col("doc_id") % 2 == 0) if live else docs.where(F.col("doc_id") % 3 == 0)

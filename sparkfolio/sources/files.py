@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.verification import deletions
 from .snapshots import Folder
 
 RUN_SCHEMA = (
@@ -81,6 +83,37 @@ def find_run(runs: DataFrame, run_id: str) -> DataFrame:
     return runs.where(here | (F.col("run_id") == run_id)).orderBy(F.desc(here), "path").limit(1)
 
 
+def delete_runs(spark: SparkSession, folder: str, run_ids: list[str] | DataFrame, workspace: str, running: DataFrame | None = None, schema: str = RUN_SCHEMA) -> DataFrame:
+    """Deletes the folders of runs that a workspace owns and that are not at work; returns (run_id, outcome) of each asked for.
+
+    A line in ``_deleted`` below the folder, written before, tells of each deleted run: readers of a snapshot may drop what is named
+    there (``deleted_runs``), and a deletion that was broken off can be done again. The driver makes one call of the store for a folder.
+    """
+    wanted = run_ids if isinstance(run_ids, DataFrame) else spark.createDataFrame([(r,) for r in run_ids], "run_id string")
+    try:
+        runs = read_runs(spark, folder, schema)
+    except AnalysisException:  # no record is there
+        runs = spark.createDataFrame([], f"{schema}, path string, directory string").drop("_corrupt_record")
+    outcomes = deletions(wanted, runs, workspace, running)
+    gone = outcomes.where("outcome = 'deleted'")
+    told = outcomes.collect()  # a row for each run asked for
+    paths = [r.directory for r in runs.join(gone, "run_id").select("directory").distinct().collect()]
+    if paths:
+        spark.createDataFrame([(r.run_id,) for r in told if r.outcome == "deleted"], "run_id string").withColumn("at", F.current_timestamp()).write.mode("append").json(f"{folder}/_deleted")
+        store = Folder(spark, folder)
+        for path in paths:
+            store.delete(path)
+    return spark.createDataFrame([tuple(r) for r in told], "run_id string, outcome string")
+
+
+def deleted_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_id, at) of deletions; a run deleted twice has two rows."""
+    try:
+        return spark.read.schema("run_id string, at timestamp").json(f"{folder}/_deleted")
+    except AnalysisException:
+        return spark.createDataFrame([], "run_id string, at timestamp")
+
+
 def read_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """(directory, kind, repair, content) of every request and raw response kept beside the runs; repairs count from 1."""
     raw = spark.read.option("wholetext", True).text(_below(folder, "{request,raw_response}*.json"))
@@ -103,8 +136,6 @@ def read_job_states(spark: SparkSession, folder: str, schema: str, newest: int =
 
 def read_manifest(spark: SparkSession, path: str, document: T.StructType) -> DataFrame:
     """The documents of a manifest file; a missing or corrupt one has none."""
-    from pyspark.errors import AnalysisException
-
     schema = T.StructType([T.StructField("version", T.IntegerType()), T.StructField("documents", T.ArrayType(document)), T.StructField("_corrupt_record", T.StringType())])
     try:
         raw = spark.read.schema(schema).option("multiLine", True).json(path)
