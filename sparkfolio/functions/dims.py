@@ -41,6 +41,37 @@ SCHEMA = (
 )
 ITEMS = tuple(item for _, _, item in SCHEMA)
 
+# What the schema says of each of its rows, in their order.
+DESCRIPTIONS = (
+    "Quick Assets + Inventories, Net + Other Current Assets",
+    "Cash & Cash Equivalents + Accounts Receivable - Trade + Other Quick Assets",
+    "Cash and assets immediately convertible to cash.",
+    "Trade receivables arising from sales to customers.",
+    "Other short-term liquid assets that belong in Quick Assets.",
+    "Inventory held for sale or use in production, net of applicable allowances.",
+    "Marketable Securities + Short-term Loan + Advance Payments + Other Current Assets",
+    "Current marketable or tradable securities.",
+    "Loan receivable expected to be collected within one year.",
+    "Amounts paid in advance that are classified as current assets.",
+    "Other current assets not classified in the preceding requested fields.",
+    "Tangible Assets + Intangible Assets + Financial Assets + Other Fixed Assets",
+    "Land + Buildings + Plant & Machinery + Construction in Progress + Other Equipment + Accumulated Depreciation",
+    "Owned land classified as tangible fixed assets.",
+    "Buildings such as offices, factories and warehouses.",
+    "Production and operating plant and machinery.",
+    "Tangible assets under construction.",
+    "Other equipment and fixtures classified as tangible fixed assets.",
+    "Cumulative depreciation deducted from tangible assets. Preserve the negative sign.",
+    "Non-physical long-lived assets.",
+    "Investments + Long-term Loan + Other Financial Assets",
+    "Long-term investments classified as financial assets.",
+    "Loan receivable expected to be collected after one year.",
+    "Other long-term financial assets not classified above.",
+    "Other long-lived assets not classified in tangible, intangible or financial assets.",
+    "Deferred costs recognized across accounting periods.",
+    "Current Assets + Fixed Assets + Deferred Charges",
+)
+
 # The subtotal identities, total = sum of parts.
 IDENTITIES = (
     ("Quick Assets", ("Cash & Cash Equivalents", "Accounts Receivable - Trade", "Other Quick Assets")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.dims import SCHEMA
+from ..functions.dims import DESCRIPTIONS, SCHEMA
 
 # BM25 constants, and weights and bounds of the other signals.
 K1, B = 1.5, 0.75
@@ -60,8 +60,8 @@ def tokens_of(text: Column) -> Column:
 
 
 def accounting_vocabulary(spark: SparkSession) -> DataFrame:
-    """(term): the tokens of the schema's names and of the accounting words."""
-    words = [(w,) for w in (*ACCOUNTING, *(x for row in SCHEMA for x in row))]
+    """(term): the tokens of the schema's names and descriptions and of the accounting words."""
+    words = [(w,) for w in (*ACCOUNTING, *(x for row in SCHEMA for x in row), *DESCRIPTIONS)]
     return spark.createDataFrame(words, "w string").select(F.explode(tokens_of(F.col("w"))).alias("term")).distinct()
 
 

@@ -23,10 +23,10 @@ def document() -> Column:
 DOC = "source || '/' || doc_id // 2000"
 
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
+def _scored(spark: SparkSession, folder: str, layout: DataFrame | None = None) -> DataFrame:
     vocabulary = table(spark, folder, "benchmark").select(F.explode(R.tokens_of(F.col("text"))).alias("term")).distinct()
     vocabulary = vocabulary.union(R.accounting_vocabulary(spark)).distinct()
-    return R.score_pages(pages(spark, folder), vocabulary)
+    return R.score_pages(pages(spark, folder), vocabulary, layout)
 
 
 def _any(column: str, patterns) -> str:
@@ -34,7 +34,7 @@ def _any(column: str, patterns) -> str:
 
 
 _SCORES = rf"""
-vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{R.TOKEN}')) AS term FROM (SELECT text FROM benchmark UNION ALL SELECT unnest({[*R.ACCOUNTING, *(x for row in dims.SCHEMA for x in row)]}))),
+vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{R.TOKEN}')) AS term FROM (SELECT text FROM benchmark UNION ALL SELECT unnest({[*R.ACCOUNTING, *(x for row in dims.SCHEMA for x in row), *dims.DESCRIPTIONS]}))),
 usable AS (SELECT {DOC} AS doc, doc_id AS page, text, regexp_extract_all(lower(text), '{R.TOKEN}') AS tokens FROM documents WHERE regexp_matches(text, '\S')),
 facts AS (
   SELECT doc, page, len(tokens) AS n_tokens, len(list_filter(tokens, lambda t: regexp_matches(t, '\p{{Nd}}'))) AS n_numeric, length(text) AS characters,
@@ -72,6 +72,19 @@ def page_score_bm25(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder).select("doc", "page", "score", "bm25", "schema_term_hits", "heading_hits", "reject_hits", "table_signal", "numeric_density", "characters")
 
 
+# A parser's layout: of two pages in three, every fourth has a table and every fifth has columns.
+_LAYOUT = _SCORES.replace("CASE WHEN table_signal THEN 4.0::DOUBLE ELSE 0 END", "CASE WHEN table_signal OR (page % 3 > 0 AND page % 4 = 0) THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN page % 3 > 0 AND page % 5 = 0 THEN 0.75::DOUBLE ELSE 0 END").replace(
+    "reject_hits, table_signal, coalesce(n_terms", "reject_hits, table_signal OR (page % 3 > 0 AND page % 4 = 0) AS table_signal, page % 3 > 0 AND page % 5 = 0 AS column_signal, coalesce(n_terms"
+)
+
+
+@query("page_score_layout", f"WITH {_LAYOUT} SELECT doc, page, score, table_signal, column_signal FROM scored")
+def page_score_layout(spark: SparkSession, folder: str) -> DataFrame:
+    all_pages = pages(spark, folder).where(F.col("page") % 3 > 0)
+    layout = all_pages.select("doc", "page", (F.col("page") % 4 == 0).alias("has_table"), (F.col("page") % 5 == 0).alias("has_column"))
+    return _scored(spark, folder, layout).select("doc", "page", "score", "table_signal", "column_signal")
+
+
 @query("page_rank", f"WITH {_SCORES}, {_SELECTED} SELECT doc, page, rank, score, selected FROM chosen")
 def page_rank(spark: SparkSession, folder: str) -> DataFrame:
     return R.select_pages(_scored(spark, folder)).select("doc", "page", "rank", "score", "selected")
