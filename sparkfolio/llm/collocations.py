@@ -9,8 +9,10 @@
    and not on their occurrences; pieces break at every other word, and
    each n-gram is packed into a binary key of fixed-width ids, most
    significant byte first, and counted in its chunk.
-4. Keys are range-partitioned and sorted (Spark sorts their prefixes by radix), and
-   runs of equal keys are added up in one pass over each partition.
+4. A chunk's keys are sorted and written as one block of bytes. Samples of all
+   blocks give the bounds of ranges; each block is cut at them, slices of
+   a range meet in one task, are sorted by their 8-byte words, least significant first, and
+   runs of equal keys are added up. A key has one row a chunk, so no range grows with a key.
 5. Parts of candidates are substrings of their keys, so cuts and longer
    candidates are joins on keys.
 
@@ -34,8 +36,10 @@ from .common import Shelf, give_back
 
 #: Bytes, about, of a chunk.
 CHUNK = 1 << 23
-#: Parts of a language whose best phrases are found before the whole language's; languages that may be broadcast.
-SALTS, LANGUAGES = 256, 100_000
+#: Keys, about, of a range; keys of a block of which one is a sample; samples of a range that suffice for its bound.
+RANGE, SAMPLE, PER_RANGE = 1 << 21, 512, 64
+#: Parts of a language whose best phrases are found, level by level, before the whole language's; languages that may be broadcast.
+SALTS, LANGUAGES = (256, 8), 100_000
 
 _BREAK = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _CLASS = np.zeros(256, np.uint8)
@@ -108,14 +112,38 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _grams(longest: int, width: int):
-    """Keys of the n-grams of chunks (seq, ids: places and ids of their frequent words), and their counts."""
-    kind = f">u{width}"
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order of rows of ids, by radix over columns, least significant first."""
+    if keys.shape[1] % 2:  # ids of 32 bits go in pairs
+        keys = np.concatenate((np.zeros((len(keys), 1), keys.dtype), keys), 1)
+    wide = keys.astype(np.uint64)
+    pairs = wide[:, ::2] << np.uint64(32) | wide[:, 1::2] if keys.dtype == np.uint32 else wide
+    return np.lexsort(pairs.T[::-1])
 
-    def keys(ids: np.ndarray, first: np.ndarray, n: int) -> pa.Array:
-        packed = np.ascontiguousarray(np.stack([ids[first + k] for k in range(n)], 1).astype(kind))
-        ends = np.arange(len(first) + 1, dtype=np.int32) * (n * width)
-        return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, sorted, and the sums of their counts: a sort and the lengths of runs."""
+    if not len(keys):
+        return keys, counts
+    order = _order(keys)
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+    return keys[heads], np.add.reduceat(counts, heads)
+
+
+def _press(x: np.ndarray) -> bytes:
+    """An array as bytes, most significant bytes first and together, which compress best."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def _unpress(blob: bytes, kind: str, columns: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    width = np.dtype(kind).itemsize * columns
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1, columns)
+
+
+def _grams(longest: int, kind: str):
+    """For each chunk (seq, ids: places and ids of its frequent words) and n, its distinct n-grams as rows of ids, sorted, with counts, and samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,11 +151,11 @@ def _grams(longest: int, width: int):
                 seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("seq")[i].as_buffer()), "<u4")
                 told = batch.column("ids")[i].values
                 at, id_ = np.array(told.field("at"), np.int64), np.array(told.field("id"), np.int64)
-                local, ids = np.zeros(int(seq.max()) + 1, np.uint64), np.zeros(int(seq.max()) + 1, np.int64)
+                local, ids = np.zeros(int(seq.max()) + 1, np.uint64), np.zeros(int(seq.max()) + 1, kind)
                 local[at + 1], ids[at + 1] = np.arange(1, len(at) + 1), id_
                 local, ids = local[seq], ids[seq]
-                name, start = local, np.flatnonzero(local)
-                name = name[start]
+                start = np.flatnonzero(local)
+                name = local[start]
                 for n in range(2, longest + 1):
                     on = start + n - 1 < len(local)
                     start, name = start[on], name[on]
@@ -137,34 +165,98 @@ def _grams(longest: int, width: int):
                         break
                     # An n-gram's name is the place of (its first n - 1 words' name, its last word) among the distinct ones.
                     pair = name << np.uint64(32) | nxt
-                    _, first, inverse, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-                    name = inverse.astype(np.uint64) + np.uint64(1)
-                    yield pa.RecordBatch.from_arrays([keys(ids, start[first], n), pa.array(count.astype(np.int64))], names=["key", "n"])
+                    if n < longest:
+                        _, first, inverse, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+                        name = inverse.astype(np.uint64) + np.uint64(1)
+                    else:
+                        _, first, count = np.unique(pair, return_index=True, return_counts=True)
+                    keys = np.stack([ids[start[first] + k] for k in range(n)], 1)
+                    order = _order(keys)
+                    keys, count = keys[order], count[order].astype("<u4")
+                    some = keys[np.arange(SAMPLE // 2, len(keys), SAMPLE)].astype(np.int64)
+                    values = [[n], [len(keys)], [_press(keys.astype(kind.replace("<", ">")))], [_press(count)], [some.tolist()]]
+                    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["n", "size", "keys", "counts", "some"])
+        give_back()
+
+    return run
+
+
+def _slices(bounds: dict[int, list[tuple[int, np.ndarray]]], kind: str):
+    """Blocks cut at the bounds of ranges; ``bounds``: for each n, ranges and their least keys."""
+
+    def place(keys: np.ndarray, least: np.ndarray) -> int:
+        lo, hi = 0, len(keys)
+        for c in range(keys.shape[1]):
+            column = keys[lo:hi, c]
+            lo, hi = lo + int(np.searchsorted(column, least[c], "left")), lo + int(np.searchsorted(column, least[c], "right"))
+        return lo
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, keys, counts in zip(batch.column("n").to_pylist(), batch.column("keys"), batch.column("counts")):
+                keys = _unpress(keys.as_buffer(), kind.replace("<", ">"), n).astype(kind)
+                counts = _unpress(counts.as_buffer(), "<u4", 1)
+                ranges, least = zip(*bounds[n])
+                cuts = [0, *[place(keys, k) for k in least[1:]], len(keys)]
+                rows = [(r, n, _press(keys[a:b].astype(kind.replace("<", ">"))), _press(counts[a:b])) for r, a, b in zip(ranges, cuts, cuts[1:]) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["range", "n", "keys", "counts"])
         give_back()
 
     return run
 
 
-def _runs(at_least: int):
-    """Sums of runs of equal keys; rows come sorted by key."""
+def _counted(at_least: int, kind: str):
+    """Keys and counts of each range; rows come sorted by range. A range's slices are added up whenever they are ``RANGE`` keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = pa.array([], pa.binary()), np.zeros(0, np.int64)
+        now, held, size, floor = None, [], 0, 0
+
+        def settle() -> None:
+            nonlocal held, size, floor
+            keys, counts = (np.concatenate(x) for x in zip(*held))
+            held, size = [_summed(keys, counts)], 0
+            floor = len(held[0][0])
+
+        def told(n: int) -> pa.RecordBatch:
+            settle()
+            keys, counts = held[0]
+            good = counts >= at_least
+            packed = np.ascontiguousarray(keys[good].astype(kind.replace("<", ">")))
+            ends = np.arange(len(packed) + 1, dtype=np.int32) * (n * packed.dtype.itemsize)
+            return pa.RecordBatch.from_arrays([pa.BinaryArray.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(ends), pa.py_buffer(packed)]), pa.array(counts[good])], names=["key", "f"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, n = pa.concat_arrays([last, batch.column("key")]), np.concatenate((total, np.array(batch.column("n"), np.int64)))
-            heads = np.append(0, 1 + np.flatnonzero(np.array(pc.not_equal(key[1:], key[:-1]))))
-            sums = np.add.reduceat(n, heads)
-            last, total = key[-1:], sums[-1:]
-            good = np.flatnonzero(sums[:-1] >= at_least)
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(heads[good])), pa.array(sums[good])], names=["key", "f"])
-        good = total >= at_least
-        yield pa.RecordBatch.from_arrays([last.filter(pa.array(good)), pa.array(total[good])], names=["key", "f"])
+            for r, n, keys, counts in zip(batch.column("range").to_pylist(), batch.column("n").to_pylist(), batch.column("keys"), batch.column("counts")):
+                if (r, n) != now:
+                    if now is not None:
+                        yield told(now[1])
+                    now, held, size, floor = (r, n), [], 0, 0
+                held.append((_unpress(keys.as_buffer(), kind.replace("<", ">"), n).astype(kind), _unpress(counts.as_buffer(), "<u4", 1)[:, 0].astype(np.int64)))
+                size += len(held[-1][0])
+                if size > max(RANGE, floor):
+                    settle()
+        if now is not None:
+            yield told(now[1])
+        give_back()
 
     return run
 
 
+def _bounds(blocks: DataFrame) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """Ranges of about RANGE keys: for each n, (range, least key), from a sample of SAMPLE-th keys that is itself thinned to a bounded number."""
+    out, number = {}, 0
+    for n, size in sorted(tuple(r) for r in blocks.groupBy("n").agg(F.sum("size")).collect()):
+        ranges = -(-size // RANGE)
+        share = min(1.0, ranges * PER_RANGE * SAMPLE / size)  # at most PER_RANGE a range
+        some = blocks.where(F.col("n") == n).select(F.explode("some").alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) <= int(share * (1 << 20)))
+        keys = sorted(r["k"] for r in some.collect())
+        least = [[0] * n] + [keys[len(keys) * k // ranges] for k in range(1, ranges) if keys]
+        out[n] = [(number + k, np.array(x, np.int64)) for k, x in enumerate(least)]
+        number += len(least)
+    return out
+
+
 def _big_endian(number: Column, width: int) -> Column:
     return F.unhex(F.lpad(F.hex(number), 2 * width, "0"))
 
@@ -214,11 +306,15 @@ def collocations(
     shelf.drop(frequent)
 
     ids = words.join(dictionary, ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
-    grams = shelf.keep(seqs.join(ids, "chunk").select("seq", "ids").mapInArrow(_grams(longest, width), "key binary, n bigint"))
+    kind = f"<u{width}"
+    blocks = seqs.join(ids, "chunk").select("seq", "ids").mapInArrow(_grams(longest, kind), "n int, size bigint, keys binary, counts binary, some array<array<bigint>>")
+    blocks = shelf.keep(blocks)
     shelf.drop(chunks)
-    counted = grams.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_runs(at_least), "key binary, f bigint")
-    counted = shelf.keep(counted)
-    shelf.drop(grams)
+    bounds = _bounds(blocks.select("n", "size", "some"))
+    slices = blocks.select("n", "keys", "counts").mapInArrow(_slices(bounds, kind), "range int, n int, keys binary, counts binary")
+    slices = slices.repartition(max(1, sum(map(len, bounds.values()))), "range").sortWithinPartitions("range")
+    counted = shelf.keep(slices.mapInArrow(_counted(at_least, kind), "key binary, f bigint"))
+    shelf.drop(blocks)
 
     some = shelf.keep(counted.unionByName(dictionary.select(_big_endian(F.col("id"), width).alias("key"), "f")))
     size = F.length("key") / width
@@ -244,9 +340,10 @@ def collocations(
     out = kept.join(spelled, "key").select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     if top is not None:
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-        salted = out.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-        salted = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("rank") <= top)
-        out = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top).drop("_salt")
+        for salts in (*SALTS, 1):
+            part = Window.partitionBy("lang", "_salt").orderBy(*order)
+            salted = out.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
+            out = salted.withColumn("rank", F.row_number().over(part).cast("bigint")).where(F.col("rank") <= top).drop("_salt")
     ranks = ["rank"] if top is not None else []
     return out.join(sizes, "lang").select("lang", *ranks, "phrase", "a", "l", "r", "n", "score")
 

@@ -6,6 +6,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -42,9 +43,10 @@ def texts(seed=3, n=80):
     return rows + [("en", None), (None, ""), ("de", " \t,."), ("xx", "alone"), *rows[:5], *rows[:3]]
 
 
-@pytest.mark.parametrize(("chunk", "longest", "at_least"), [(1 << 23, 3, 10), (300, 3, 4), (50, 4, 3)])
-def test_equals_brute_force(spark, monkeypatch, chunk, longest, at_least):
-    monkeypatch.setattr(collocations, "CHUNK", chunk)
+@pytest.mark.parametrize(("chunk", "longest", "at_least", "keys", "sample"), [(1 << 23, 3, 10, 1 << 21, 512), (300, 3, 4, 100, 3), (50, 4, 3, 40, 1)])
+def test_equals_brute_force(spark, monkeypatch, chunk, longest, at_least, keys, sample):
+    for name, value in (("CHUNK", chunk), ("RANGE", keys), ("SAMPLE", sample)):
+        monkeypatch.setattr(collocations, name, value)
     rows = texts()
     docs = spark.createDataFrame([(k, t, lang, "x", 1, 2, "w", 3) for k, (lang, t) in enumerate(rows)], DOCS).repartition(4)
     got = collocations.collocations(docs, longest=longest, at_least=at_least)
@@ -52,6 +54,19 @@ def test_equals_brute_force(spark, monkeypatch, chunk, longest, at_least):
     assert sorted(map(tuple, got.collect())) == sorted(brute(rows, longest, at_least, 50))
 
 
+@pytest.mark.parametrize("kind", ["<u4", "<u8"])
+@pytest.mark.parametrize("columns", [2, 3, 5])
+def test_runs_of_equal_keys(kind, columns):
+    r = np.random.default_rng(1)
+    keys, counts = r.integers(0, 3, (500, columns)).astype(kind), r.integers(1, 9, 500)
+    got, sums = collocations._summed(keys, counts)
+    want = Counter()
+    for k, c in zip(map(tuple, keys.tolist()), counts.tolist()):
+        want[k] += c
+    assert list(zip(map(tuple, got.tolist()), sums.tolist())) == sorted(want.items())
+    assert (collocations._unpress(collocations._press(got.astype(kind.replace("<", ">"))), kind.replace("<", ">"), columns) == got).all()
+
+
 def test_top_of_each_language(spark):
     rows = texts(seed=4)
     docs = spark.createDataFrame([(k, t, lang, "x", 1, 2, "w", 3) for k, (lang, t) in enumerate(rows)], DOCS)
