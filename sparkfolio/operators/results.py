@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -166,6 +167,46 @@ def contract_text(items: tuple[str, ...] = dims.ITEMS) -> str:
     return "One JSON object of this shape:\n\n" + example + "\n\nRules:\n" + "\n".join(f"- {r}" for r in rules)
 
 
+def approve(documents: DataFrame, rows: DataFrame, schema: DataFrame, at: Column, reviewer: str = "human") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The manifest after approvals, the approved keys, and the outcome of each submission.
+
+    ``documents``: sha256, local_path, currency, status, source_sha256, approved_path, approved_at and any more columns, a row a
+    digest. ``rows``: sha256, ord, item, answer, kind, and may have confidence, source_page and evidence, which are passed on.
+    A submission that fits (``approvals``) and whose document is known and stored binds the key to the document's digest: the document is
+    verified by a person, with the key's path beside its file and the time; others change nothing. Outcomes: sha256, approved, error.
+    """
+    extra = [c for c in ("confidence", "source_page", "evidence") if c in rows.columns]
+    stored = documents.select("sha256", "local_path", F.upper(F.coalesce(F.nullif(F.trim("currency"), F.lit("")), F.lit("USD"))).alias("currency"))
+    told = approvals(rows, schema, ["sha256"]).join(stored.withColumn("_known", F.lit(True)), "sha256", "left")
+    error = F.coalesce("error", F.when(F.col("_known").isNull(), "document not found").when(F.coalesce(F.trim("local_path"), F.lit("")) == "", "the stored file is missing"))
+    told = told.withColumn("error", error).withColumn("approved", error.isNull())
+    path = F.concat(F.regexp_replace("local_path", "[^/]*$", ""), F.lit("verification/approved_answers.json"))
+    good = told.where("approved").select("sha256", path.alias("_path"), F.col("currency").alias("_currency"), at.alias("_at"))
+    answer = F.when(F.trim("answer") != "", F.col("answer").try_cast("double"))
+    keys = rows.join(good, "sha256").select("sha256", "ord", "item", answer.alias("answer_m_usd"), *extra, F.col("_path").alias("path"), F.col("_at").alias("approved_at"), F.lit(reviewer).alias("reviewer"), F.col("_currency").alias("currency"))
+    joined = documents.join(good, "sha256", "left")
+    new = F.col("_path").isNotNull()
+    stamps = {"status": F.lit("human_verified"), "source_sha256": F.col("sha256"), "approved_path": F.col("_path"), "approved_at": F.col("_at")}
+    after = joined.select(*[F.when(new, stamps[c]).otherwise(F.col(c)).alias(c) if c in stamps else F.col(c) for c in documents.columns])
+    return after, keys, told.select("sha256", "approved", "error")
+
+
+def document_places(documents: DataFrame, newest_first: bool = False, tie: str = "doc_id") -> DataFrame:
+    """Adds place, counted from 0, in the order of ``ordered_documents``, equal ones by ``tie``: the documents of the companies before, and
+    the place among the company's own, so that no task orders all documents."""
+    company, year = F.lower("company"), F.desc("fiscal_year") if newest_first else F.asc("fiscal_year")
+    sizes = documents.groupBy(company.alias("_c")).agg(F.count(F.lit(1)).alias("_k"))
+    before = sizes.select("_c", (F.sum("_k").over(W.orderBy("_c")) - F.col("_k")).alias("_before"))  # a row a company
+    own = F.row_number().over(W.partitionBy(company).orderBy(year, tie)) - 1
+    return documents.withColumn("_own", own).join(before, company.eqNullSafe(F.col("_c"))).withColumn("place", F.col("_before") + F.col("_own")).drop("_c", "_before", "_own")
+
+
+def workspace_of(header: Column) -> Column:
+    """The workspace that a request names: 8 to 64 letters, digits, hyphens and underscores, else the public one."""
+    named = F.trim(F.coalesce(header, F.lit("")))
+    return F.when(named.rlike(r"\A[A-Za-z0-9_-]{8,64}\z"), named).otherwise("legacy-public")
+
+
 def ordered_documents(documents: DataFrame, newest_first: bool = False) -> DataFrame:
     """By company, whatever its case, then by fiscal year."""
     year = F.desc("fiscal_year") if newest_first else F.asc("fiscal_year")
@@ -249,11 +290,24 @@ def result_rows(planned: DataFrame, runs: DataFrame, on: list[str], values: list
 
 
 def missing_sources(registry: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Registered sources (company, year, url) not stored yet, with the host that is official for them."""
+    """Registered sources (company, year, url) not stored yet, with the host that is official for them; a registered
+    ``sha256`` is what ``admit`` will expect."""
     told = registry.join(manifest.select("company", "year"), ["company", "year"], "left_anti")
+    if "sha256" in registry.columns:
+        told = told.withColumnRenamed("sha256", "expected_sha256")
     return told.withColumn("official_domain", F.regexp_replace(C.host(F.col("url")), r"^www\.", ""))
 
 
+def acquire(registry: DataFrame, manifest: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Registered sources that are not stored, with what was fetched for them (company, year, sha256, screened, screen_reasons) and
+    whether it is admitted: a registered digest must be met. A source that nothing was fetched for has a refusal of its own."""
+    wanted = missing_sources(registry, manifest)
+    got = wanted.join(fetched, ["company", "year"], "left")
+    told = admit(got)
+    none = F.col("sha256").isNull()
+    return told.withColumn("refusal", F.when(none, "nothing was fetched").otherwise(F.col("refusal"))).withColumn("admitted", F.col("admitted") & ~none)
+
+
 def clean_companies(given: DataFrame, limit: int = 200) -> DataFrame:
     """(seq, name, official_url, country) of submitted companies; blank names go, and more than ``limit`` are refused."""
     if given.limit(limit + 1).count() > limit:

@@ -172,6 +172,84 @@ def approvals(spark: SparkSession, folder: str) -> DataFrame:
     return R.approvals(rows, schema, ["k"])
 
 
+_SUBMITTED = f"""named AS (SELECT k, ord, CASE WHEN k % 4 = 1 AND ord = 5 THEN 'Goodwill' ELSE item END AS item, CASE WHEN k % 4 = 2 AND ord = 3 THEN 'true' WHEN ord % 6 = 0 THEN ' ' WHEN k % 8 = 3 AND ord = 7 THEN 'much' ELSE (k + ord)::VARCHAR END AS answer, CASE WHEN k % 4 = 2 AND ord = 3 THEN 'boolean' ELSE 'string' END AS kind FROM (SELECT doc_id AS k FROM documents) CROSS JOIN {SCHEMA_SQL} WHERE NOT (k % 16 = 8 AND ord = 26)),
+told AS (SELECT k, count(*) = 27 AND bool_and(item <> 'Goodwill') AS whole, arg_min(item, ord) FILTER (kind = 'boolean' OR answer = 'much') AS bad FROM named GROUP BY k),
+stored AS (SELECT md5(text) AS sha256, min(doc_id) AS k, CASE WHEN min(doc_id) % 5 = 4 THEN '' ELSE 'corpus/' || min(doc_id) || '/a.pdf' END AS local_path, any_value(lang) AS currency FROM documents WHERE doc_id % 9 <> 7 GROUP BY 1),
+judged AS (SELECT t.k, s.sha256, s.local_path, CASE WHEN NOT whole THEN 'the 27 schema rows in their order are needed' WHEN bad IS NOT NULL THEN bad || ' must be numeric or blank' WHEN s.k IS NULL THEN 'document not found' WHEN local_path = '' THEN 'the stored file is missing' END AS error
+  FROM told t LEFT JOIN stored s ON s.k = t.k WHERE t.k IN (SELECT min(doc_id) FROM documents GROUP BY md5(text)))"""
+
+
+def _approved(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    schema, docs = dims.schema_dim(spark), table(spark, folder, "documents").withColumn("sha256", F.md5(F.col("text").cast("binary")))
+    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("k"))
+    k, o = F.col("k"), F.col("ord")
+    grid = first.crossJoin(F.broadcast(schema.select("ord", "item"))).where(~((k % 16 == 8) & (o == 26)))  # 27 rows each
+    flag = (k % 4 == 2) & (o == 3)
+    answer = F.when(flag, "true").when(o % 6 == 0, " ").when((k % 8 == 3) & (o == 7), "much").otherwise((k + o).cast("string"))
+    rows = grid.select("sha256", "ord", F.when((k % 4 == 1) & (o == 5), "Goodwill").otherwise(F.col("item")).alias("item"), answer.alias("answer"), F.when(flag, "boolean").otherwise("string").alias("kind"))
+    stored = docs.where("doc_id % 9 <> 7").groupBy("sha256").agg(F.min("doc_id").alias("k"))
+    path = F.when(k % 5 == 4, "").otherwise(F.concat(F.lit("corpus/"), k.cast("string"), F.lit("/a.pdf")))
+    blank = F.lit(None).cast("string")
+    manifest = stored.select("sha256", path.alias("local_path"), F.lit("jpy").alias("currency"), F.lit("human_review_required").alias("status"), blank.alias("source_sha256"), blank.alias("approved_path"), blank.alias("approved_at"), "k")
+    return R.approve(manifest, rows, schema, F.lit("2024-01-01T00:00:00Z"))
+
+
+@query("approved_manifest", f"""WITH {_SUBMITTED}, good AS (SELECT k FROM judged WHERE error IS NULL) SELECT s.sha256, CASE WHEN g.k IS NULL THEN 'human_review_required' ELSE 'human_verified' END AS status, CASE WHEN g.k IS NOT NULL THEN s.sha256 END AS source_sha256,
+CASE WHEN g.k IS NOT NULL THEN 'corpus/' || s.k || '/verification/approved_answers.json' END AS approved_path, CASE WHEN g.k IS NOT NULL THEN '2024-01-01T00:00:00Z' END AS approved_at FROM stored s LEFT JOIN good g ON g.k = s.k""")
+def approved_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return _approved(spark, folder)[0].select("sha256", "status", "source_sha256", "approved_path", "approved_at")
+
+
+@query("approved_keys", f"WITH {_SUBMITTED} SELECT j.sha256, n.ord, n.item, CASE WHEN trim(n.answer) <> '' THEN n.answer::DOUBLE END AS answer_m_usd, 'JPY' AS currency FROM judged j JOIN named n ON n.k = j.k WHERE j.error IS NULL")
+def approved_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return _approved(spark, folder)[1].select("sha256", "ord", "item", "answer_m_usd", "currency")
+
+
+@query("approval_outcomes", f"WITH {_SUBMITTED} SELECT md5(d.text) AS sha256, error IS NULL AS approved, error FROM judged j JOIN documents d ON d.doc_id = j.k")
+def approval_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    return _approved(spark, folder)[2]
+
+
+def _places(spark: SparkSession, folder: str, newest_first: bool) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", F.initcap("source").alias("company"), (F.col("n_chars") % 7).alias("fiscal_year"))
+    return R.document_places(docs, newest_first).select("doc_id", "place")
+
+
+@query("manifest_places", "SELECT doc_id, row_number() OVER (ORDER BY lower(source), n_chars % 7, doc_id) - 1 AS place FROM documents")
+def manifest_places(spark: SparkSession, folder: str) -> DataFrame:
+    return _places(spark, folder, False)
+
+
+@query("picker_places", "SELECT doc_id, row_number() OVER (ORDER BY lower(source), n_chars % 7 DESC, doc_id) - 1 AS place FROM documents")
+def picker_places(spark: SparkSession, folder: str) -> DataFrame:
+    return _places(spark, folder, True)
+
+
+@query("workspace_headers", """SELECT workspace, count(*) AS requests FROM (SELECT CASE WHEN regexp_full_match(trim(h), '[A-Za-z0-9_-]{8,64}') THEN trim(h) ELSE 'legacy-public' END AS workspace
+FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN ' ' || o_orderpriority || '-' || o_orderstatus || ' ' ELSE repeat(o_orderpriority, 9) END AS h FROM orders)) GROUP BY 1""")
+def workspace_headers(spark: SparkSession, folder: str) -> DataFrame:
+    sent, kind = F.col("o_orderpriority"), F.col("o_orderkey") % 3
+    header = F.when(kind == 0, sent).when(kind == 1, F.concat(F.lit(" "), sent, F.lit("-"), F.col("o_orderstatus"), F.lit(" "))).otherwise(F.repeat(sent, 9))
+    return table(spark, folder, "orders").groupBy(R.workspace_of(header).alias("workspace")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("acquired_sources", """WITH registry AS (SELECT page_id, page_id % 50 AS company, page_id AS year, md5(url) AS sha256, 'http://www.' || page_id % 9 || '.Example.org/x' AS url FROM pages WHERE page_id % 4 > 0),
+wanted AS (SELECT * FROM registry WHERE company NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)),
+fetched AS (SELECT page_id % 50 AS company, page_id AS year, CASE WHEN page_id % 5 = 0 THEN md5(html) ELSE upper(md5(url)) END AS sha256, page_id % 7 <> 1 AS ok FROM pages WHERE page_id % 3 > 0)
+SELECT w.page_id, regexp_replace(regexp_extract(lower(url), '://([^/?#:]*)', 1), '^www[.]', '') AS official_domain, f.company IS NOT NULL AND lower(f.sha256) = w.sha256 AND ok AS admitted,
+  CASE WHEN f.company IS NULL THEN 'nothing was fetched' WHEN lower(f.sha256) <> w.sha256 THEN 'digest differs from the audited source' WHEN NOT ok THEN 'screening: no statement' END AS refusal
+FROM wanted w LEFT JOIN fetched f ON f.company = w.company AND f.year = w.year""")
+def acquired_sources(spark: SparkSession, folder: str) -> DataFrame:
+    pages, p = table(spark, folder, "pages"), F.col("page_id")
+    url = F.concat(F.lit("http://www."), (p % 9).cast("string"), F.lit(".Example.org/x"))
+    registry = pages.where(p % 4 > 0).select("page_id", (p % 50).alias("company"), p.alias("year"), F.md5(F.col("url").cast("binary")).alias("sha256"), url.alias("url"))
+    stored = table(spark, folder, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("company")).join(registry.select("company", "year"), "company")
+    digest = F.when(p % 5 == 0, F.md5(F.col("html").cast("binary"))).otherwise(F.upper(F.md5(F.col("url").cast("binary"))))
+    screened = F.when(p % 7 != 1, "ok").otherwise("review")
+    fetched = pages.where(p % 3 > 0).select((p % 50).alias("company"), p.alias("year"), digest.alias("sha256"), screened.alias("screened"), F.array(F.lit("no statement")).alias("screen_reasons"))
+    return R.acquire(registry, stored, fetched).select("page_id", "official_domain", "admitted", "refusal")
+
+
 @query("merged_maps", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS a, value + 1 AS b, CASE WHEN event_id % 3 <> 0 THEN 1.0::DOUBLE ELSE NULL END AS c FROM events")
 def merged_maps(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("value")

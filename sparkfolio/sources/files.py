@@ -60,18 +60,36 @@ def write_runs(runs: DataFrame, folder: str) -> int:
     reader sees the old or the new one. Of rows of one run the greatest record stands; a run
     without id gets one, and a folder, of its own. The driver makes one call of the store a run.
     """
-    year = F.nullif(F.regexp_extract(F.coalesce(F.col("fiscal_year").cast("string"), F.lit("")), "((?:19|20)[0-9]{2})", 1), F.lit(""))
     run = F.coalesce(F.nullif(F.trim("run_id"), F.lit("")), F.concat(F.lit("unnamed_"), F.replace(F.uuid(), F.lit("-"))))
+    placed = runs.withColumn("run_id", run)
+    return _filed(placed, F.lit("prediction"), F.to_json(F.struct(*runs.columns)), folder)
+
+
+def write_attempts(attempts: DataFrame, folder: str) -> int:
+    """Files requests and raw responses beside their run's record, as ``kind.json`` or ``kind_repair_n.json``.
+
+    ``attempts``: run_id, company, fiscal_year, kind (request or raw_response), repair (0: the first try) and content,
+    which is kept as it is, JSON or not. Of rows of one file the greatest content stands. Returns how many files were written.
+    """
+    known = F.when(F.col("kind").isin("request", "raw_response") & F.col("run_id").isNotNull(), F.col("kind")).otherwise(F.raise_error(F.lit("kind must be request or raw_response, of a run with an id")))
+    name = F.when(F.coalesce("repair", F.lit(0)) > 0, F.concat(known, F.lit("_repair_"), F.col("repair").cast("string"))).otherwise(known)
+    return _filed(attempts, name, F.coalesce("content", F.lit("")), folder)
+
+
+def _filed(rows: DataFrame, name: Column, content: Column, folder: str) -> int:
+    """Writes a file for each (company, year, run, name) of rows, beside, and moves each to its place in one step."""
+    year = F.nullif(F.regexp_extract(F.coalesce(F.col("fiscal_year").cast("string"), F.lit("")), "((?:19|20)[0-9]{2})", 1), F.lit(""))
     company = F.coalesce(F.nullif(F.trim("company"), F.lit("")), F.lit("Unknown_Company"))
-    placed = runs.withColumn("run_id", run).withColumn("_c", _folder_name(company)).withColumn("_y", F.concat(F.lit("FY"), F.coalesce(year, F.lit("-unknown"))))
-    records = placed.groupBy("_c", "_y", _folder_name(F.col("run_id")).alias("_r")).agg(F.max(F.to_json(F.struct(*runs.columns))).alias("value"))
-    store, staged = Folder(runs.sparkSession, folder), f"{folder}/_staged/{uuid.uuid4().hex}"
-    records.write.partitionBy("_c", "_y", "_r").text(staged)
+    parts = {"_c": _folder_name(company), "_y": F.concat(F.lit("FY"), F.coalesce(year, F.lit("-unknown"))), "_r": _folder_name(F.col("run_id")), "_n": name}
+    records = rows.groupBy(*[v.alias(k) for k, v in parts.items()]).agg(F.max(content).alias("value"))
+    store, staged = Folder(rows.sparkSession, folder), f"{folder}/_staged/{uuid.uuid4().hex}"
+    records.write.partitionBy(*parts).text(staged)
     moved = 0
-    for name in store.files(staged):
-        *_, c, y, r, file = unquote(name).split("/")
+    for path in store.files(staged):
+        *_, c, y, r, n, file = unquote(path).split("/")
         if file.startswith("part-"):
-            store.replace(name, f"{folder}/{c.removeprefix('_c=')}/{y.removeprefix('_y=')}/{r.removeprefix('_r=')}/prediction.json")
+            c, y, r, n = (x.split("=", 1)[1] for x in (c, y, r, n))
+            store.replace(path, f"{folder}/{c}/{y}/{r}/{n}.json")
             moved += 1
     store.delete(staged)
     return moved
@@ -116,7 +134,7 @@ def deleted_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_attempts(spark: SparkSession, folder: str) -> DataFrame:
     """(directory, kind, repair, content) of every request and raw response kept beside the runs; repairs count from 1."""
-    raw = spark.read.option("wholetext", True).text(_below(folder, "{request,raw_response}*.json"))
+    raw = spark.read.text(_below(folder, "{request,raw_response}*.json"), wholetext=True)
     path = F.col("_metadata.file_path")
     name = F.regexp_extract(path, "([^/]*)[.]json$", 1)
     repair = F.coalesce(F.nullif(F.regexp_extract(name, "_repair_([0-9]+)$", 1), F.lit("")).try_cast("int"), F.lit(0))

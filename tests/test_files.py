@@ -50,6 +50,37 @@ def test_runs_come_back(spark, tmp_path):
     assert files.read_runs(spark, str(tmp_path / "deep")).first().run_id == "far"
 
 
+def test_attempts_come_back(spark, tmp_path):
+    kind = "run_id string, company string, fiscal_year string, kind string, repair int, content string"
+    rows = [("r1", "Acme", "2022", "request", 0, '{"n": 1}'), ("r1", "Acme", "2022", "request", 2, "{not\njson"), ("r1", "Acme", "2022", "raw_response", None, "é"), ("r2", None, None, "request", 0, None)]
+    assert files.write_attempts(spark.createDataFrame(rows, kind), str(tmp_path)) == 4
+    got = sorted((r.directory.rsplit("/", 3)[1:], r.kind, r.repair, r.content.removesuffix("\n")) for r in files.read_attempts(spark, str(tmp_path)).collect())
+    assert got == [(["Acme", "FY2022", "r1"], "raw_response", 0, "é"), (["Acme", "FY2022", "r1"], "request", 0, '{"n": 1}'), (["Acme", "FY2022", "r1"], "request", 2, "{not\njson"), (["Unknown_Company", "FY-unknown", "r2"], "request", 0, "")]
+    with pytest.raises(Exception, match="kind must be"):
+        files.write_attempts(spark.createDataFrame([("r", "A", "2022", "prediction", 0, "x")], kind), str(tmp_path))
+
+
+def test_approvals_reach_the_manifest(spark, tmp_path):
+    from sparkfolio.functions import dims
+    from sparkfolio.operators import results as RS
+    from sparkfolio.sources import snapshots
+
+    columns = "sha256 string, local_path string, currency string, status string, source_sha256 string, approved_path string, approved_at string, note string"
+    documents = spark.createDataFrame([("a", "x/a.pdf", None, "open", None, None, None, "n1"), ("b", "x/b.pdf", "usd", "open", None, None, None, "n2"), ("c", "", "jpy", "open", None, None, None, "n3")], columns)
+    rows = [(d, k, item, " " if k == 1 else str(k), "string") for d in "abcz" for k, item in enumerate(dims.ITEMS) if (d, k) != ("b", 4)]
+    rows = spark.createDataFrame(rows, "sha256 string, ord int, item string, answer string, kind string")
+    folder = str(tmp_path / "manifest")
+    snapshots.commit(spark, folder, documents.schema, lambda now: documents)
+    at = F.lit("2024-05-01T00:00:00Z")
+    snapshots.commit(spark, folder, documents.schema, lambda now: RS.approve(now, rows, dims.schema_dim(spark), at)[0])
+    now = {r.sha256: r for r in snapshots.read(spark, folder, documents.schema).collect()}
+    assert (now["a"].status, now["a"].source_sha256, now["a"].approved_path, now["a"].approved_at, now["a"].note) == ("human_verified", "a", "x/verification/approved_answers.json", "2024-05-01T00:00:00Z", "n1")
+    assert now["b"].status == now["c"].status == "open" and now["b"].approved_at is None
+    _, keys, outcomes = RS.approve(documents, rows, dims.schema_dim(spark), at)
+    assert {r.sha256: r.error for r in outcomes.collect()} == {"a": None, "b": "the 27 schema rows in their order are needed", "c": "the stored file is missing", "z": "document not found"}
+    assert [(r.answer_m_usd, r.currency, r.reviewer) for r in keys.orderBy("ord").collect()][:3] == [(0.0, "USD", "human"), (None, "USD", "human"), (2.0, "USD", "human")]
+
+
 def test_manifest(spark, tmp_path):
     document = spark.createDataFrame([], "sha string, company string").schema
     put(tmp_path / "m.json", {"version": 1, "documents": [{"sha": "a", "company": "A", "more": 1}, {"sha": "b"}]})
