@@ -185,6 +185,26 @@ def write_manifest(documents: DataFrame, path: str, version: int = 1) -> None:
     store.delete(staged)
 
 
+def _split() -> list[Column]:
+    """Of a line: the last change and path of its file, and where its split begins."""
+    return [F.col(f"_metadata.{v}").alias(k) for k, v in {"_t": "file_modification_time", "_f": "file_path", "_b": "file_block_start"}.items()]
+
+
+def _number(first: dict[tuple[str, int], int]):
+    """Numbers the lines of each split (_f, _b), which come in order, from its first number on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            at = []
+            for key in zip(batch.column("_f").to_pylist(), batch.column("_b").to_pylist()):
+                at.append(first[key] + seen.setdefault(key, 0))
+                seen[key] += 1
+            yield pa.RecordBatch.from_arrays([batch.column("_f"), pa.array(at, pa.int64()), batch.column("value")], names=["file", "offset", "value"])
+
+    return run
+
+
 def read_events(spark: SparkSession, path: str, after: int = 0) -> DataFrame:
     """``events_from`` with the next offset beside each event."""
     events, n = events_from(spark, path, after)
@@ -198,26 +218,14 @@ def events_from(spark: SparkSession, path: str, after: int = 0) -> tuple[DataFra
     change, then path. Lines are numbered within their split of a file; the number of lines of each split is all that
     reaches the driver.
     """
-    meta = {"_t": "file_modification_time", "_f": "file_path", "_b": "file_block_start"}
-    raw = spark.read.text(path).select("value", *[F.col(f"_metadata.{v}").alias(k) for k, v in meta.items()])
+    raw = spark.read.text(path).select("value", *_split())
     read = raw.where(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"))
-    counts = sorted(tuple(r) for r in read.groupBy(*meta).count().collect())  # a row a split
-    n = sum(r[-1] for r in counts)
-    first, total = {}, 0
-    for *split, k in counts:
-        first[tuple(split[1:])] = total
+    counts = sorted(tuple(r) for r in read.groupBy("_t", "_f", "_b").count().collect())  # a row a split
+    n, first, total = sum(r[-1] for r in counts), {}, 0
+    for _, f, b, k in counts:
+        first[f, b] = total
         total += k
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], int] = {}
-        for batch in batches:
-            at = []
-            for key in zip(batch.column("_f").to_pylist(), batch.column("_b").to_pylist()):
-                at.append(first[key] + seen.setdefault(key, 0))
-                seen[key] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), batch.column("value")], names=["offset", "value"])
-
-    placed = read.select("_f", "_b", "value").mapInArrow(number, "offset bigint, value string").withColumn("v", F.try_parse_json("value"))
+    placed = read.select("_f", "_b", "value").mapInArrow(_number(first), "file string, offset bigint, value string").withColumn("v", F.try_parse_json("value"))
     return placed.where(F.col("offset") >= max(0, min(after, n))).select(
         "offset", F.try_variant_get("v", "$.event", "string").alias("event"), F.try_variant_get("v", "$.data", "variant").alias("data"), F.try_variant_get("v", "$.at", "timestamp").alias("at")
     ), n
@@ -282,13 +290,16 @@ def admissible_pdfs(files: DataFrame) -> DataFrame:
 
 
 def read_page_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, page, text) of text files whose pages are parted by form feeds: the adapter between PDF tools and the engine."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                pages = content.decode("utf-8", "replace").split("\f")
-                doc = name.rsplit("/", 1)[-1]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(pages)), pa.array(range(1, len(pages) + 1), pa.int32()), pa.array(pages, pa.string())], names=["doc", "page", "text"])
+    """(doc, page, text) of text files whose pages end with, or are parted by, form feeds: the adapter between PDF tools and the engine.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "doc string, page int, text string")
+    A page is a line of the text reader, so a long file is read in splits and never whole; pages are numbered from 1 in
+    their file by the number of pages of each split, which is all that reaches the driver. A file without a character has no page.
+    """
+    raw = spark.read.text(path, lineSep="\f").select("value", *_split())
+    first, at = {}, ("", 0)
+    for f, b, k in sorted(tuple(r) for r in raw.groupBy("_f", "_b").count().collect()):  # a row a split
+        at = at if at[0] == f else (f, 1)
+        first[f, b] = at[1]
+        at = (f, at[1] + k)
+    told = raw.select("_f", "_b", "value").mapInArrow(_number(first), "file string, offset bigint, value string")
+    return told.select(F.regexp_extract(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "([^/]*)$", 1).alias("doc"), F.col("offset").cast("int").alias("page"), F.col("value").alias("text"))

@@ -201,6 +201,21 @@ def test_pdfs_and_pages(spark, tmp_path):
     assert sorted((r.doc, r.page, r.text) for r in files.read_page_texts(spark, str(tmp_path / "t")).collect()) == [("d.txt", 1, "one"), ("d.txt", 2, "two")]
 
 
+def test_pages_of_long_files_in_splits(spark, tmp_path):
+    files_ = {"a b+1.txt": [f"page {k}\nof é {'x' * (k % 90)}" for k in range(300)], "short.txt": ["only"], "ends.txt": ["one", "", "three"]}
+    for name, pages in files_.items():
+        put(tmp_path / "t" / name, "\f".join(pages) + ("\f" if name == "ends.txt" else ""))
+    put(tmp_path / "t/none.txt", "")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        told = files.read_page_texts(spark, str(tmp_path / "t"))
+        assert told.rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, told.collect())) == sorted((name, k + 1, p) for name, pages in files_.items() for k, p in enumerate(pages))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_salvage():
     assert salvaged('```json\n{"a": 1}\n```') == '{"a": 1}'
     assert salvaged('Sure {x}: {"a": "}"} ok') == '{"a": "}"}'
