@@ -29,7 +29,7 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """``pattern`` (for the lower-cased URL) only matches URLs that hold all ``tokens``."""
+    """``pattern`` (for the lower-cased URL) only matches URLs that hold all ``tokens``; one without tokens runs on every distinct URL."""
 
     name: str
     pattern: str
@@ -83,6 +83,11 @@ def pattern_hits(urls: DataFrame, rules: tuple[PatternRule, ...]) -> DataFrame:
     rated = listed.join(held, "token", "left")
     rarest = rated.groupBy("k", "name", "pattern").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token"))["token"].alias("token"))
     found = tokens.join(small(rarest), "token").where(F.expr("lower(_url) rlike pattern"))
+    found = found.select("_url", "k", "name")
+    bare = [(k, r) for k, r in enumerate(rules) if not r.tokens]
+    if bare:
+        hits = F.array(*[F.when(F.lower("_url").rlike(r.pattern), F.struct(F.lit(k).alias("k"), F.lit(r.name).alias("name"))) for k, r in bare])
+        found = found.unionByName(urls.select("_url", F.explode(F.array_compact(hits)).alias("h")).select("_url", "h.k", "h.name"))
     return found.groupBy("_url").agg(F.min(F.struct("k", "name"))["name"].alias("pattern_rule"))
 
 
