@@ -105,6 +105,7 @@ def squeezed(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out = [None if t is None else press(t.encode()) for t in (x.as_py() for x in b.column(at))]
             cols = [pa.array(out, pa.binary()) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

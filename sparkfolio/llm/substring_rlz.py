@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUN_SCHEMA, mix, open_runs, runs_of, settle_runs
-from .common import Shelf, row_key, squeezed, unsqueeze
+from .common import Shelf, give_back, row_key, squeezed, unsqueeze
 
 GRAM = 6
 #: Words looked at together; longer texts go piece by piece, overlapping by a window.
@@ -88,6 +88,7 @@ def _runs(length: int):
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 cols = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=["d", "v", "p", "q", "m", "a", "s"])
+        give_back()
 
     return run
 
@@ -105,6 +106,7 @@ def _windows(length: int):
             cols = list(zip(*rows)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["d", "v", "p", "a", "w", "whole"])
+        give_back()
 
     return run
 
@@ -160,6 +162,7 @@ def _cut(length: int, names: list[str], as_is: bool):
                 pa.array(told, pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "block", "offset")]))),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "n_removed", "kept_text", "removed_spans", "factors"])
+        give_back()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import RUN_SCHEMA, byte_grams, merged, open_runs, runs_of, settle_runs
-from .common import Shelf, row_key, squeezed, unsqueeze
+from .common import Shelf, give_back, row_key, squeezed, unsqueeze
 
 #: Window starts looked at together; longer texts go piece by piece.
 PIECE = 1 << 20
@@ -56,6 +56,7 @@ def _runs(length: int, power: int):
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 cols = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds)]
                 yield pa.RecordBatch.from_arrays(cols, names=["d", "v", "p", "q", "m", "a", "s"])
+        give_back()
 
     return run
 
@@ -70,6 +71,7 @@ def _contexts(length: int):
             cols = list(zip(*rows)) or [[]] * 7
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["d", "v", "p", "q", "m", "a", "ctx"])
+        give_back()
 
     return run
 
@@ -96,6 +98,7 @@ def _ranks(length: int, size: int, wider: int):
             cols = list(zip(*rows)) or [[]] * 9
             kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["d", "v", "p", "i", "x", "q", "a", "core", "span"])
+        give_back()
 
     return run
 
@@ -119,6 +122,7 @@ def _cut(length: int, names: list[str]):
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_bytes", "n_removed", "kept_bytes", "removed_spans"])
+        give_back()
 
     return run
 
