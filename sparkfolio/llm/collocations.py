@@ -36,8 +36,10 @@ from .common import Shelf, give_back
 
 #: Bytes, about, of a chunk.
 CHUNK = 1 << 23
-#: Keys, about, of a range; keys of a block of which one is a sample; samples of a range that suffice for its bound.
-RANGE, SAMPLE, PER_RANGE = 1 << 21, 512, 64
+#: Keys, about, of a range, as long as the ranges are no more than RANGES; keys of a block of which one is a sample.
+RANGE, RANGES, SAMPLE = 1 << 21, 1 << 17, 512
+#: Samples of a range that suffice for its bound, and samples that the driver holds.
+PER_RANGE, SAMPLED = 64, 1 << 20
 #: Parts of a language whose best phrases are found, level by level, before the whole language's; languages that may be broadcast.
 SALTS, LANGUAGES = (256, 8), 100_000
 
@@ -244,11 +246,11 @@ def _counted(at_least: int, kind: str):
 
 
 def _bounds(blocks: DataFrame) -> dict[int, list[tuple[int, np.ndarray]]]:
-    """Ranges of about RANGE keys: for each n, (range, least key), from a sample of SAMPLE-th keys that is itself thinned to a bounded number."""
+    """Ranges of about RANGE keys: for each n, (range, least key), from SAMPLE-th keys of the blocks, thinned to a bounded number."""
     out, number = {}, 0
     for n, size in sorted(tuple(r) for r in blocks.groupBy("n").agg(F.sum("size")).collect()):
-        ranges = -(-size // RANGE)
-        share = min(1.0, ranges * PER_RANGE * SAMPLE / size)  # at most PER_RANGE a range
+        ranges = min(-(-size // RANGE), RANGES)
+        share = min(1.0, min(ranges * PER_RANGE, SAMPLED) * SAMPLE / size)
         some = blocks.where(F.col("n") == n).select(F.explode("some").alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) <= int(share * (1 << 20)))
         keys = sorted(r["k"] for r in some.collect())
         least = [[0] * n] + [keys[len(keys) * k // ranges] for k in range(1, ranges) if keys]
