@@ -35,11 +35,11 @@ from .common import give_back
 from .token_counts import _cut, _spread
 
 #: Characters, about, of the texts looked at together; words a task remembers; bytes of a word that Spark folds.
-GROUP, TABLE, LONG = 1 << 22, 400_000, 192
+GROUP, TABLE, LONG = 1 << 22, 1_000_000, 192
 #: Ids put back into bytes together.
 IDS = 1 << 20
-#: Bits of a rank and of a place in a word; an empty slot.
-_RANK, _PLACE, _EMPTY = 22, 16, 1 << 45
+#: Bits of a rank; an empty slot.
+_RANK, _EMPTY = 22, 1 << 45
 
 # Letters and numbers that Unicode has had since version 16, which
 # the pattern library knows and the tokenizer's does not.
@@ -109,8 +109,8 @@ def packed(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _literal(values: np.ndarray) -> Column:
-    """An array<bigint> that the optimizer folds to a literal: one string, not an expression for each value."""
-    return F.split(F.lit(" ".join(map(str, values.tolist()))), " ").cast("array<bigint>")
+    """An array<bigint>, null for empty slots, that the optimizer folds to a literal: one string, not an expression for each value."""
+    return F.from_json(F.lit("[" + ",".join("null" if x == _EMPTY else str(x) for x in values.tolist()) + "]"), "array<bigint>")
 
 
 def fold_merges(word: Column, path: str) -> Column:
@@ -119,21 +119,26 @@ def fold_merges(word: Column, path: str) -> Column:
         _tables[path] = packed(ranks_of(path))
     starts, slots = (_literal(x) for x in _tables[path])
 
-    def best(ids: Column) -> Column:
-        # The lowest rank and, in the low bits, the leftmost place of a pair that has it; a slot of another pair counts as a rank past all.
-        def pair(left: Column, at: Column) -> Column:
-            slot = F.get(slots, (F.get(starts, left) + F.get(ids, at + 1)).cast("int"))
-            return F.shiftleft(slot.bitwiseXOR(F.shiftleft(left, _RANK)), _PLACE).bitwiseOR(at)
+    def let(value: Column, then) -> Column:  # a lambda's variable is evaluated once
+        return F.get(F.transform(F.array(value), then), F.lit(0))
 
-        return F.array_min(F.transform(ids, pair))
+    def pair(left: Column, right: Column) -> Column:
+        # The pair's rank; another pair's slot gives a number past all ranks, an empty one null.
+        return F.get(slots, (F.get(starts, left) + right).cast("int")).bitwiseXOR(F.shiftleft(left, _RANK))
+
+    def merged(ids: Column, rank: Column, right: Column) -> Column:
+        # ``right`` is the place of the pair's second token, counted from zero.
+        return F.array_remove(F.transform(ids, lambda x, i: F.when(i == right, F.lit(-1)).when(i + 1 == right, rank).otherwise(x)), F.lit(-1))
 
     def step(ids: Column, _: Column) -> Column:
-        def merged(m: Column) -> Column:
-            at, rank = m.bitwiseAND(F.lit((1 << _PLACE) - 1)), F.shiftright(m, _PLACE)
-            put = F.transform(ids, lambda x, i: F.when(i == at, rank).when(i == at + 1, F.lit(-1)).otherwise(x))
-            return F.when(m < F.lit(1 << _RANK + _PLACE), F.array_remove(put, F.lit(-1))).otherwise(ids)
+        def lowest(ranks: Column) -> Column:
+            def merge(rank: Column) -> Column:
+                leftmost = F.array_position(ranks, rank).cast("int")  # counted from one
+                return F.when(rank < F.lit(1 << _RANK), let(leftmost, lambda p: merged(ids, rank, p))).otherwise(ids)
+
+            return let(F.array_min(ranks), merge)
 
-        return F.get(F.transform(F.array(best(ids)), merged), F.lit(0))
+        return let(F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), pair), lowest)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), word, step)
 
