@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dims import DESCRIPTIONS, SCHEMA
+from ..sources.tables import settled
 
 # BM25 constants, and weights and bounds of the other signals.
 K1, B = 1.5, 0.75
@@ -54,6 +57,17 @@ ACCOUNTING = (
 )
 TABLE_ROW = r"(?m)^\s*\|.+\|\s*$"
 
+# Of these, lower-cased, a text must hold one for the pattern to match: a scan for it costs a tenth of the pattern.
+NEEDED = {
+    **dict(zip(HEADINGS, (("#",), ("#",), ("balance sheet",), ("financial position",), ("financial statements",), ("貸借対照表",), ("財務諸表",), ("資産の部",)), strict=True)),
+    **{p: (p.removeprefix("(?i)"),) for p in REJECTS[:-1]},
+    REJECTS[-1]: ("取締役", "役員の状況", "ガバナンス", "株主総会", "目次"),
+    **dict(zip((p for _, p in CRITICAL), (("right",), *((p,) for _, p in CRITICAL[1:])), strict=True)),
+    TABLE_ROW: ("|",),
+}
+#: Terms that a join may broadcast.
+SMALL_VOCABULARY = 500_000
+
 
 def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
@@ -69,35 +83,50 @@ def _hits(text: Column, patterns) -> Column:
     return sum((text.rlike(p).cast("int") for p in patterns), F.lit(0))
 
 
+def _matches(text: Column, lowered: Column, pattern: str) -> Column:
+    """``text.rlike(pattern)``, asked of those texts only that hold what the pattern needs."""
+    held = [F.contains(lowered, F.lit(x)) for x in NEEDED[pattern]]
+    return reduce(lambda a, b: a | b, held) & text.rlike(pattern)
+
+
 def score_pages(pages: DataFrame, vocabulary: DataFrame, layout: DataFrame | None = None) -> DataFrame:
     """Explainable score of every page with text.
 
     ``pages``: doc, page, text. ``vocabulary``: term (distinct). ``layout``: doc,
     page, has_table, has_column, at most one row a page. Tokens are kept to the
     vocabulary before anything is shuffled; document statistics are aggregates
-    over (doc, term) and (doc).
+    over (doc, term) and (doc). Texts are looked at once: what is told of a page is
+    written, and the rest reads that.
 
     BM25 terms are summed as decimals, so the sum does not depend on its order.
     """
-    usable = pages.where(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "").withColumn("tokens", tokens_of(F.col("text")))
-    facts = usable.select(
+    usable = pages.where(F.col("text").rlike(r"(?U)\S")).withColumn("lowered", F.lower("text"))
+    usable = usable.withColumn("tokens", F.regexp_extract_all("lowered", F.lit(TOKEN), 0))
+    text, lowered = F.col("text"), F.col("lowered")
+    hits = lambda patterns: sum((_matches(text, lowered, p).cast("int") for p in patterns), F.lit(0))
+    told = usable.select(
         "doc",
         "page",
+        "tokens",
         F.size("tokens").alias("n_tokens"),
         F.size(F.filter("tokens", lambda t: t.rlike(r"\p{Nd}"))).alias("n_numeric"),
         F.length("text").alias("characters"),
-        _hits(F.col("text"), HEADINGS).alias("heading_hits"),
-        _hits(F.col("text"), REJECTS).alias("reject_hits"),
-        F.col("text").rlike(TABLE_ROW).alias("markdown_table"),
-        F.array_compact(F.array(*[F.when(F.col("text").rlike(p), n) for n, p in CRITICAL])).alias("critical_evidence"),
+        hits(HEADINGS).alias("heading_hits"),
+        hits(REJECTS).alias("reject_hits"),
+        _matches(text, lowered, TABLE_ROW).alias("markdown_table"),
+        F.array_compact(F.array(*[F.when(_matches(text, lowered, p), n) for n, p in CRITICAL])).alias("critical_evidence"),
         F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), t) for t in JAPANESE_TERMS])).alias("japanese_hits"),
         F.contains("text", F.lit("連結貸借対照表")).alias("consolidated"),
         F.contains("text", F.lit("貸借対照表")).alias("statement"),
     )
-    held = usable.select("doc", "page", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term")).join(vocabulary.select("term"), "term")
+    told = settled(told)
+    facts = told.drop("tokens")
+    terms = vocabulary.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= SMALL_VOCABULARY else terms
+    held = told.select("doc", "page", "n_tokens", F.explode("tokens").alias("term")).join(terms, "term")
     counts = held.groupBy("doc", "page", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
     docs = facts.groupBy("doc").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n_tokens").alias("all_tokens"), F.bool_or("consolidated").alias("has_consolidated"))
-    spread = W.partitionBy("doc", "term")
+    spread = W.partitionBy("term", "doc")  # terms first: they tell rows apart sooner when they are sorted
     weighed = counts.withColumn("df", F.count(F.lit(1)).over(spread)).join(docs, "doc")
     average = F.when(F.col("all_tokens") > 0, F.col("all_tokens") / F.col("n_pages")).otherwise(F.lit(1.0))
     idf = F.log(1 + (F.col("n_pages") - F.col("df") + 0.5) / (F.col("df") + 0.5))
