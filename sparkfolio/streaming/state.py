@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -190,7 +191,8 @@ def stream_first_seen(visits: DataFrame, key: str, at: str, order: str, ttl: int
 
 class VisitStore(StatefulProcessor):
     """A key's last recorded visit (set if absent, with an expiry), its newest recorded
-    visits (pushed and trimmed) and its counters by day, all kept in the state store.
+    visits (pushed and trimmed) and its counters by day, all kept in the state store:
+    two values a key, as each call of the store is a round trip to the executor's JVM.
 
     Rows in: ``us``, ``id``. A row out for each batch that records visits. Of a batch, a key's times and ids are held, 16 bytes a row.
     """
@@ -201,14 +203,13 @@ class VisitStore(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "us bigint")
-        self.total = handle.getValueState("total", "n bigint")
-        self.newest = handle.getListState("newest", "us bigint, id bigint")
-        self.daily = handle.getMapState("daily", "day bigint", "n bigint")
+        self.held = handle.getValueState("held", "total bigint, newest_us array<bigint>, newest_id array<bigint>, days array<bigint>, counts array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         visits = np.concatenate([f[["us", "id"]].to_numpy("int64") for f in rows])
         visits = visits[np.lexsort((visits[:, 1], visits[:, 0]))]
-        last = self.seen.get()[0] if self.seen.exists() else None
+        seen = self.seen.get()
+        last = before = seen[0] if seen else None
         recorded, at = [], 0
         while at < len(visits):
             if last is not None:  # the first visit that is far enough from the last recorded one
@@ -221,17 +222,16 @@ class VisitStore(StatefulProcessor):
         if not recorded:
             return
         self.seen.update((last,))
-        for timer in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(timer)
+        if before is not None:  # its timer, which has not expired
+            self.handle.deleteTimer(before // 1000 + self.ttl * 1000)
         self.handle.registerTimer(last // 1000 + self.ttl * 1000)
-        newest = sorted([*map(tuple, self.newest.get()), *recorded], reverse=True)[: self.keep]
-        self.newest.put(newest)
-        for us, _ in recorded:
-            day = (us // 86_400_000_000,)
-            self.daily.updateValue(day, ((self.daily.getValue(day)[0] if self.daily.containsKey(day) else 0) + 1,))
-        total = (self.total.get()[0] if self.total.exists() else 0) + len(recorded)
-        self.total.update((total,))
-        days = sorted((d[0], n[0]) for d, n in self.daily.iterator())
+        total, newest_us, newest_id, days, counts = self.held.get() or (0, [], [], [], [])
+        total += len(recorded)
+        newest = sorted([*zip(newest_us, newest_id), *recorded], reverse=True)[: self.keep]
+        daily = Counter(dict(zip(days, counts)))
+        daily.update(us // 86_400_000_000 for us, _ in recorded)
+        days = sorted(daily.items())
+        self.held.update((total, [us for us, _ in newest], [i for _, i in newest], [d for d, _ in days], [n for _, n in days]))
         told = {"total": [total], "recorded": [[i for _, i in recorded]], "newest": [[i for _, i in newest]], "days": [[d for d, _ in days]], "counts": [[n for _, n in days]]}
         yield pd.DataFrame({"key": [key[0]], **told})
 
