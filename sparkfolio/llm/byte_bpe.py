@@ -6,7 +6,9 @@ each document the places of its words in the task's word table, and before
 them the words that the table does not hold yet, as arrays of byte ranks.
 Spark folds each such word: the adjacent pair of lowest rank, the leftmost of
 several, is merged until no pair has a rank. A second Arrow function keeps the
-folded words by their place and puts each document's ids together.
+folded words by their place and puts each document's ids together, and where
+asked decodes them at once. Words travel a bounded number to a row, as a row's
+arrays stand whole in Spark's memory.
 
 The rank map is a literal of two arrays, packed by row displacement: the pair
 (left, right) has its rank at ``slots[starts[left] + right]`` if that slot
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import give_back
 from .token_counts import _cut, _spread
 
-#: Characters, about, of the texts looked at together; words a task remembers; bytes of a word that Spark folds.
-GROUP, TABLE, LONG = 1 << 22, 1_000_000, 192
+#: Characters, about, of the texts looked at together; words a task remembers; bytes of a word that Spark folds; words of a row.
+GROUP, TABLE, LONG, ROW = 1 << 22, 1_000_000, 192, 4096
 #: Ids put back into bytes together.
 IDS = 1 << 20
 #: Bits of a rank; an empty slot.
@@ -250,14 +252,38 @@ def _parts(texts: pa.Array) -> Iterator[tuple[list[str], list[int]]]:
         yield group, at
 
 
+class _Bytes:
+    """The bytes of tokens by their ids."""
+
+    def __init__(self, path: str):
+        ranks = ranks_of(path)
+        self.top = max(ranks.values(), default=-1) + 1
+        self.sizes = np.full(self.top, _EMPTY, np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        token = {rank: t for t, rank in ranks.items()}
+        self.every = np.frombuffer(b"".join(token.get(k, b"") for k in range(self.top)), np.uint8)
+        self.starts = np.cumsum(np.maximum(self.sizes, 0)) - np.maximum(self.sizes, 0)
+
+    def text(self, ids: np.ndarray) -> bytes:
+        out = []
+        for a in range(0, len(ids), IDS):
+            x = ids[a : a + IDS].astype(np.int64)
+            if x.max() >= self.top or (self.sizes[x] < 0).any():
+                raise ValueError("an id is not in the rank file")
+            out.append(self.every[_spread(self.starts[x], self.sizes[x])].tobytes())
+        return b"".join(out)
+
+
 def encode(
-    docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), decoded: bool = False
 ) -> DataFrame:
     """Token ids of whole texts under the rank file at ``path``, without special tokens.
 
     Each match of ``pattern`` is a word and is encoded by itself. Returns one row
     per input row: the id, the columns named in ``carry``, n_tokens (bigint) and
-    ids (binary, little-endian unsigned 32-bit). ``path`` must exist on every
+    ids (binary, little-endian unsigned 32-bit), with ``decoded`` also the column
+    of that name, which ``decode`` would add. ``path`` must exist on every
     executor, and the file must hold all 256 single bytes.
 
     Null and empty texts have no tokens. Null ids, repeated rows and ids stay as
@@ -269,6 +295,7 @@ def encode(
     names = ["_id", *[f"_c{i}" for i in range(len(carry))]]
     given = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("text"))
     kinds = ", ".join(f"{n} {given.schema[n].dataType.simpleString()}" for n in names)
+    results = ["n_tokens", "ids", "decoded"][: 2 + decoded]
     both = f"{kinds}, places binary, emptied boolean, words array<struct<bytes: array<bigint>, ids: array<bigint>>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +305,11 @@ def encode(
             for group, at in _parts(batch.column("text")):
                 places, new, emptied = table.places(group)
                 words = table.rows(new)
-                listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-                nulls = [pa.nulls(1, f.type) for f in heads.schema]
+                listed = pa.ListArray.from_arrays(pa.array([*range(0, len(words), ROW), len(words)] if len(words) else [0, 0], pa.int32()), words)
+                nulls = [pa.nulls(len(listed), f.type) for f in heads.schema]
                 every = [*names, "places", "emptied", "words"]
-                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(1, pa.binary()), pa.array([emptied]), listed], names=every)
+                first = pa.array([emptied, *[False] * (len(listed) - 1)])
+                yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(listed), pa.binary()), first, listed], names=every)
                 rows = heads.take(pa.array(at))
                 blobs = pa.array([p.tobytes() for p in places], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rows.columns, blobs, pa.nulls(len(at), pa.bool_()), pa.nulls(len(at), listed.type)], names=every)
@@ -289,32 +317,37 @@ def encode(
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        starts = sizes
+        starts, more, tokens = sizes, [], _Bytes(path) if decoded else None
         for batch in batches:
             tables = np.flatnonzero(np.array(batch.column("emptied").is_valid()))
             edges = [*tables.tolist(), batch.num_rows]
             for a, b in zip([-1, *edges], edges):
                 if a >= 0:
                     if batch.column("emptied")[a].as_py():
-                        flat, sizes = flat[:0], sizes[:0]
+                        flat, sizes, more = flat[:0], sizes[:0], []
                     folded = batch.column("folded").slice(a, 1).flatten()
-                    flat = np.concatenate((flat, folded.flatten().to_numpy(zero_copy_only=False).astype("<u4")))
-                    sizes = np.concatenate((sizes, np.array(pc.list_value_length(folded), np.int64)))
-                    starts = np.cumsum(sizes) - sizes
+                    more.append((folded.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.array(pc.list_value_length(folded), np.int64)))
                 rows = batch.slice(a + 1, b - a - 1)
                 if not rows.num_rows:
                     continue
-                out = []
+                if more:
+                    flat, sizes = (np.concatenate(x) for x in zip((flat, sizes), *more))
+                    starts, more = np.cumsum(sizes) - sizes, []
+                out, texts = [], []
                 for blob in rows.column("places"):
                     at = np.frombuffer(blob.as_buffer(), "<u4")
-                    out.append(flat[_spread(starts[at], sizes[at])].tobytes())
-                n = pa.array([len(x) // 4 for x in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], n, pa.array(out, pa.binary())], names=[*names, "n_tokens", "ids"])
+                    ids = flat[_spread(starts[at], sizes[at])]
+                    out.append(ids.tobytes())
+                    if tokens:
+                        texts.append(tokens.text(ids))
+                made = [pa.array([len(x) // 4 for x in out], pa.int64()), *[pa.array(x, pa.binary()) for x in ((out, texts) if tokens else (out,))]]
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], *made], names=[*names, *results])
         give_back()
 
     folded = F.transform("words", lambda w: F.coalesce(w["ids"], fold_merges(w["bytes"], path))).alias("folded")
     stream = given.mapInArrow(cut, both).select(*names, "places", "emptied", folded)
-    return stream.mapInArrow(join, f"{kinds}, n_tokens bigint, ids binary").withColumnsRenamed(dict(zip(names, [id_col, *carry])))
+    schema = f"{kinds}, n_tokens bigint, ids binary" + ", decoded binary" * decoded
+    return stream.mapInArrow(join, schema).withColumnsRenamed(dict(zip(names, [id_col, *carry])))
 
 
 def decode(frame: DataFrame, path: str, *, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -328,29 +361,10 @@ def decode(frame: DataFrame, path: str, *, ids_col: str = "ids", to: str = "deco
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_of(path)
-        top = max(ranks.values(), default=-1) + 1
-        sizes = np.full(top, _EMPTY, np.int64)
-        for token, rank in ranks.items():
-            sizes[rank] = len(token)
-        token = {rank: t for t, rank in ranks.items()}
-        every = np.frombuffer(b"".join(token.get(k, b"") for k in range(top)), np.uint8)
-        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
-
-        def text(blob: pa.Scalar) -> bytes | None:
-            if not blob.is_valid:
-                return None
-            ids, out = np.frombuffer(blob.as_buffer(), "<u4"), []
-            for a in range(0, len(ids), IDS):
-                x = ids[a : a + IDS].astype(np.int64)
-                if x.max() >= top or (sizes[x] < 0).any():
-                    raise ValueError("an id is not in the rank file")
-                out.append(every[_spread(starts[x], sizes[x])].tobytes())
-            return b"".join(out)
-
+        tokens = _Bytes(path)
         for batch in batches:
             cols = {n: batch.column(n) for n in names if n != to}
-            cols[to] = pa.array([text(x) for x in batch.column(ids_col)], pa.binary())
+            cols[to] = pa.array([tokens.text(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else None for x in batch.column(ids_col)], pa.binary())
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names=names)
         give_back()
 

@@ -87,3 +87,20 @@ def test_whole_table(spark, library):
     digest = lambda b: hashlib.sha256(b).hexdigest()
     want = [(i, n, digest(ids), digest(text)) for i, n, ids, text in expected([(r.doc_id, r.text, None) for r in texts], library)]
     assert corpora.ordered(queries.op12_byte_bpe(spark, sf).collect()) == corpora.ordered(want)
+
+
+@pytest.mark.parametrize("table", [400_000, 40])
+def test_one_pass_with_words_in_bounded_rows(spark, library, monkeypatch, table):
+    monkeypatch.setattr(byte_bpe, "TABLE", table)
+    monkeypatch.setattr(byte_bpe, "GROUP", 3000)
+    monkeypatch.setattr(byte_bpe, "ROW", 7)
+    rows = rows_of()
+    out = byte_bpe.encode(corpora.frame(spark, rows), PATH, public_tokenizers.PATTERN, decoded=True)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    got = [(r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in out.collect()]
+    assert corpora.ordered(got) == corpora.ordered(expected(rows, library))
+
+
+def test_the_query_has_two_python_steps(spark):
+    plan = queries.op12_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
